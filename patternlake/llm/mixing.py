@@ -11,11 +11,11 @@ of a hash, whose sums tell where the border lies, so that no task sorts a source
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, broadcast_if_small, cut, n_words
+from .common import broadcast_if_small, cut, n_words, words
 
 WEIGHTS = (3, 1, 2)
 SLICES = 4096
@@ -44,17 +44,18 @@ def weigh(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return sources.withColumn("weight", F.get(F.array(*map(F.lit, weights)), at))
 
 
-def mix(docs: DataFrame, seed: int = 8, share_percent: int = 150, max_epochs: int = 2) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 8, share_percent: int = 150, max_epochs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Mix documents (doc_id, text, source).
 
     Returns doc_id, source, size (words; null text: 0), source_size, target (its source's), taken (words the mix takes,
     repeats counted), whole (repetitions of the whole document) and part_words (words of one more, partial repetition).
-    Every row is mixed, repeated ids too; a null source is a source. Other columns are not read. An empty table gives
+    Every row is mixed, repeated ids too; a null source is a source. Columns named in carry are handed on; others are not read. An empty table gives
     no rows. The same rows give the same mix, in whatever order they come.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    sized = cut(sized.select("*", key.alias("key"), F.pmod(F.shiftrightunsigned(key, 20), F.lit(SLICES)).alias("slice")))
+    base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    base = base.select("*", key.alias("key"), F.pmod(F.shiftrightunsigned(key, 20), F.lit(SLICES)).alias("slice"))
+    sized = cut(base.select("doc_id", "source", "size", "key", "slice"))
     sources = weigh(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = rising_level(sources, share_percent, max_epochs)
     sources = sources.withColumn("whole", F.coalesce(F.least(F.floor(F.try_divide("target", "source_size")), F.lit(max_epochs)), F.lit(0)))
@@ -69,17 +70,35 @@ def mix(docs: DataFrame, seed: int = 8, share_percent: int = 150, max_epochs: in
     edge = edge.alias("e")
     levels = cut(sources.alias("s").join(edge, same("s", "e"), "left").select("s.*", "edge", "edge_words"))
 
-    rows = sized.alias("d").join(broadcast_if_small(levels).alias("l"), same("d", "l"))
-    rows = rows.select("d.doc_id", "d.source", "d.size", "d.key", "d.slice", "l.source_size", "l.target", "l.whole", "l.edge", "l.edge_words")
+    held = [f"carry_{c}" for c in carry]
+    rows = (base if carry else sized).alias("d").join(broadcast_if_small(levels).alias("l"), same("d", "l"))
+    rows = rows.select("d.doc_id", "d.source", "d.size", "d.key", "d.slice", "l.source_size", "l.target", "l.whole", "l.edge", "l.edge_words", *held)
     on_edge = F.col("slice").eqNullSafe(F.col("edge"))
     within = rows.where(on_edge).withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = within.withColumn("part_words", F.greatest(F.lit(0), F.least(F.col("size"), F.col("edge_words") - F.col("before"))))
     others = rows.where(~on_edge).withColumn("part_words", F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
-    columns = ("doc_id", "source", "size", "source_size", "target", "whole", "part_words")
+    columns = ("doc_id", "source", "size", "source_size", "target", "whole", "part_words", *held)
     both = within.select(*columns).unionByName(others.select(*columns))
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part_words")).alias("taken"), "whole", "part_words")
-
-
-def first_words(text: Column, n: Column) -> Column:
-    """A text up to its n-th word (n at least 1)."""
-    return F.regexp_substr(text, F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:" + WORD + r"[\x20\x09-\x0D]*){"), n.cast("string"), F.lit("}")))
+    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part_words")).alias("taken"), "whole", "part_words", *(F.col(f"carry_{c}").alias(c) for c in carry))
+
+
+def apply_mix(docs: DataFrame, seed: int = 8) -> DataFrame:
+    """The mixed corpus itself, with the columns of documents: whole documents repeated, and of a source's border document its first words."""
+    mixed = mix(docs, seed=seed, carry=("text", "lang", "n_chars"))
+    part = F.when((F.col("part_words") > 0) & (F.col("part_words") < F.col("size")), F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("part_words").cast("int")), " "))
+    # An empty document has no words to count; it stays once.
+    times = F.col("whole") + F.when((F.col("part_words") >= F.col("size")) & ((F.col("size") > 0) | (F.col("whole") == 0)), 1).otherwise(0)
+    copies = F.concat(F.array_repeat(F.col("text"), times.cast("int")), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
+    out = mixed.select("doc_id", F.explode(copies).alias("text"), "lang", "source")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+o AS (SELECT *, 2 * source_size AS cap, sum(source_size) OVER () * 150 / 100.0 AS total,
+  coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+  sum(weight) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s),
+t AS (SELECT *, min(CASE WHEN (total - below) / weights * weight < cap THEN (total - below) / weights END) OVER () AS level FROM o)
+SELECT source, source_size, round(least(coalesce(level * weight, cap), cap)::DOUBLE, 6) AS target FROM t
+"""

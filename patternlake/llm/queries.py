@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, quality, secrets, simhash
 from .common import shared_path, table
 from .packing import pack_documents
 from .tokenfile import read_token_file, write_token_file
@@ -18,5 +19,21 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_output)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(table(spark, sf_dir, "documents")).drop("lost_words", "clean_text")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_output, op3_quality_rules, op5_simhash, op8_mixing, op10_secrets)}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.ORACLE}
