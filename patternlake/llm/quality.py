@@ -38,7 +38,7 @@ def repeated_words(w: Column) -> Column:
 def bad_line(line: Column) -> Column:
     """Whether a line with words fails a rule."""
     n = F.regexp_count(line, F.lit(WORD))
-    unended = ~F.rlike(line, F.lit(r"""[.!?:;…。]["'”’»)\]]*[\x20\x09-\x0D]*$"""))
+    unended = ~F.rlike(line, F.lit(r"""[.!?:;…。]["'”’»)\]]*([\x20\x09-\x0D]|$)"""))
     navigation = F.regexp_count(line, F.lit(r"[|›»•·]|->")) * 5 > n
     marks = F.regexp_count(line, F.lit(r"[!?#*$%&=~^_]{2,}")) * 4 > n
     shout = (n >= 4) & F.rlike(line, F.lit(r"\p{Lu}.*\p{Lu}")) & ~F.rlike(line, F.lit(r"\p{Ll}"))
@@ -89,7 +89,7 @@ covered AS (SELECT r, sum(k)::BIGINT AS n FROM cov GROUP BY r),
 ln AS (SELECT r, unnest(lines) AS line FROM w),
 m AS (SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM ln),
 bad AS (SELECT r, sum(n) AS lost FROM m WHERE
-    NOT regexp_matches(line, '[.!?:;…。]["''”’»)\]]*[\x20\x09-\x0D]*$')
+    NOT regexp_matches(line, '[.!?:;…。]["''”’»)\]]*([\x20\x09-\x0D]|$)')
     OR len(regexp_extract_all(line, '[|›»•·]|->')) * 5 > n
     OR len(regexp_extract_all(line, '[!?#*$%&=~^_]{{2,}}')) * 4 > n
     OR (n >= 4 AND regexp_matches(line, '\p{{Lu}}.*\p{{Lu}}') AND NOT regexp_matches(line, '\p{{Ll}}'))

@@ -40,7 +40,7 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     ones = np.zeros(BITS, np.int64)
     for lo in range(0, len(grams), 8192):  # a very long text takes no more memory
         rows = np.frombuffer(b"".join(digest(g.encode(), seed=SEED) for g in grams[lo : lo + 8192]), np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(rows, axis=1).sum(axis=0)
+        ones += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big")
 
 
