@@ -162,7 +162,7 @@ def sample(docs: DataFrame, per_language: int, seed: int = 7) -> list[tuple[str,
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["text"]))]
 
 
-def train(docs: DataFrame, per_language: int = 300, segments_per_text: int = 8, steps: int = 400, hidden: int = 4) -> Network | None:
+def train(docs: DataFrame, per_language: int = 300, segments_per_text: int = 8, steps: int = 250, hidden: int = 5) -> Network | None:
     """Learn from text and lang of documents (doc_id, text, lang) that aren't held out; None if there are none. Rows whose doc_id is null share one hash."""
     labelled = [(lang, text) for lang, text in sample(docs, per_language) if has_letter(text)]
     if not labelled:
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, net: Network | None = None, carry: tuple[str, ...]
     named in carry are handed on; others are not read. An empty table gives no rows.
     """
     net = net or train(docs, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # some 10 kB: 257 bytes x 3 gates x 2 directions x 4
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # some 10 kB: 257 bytes x 3 gates x 2 directions x 5
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"carry_{c} {kinds[c]}" for c in carry), "doc_id long, held_out boolean, lang_pred string, score double"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, simhash
+from . import language, mixing, neighbours, quality, secrets, simhash
 from .common import shared_path, table
 from .packing import pack_documents
 from .tokenfile import read_token_file, write_token_file
@@ -27,6 +27,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,5 +43,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_output, op3_quality_rules, op5_simhash, op8_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_output, op3_quality_rules, op5_simhash, op6_nn_descent, op7_language_id, op8_mixing, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.ORACLE}
