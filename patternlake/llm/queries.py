@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, neighbours, quality, secrets, simhash
+from . import htmltext, language, licenses, mixing, neighbours, quality, secrets, simhash
 from .common import shared_path, table
 from .packing import pack_documents
 from .tokenfile import read_token_file, write_token_file
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("lost_words", "clean_text")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,9 +43,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_of_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_output, op3_quality_rules, op5_simhash, op6_nn_descent, op7_language_id, op8_mixing, op10_secrets)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_token_output, op3_quality_rules, op4_html_extraction, op5_simhash, op6_nn_descent, op7_language_id, op8_mixing, op9_license_scans, op10_secrets)
+}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.ORACLE}
