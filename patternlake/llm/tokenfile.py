@@ -117,7 +117,7 @@ BLOCK_SCHEMA = "shard int, block int, first_id long, n_ids long, doc_ids array<l
 def write_token_file(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, partitions: int | None = None) -> None:
     """Encode documents (doc_id, text) with an end id each, and write them to path in ascending doc_id order.
 
-    Shards are ranges of doc_id in ascending order (null first; equal ids by text). Null or empty text: end_id alone.
+    Shards are ranges of doc_id in ascending order (null first; equal ids by a hash of their text, then by text). Null or empty text: end_id alone.
     Other columns are not read. An empty table gives a file set without blocks.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -148,7 +148,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.
         if ids:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.col("tie"))  # a hash: range bounds go to the driver
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
