@@ -133,12 +133,12 @@ class Scorer:
             for features, _, text in page:
                 self.words[is_content(text)].update({f: text.count(" ") + 1 for f in (*features, "")})
         self.known: dict[frozenset[str], float] = {}
-        # The dearest tag that loses least content and takes in least else.
+        # The cheapest tag that loses least content and takes in least else.
         wrong = {}
         for cost in costs:
             self.tag = -cost
             wrong[cost] = sum((text in kept) != is_content(text) for page in split for kept in [self.content(page)] for _, _, text in page)
-        self.tag = -min(costs, key=lambda c: (wrong[c], -c))
+        self.tag = -min(costs, key=lambda c: (wrong[c], c))
 
     def word(self, features: frozenset[str]) -> float:
         """Score of a word in such surroundings: 1 without any feature, up to 2 with marks of content, and -0.5 where a feature speaks against it."""
@@ -162,7 +162,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     """Begin and end of the contiguous run with the greatest sum, the earliest of equals; (0, 0) if no sum is positive."""
     best, found, total, begin = 0.0, (0, 0), 0.0, 0
     for i, s in enumerate(scores):
-        if total <= 0:
+        if total < 0:
             total, begin = 0.0, i
         total += s
         if total > best:

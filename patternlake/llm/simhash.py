@@ -32,7 +32,8 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
     import xxhash
 
-    w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOWER) if not (text or "").isascii() else text.lower()) if x]
+    text = text or ""
+    w = [x for x in re.split("[\x20\x09-\x0d]+", text.lower() if text.isascii() else text.translate(LOWER)) if x]
     if not w:
         return 0
     grams = [" ".join(w)] if len(w) < shingle else list(map(" ".join, zip(*(w[i:] for i in range(shingle)))))
