@@ -149,11 +149,15 @@ class Scorer:
         return self.known[features]
 
     def content(self, page: Page) -> list[str]:
-        """Texts of the content blocks of the best region. Where some blocks bear marks of content, those that bear none score as others do."""
-        scores = [self.word(features) for features, _, _ in page]
+        """Texts of the content blocks of the best region.
+
+        Where some blocks bear marks of content, those that bear none aren't content; as the marks tell enough, what
+        lies between counts against the region at a tenth, so that an advert doesn't cut off a short last paragraph.
+        """
+        scores, tag = [self.word(features) for features, _, _ in page], self.tag
         if max(scores, default=0) > 1.5:
-            scores = [s if s > 1.5 else min(s, -0.25) for s in scores]
-        tokens = [x for s, (_, tags, text) in zip(scores, page) for x in (tags * self.tag, s * (text.count(" ") + 1))]
+            scores, tag = [s if s > 1.5 else min(s, -0.5) / 10 for s in scores], tag / 10
+        tokens = [x for s, (_, tags, text) in zip(scores, page) for x in (tags * tag, s * (text.count(" ") + 1))]
         lo, hi = best_region(tokens)
         return [text for s, (_, _, text) in zip(scores[lo // 2 : -(-hi // 2)], page[lo // 2 : -(-hi // 2)]) if s > 0]
 
