@@ -39,15 +39,20 @@ def pack_words(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     choice = np.full(n, len(COUNTS), np.int8)  # what no selector holds is escaped
-    top, at = int(ids.max()), np.arange(n)
+    top, at = int(ids.max()), np.arange(n, dtype=np.int32)
+    narrow = ids.astype(np.uint32) if top >> 32 == 0 else ids
     for s in range(len(COUNTS) - 1, -1, -1):  # narrower selectors hold more and so come last
-        if s and int(ids.min()) >> WIDTHS[s]:
-            break  # nor do the narrower ones hold any id
         if top >> WIDTHS[s]:
-            wide = np.where(ids >> np.uint64(WIDTHS[s]) != 0, at, n)
-            wide = np.minimum.accumulate(wide[::-1])[::-1]
-            fits = (wide - at >= COUNTS[s]) | ((wide == n) & (n - at <= COUNTS[s]))
-            choice[fits] = s
+            ends = np.append(np.flatnonzero(narrow >> narrow.dtype.type(WIDTHS[s])), n)  # each ends a run of ids that are narrow enough
+            begins = np.append(0, ends[:-1] + 1)
+            # Words may begin where a run still has as many ids as the selector holds, and anywhere in a last run of fewer.
+            counts = ends - begins - COUNTS[s] + 1
+            counts[-1] = ends[-1] - begins[-1]
+            held = counts > 0
+            if not held.any():
+                break  # nor do the narrower ones hold any id
+            begins, counts = begins[held], counts[held]
+            choice[np.repeat(begins - np.cumsum(counts) + counts, counts) + at[: counts.sum()]] = s
         else:
             choice[:] = s
     steps = np.array([*COUNTS, 1])[choice].tolist()
