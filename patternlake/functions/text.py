@@ -127,3 +127,26 @@ def task_category(query: Column) -> Column:
     short = F.array_join(F.slice(words, 1, 4), " ")
     out = out.when((F.size(words) >= 2) & verb.isin(*TASK_VERBS), F.concat(F.upper(F.left(verb, F.lit(1))), F.substring(verb, 2, 100), F.lit(" code/files")))
     return out.when(F.octet_length(short) > 40, F.concat(byte_truncate(short, 40), F.lit("..."))).otherwise(short)
+
+
+def term_score(query: Column, pattern: Column, query_terms: Column, pattern_terms: Column) -> Column:
+    """Weighted term frequencies of a long query against a pattern's, over the query's length alone; the terms are tokens() of either.
+
+    Raised where both are of one tech stack and lowered where the stacks differ; then 0.015 if none of the query's
+    first five words, of 4 bytes or more, occurs in the pattern.
+    """
+    q, p, low = tech_stack(query), tech_stack(pattern), F.lower(pattern)
+    known = (q != "unknown") & (p != "unknown")
+    factor = F.when(known & (q == p), 1.5).when(known, 0.3).otherwise(1.0)
+    common = F.exists(F.slice(space_words(F.lower(query)), 1, 5), lambda w: (F.octet_length(w) >= 4) & F.contains(low, w))
+    times = lambda t, terms: F.size(F.filter(terms, lambda x: x == t)) * term_weight(t)
+    distinct = F.array_distinct(query_terms)
+    dot = F.aggregate(distinct, F.lit(0.0), lambda a, t: a + times(t, query_terms) * times(t, pattern_terms))
+    norm = F.sqrt(F.aggregate(distinct, F.lit(0.0), lambda a, t: a + F.pow(times(t, query_terms), F.lit(2))))
+    return F.when(known & (q != p) & ~common, 0.05 * 0.3).otherwise(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)) * factor)
+
+
+def shared_words(a: Column, b: Column) -> Column:
+    """How many distinct words of 3 bytes or more two texts share."""
+    long_words = lambda x: F.filter(space_words(x), lambda w: F.octet_length(w) >= 3)
+    return F.size(F.array_intersect(long_words(a), long_words(b)))

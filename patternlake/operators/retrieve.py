@@ -30,6 +30,22 @@ def retrieve(queries: DataFrame, patterns: DataFrame, per_type: int = 8, k: int
     return scored.withColumn("place", best).where(F.col("place") <= k).select("query_id", "place", "id", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"))
 
 
+def term_scores(queries: DataFrame, patterns: DataFrame, per_type: int = 8) -> DataFrame:
+    """Each query (query_id, query, tool_type) against its type's per_type best patterns by weighted terms, which are taken from every text once."""
+    candidates = top_per_type(patterns, per_type).select("tool_type", "id", "context", T.tokens(F.col("context")).alias("pattern_terms"))
+    asked = queries.withColumn("query_terms", T.tokens(F.col("query")))
+    sim = T.term_score(F.col("query"), F.col("context"), F.col("query_terms"), F.col("pattern_terms"))
+    return asked.join(candidates, "tool_type").select("query_id", "id", F.round(sim, 6).alias("sim"))
+
+
+def first_overlap(queries: DataFrame, patterns: DataFrame, per_type: int = 10, min_shared: int = 2) -> DataFrame:
+    """Of each query's type's per_type best patterns the first that shares min_shared words with it; queries without one are left out."""
+    candidates = top_per_type(patterns, per_type).select("tool_type", "id", "context", "rank")
+    met = queries.join(candidates, "tool_type").withColumn("shared", T.shared_words(F.col("query"), F.col("context"))).where(F.col("shared") >= min_shared)
+    first = F.min(F.struct("rank", "id", "shared")).alias("first")
+    return met.groupBy("query_id").agg(first).select("query_id", "first.id", F.col("first.shared").cast("long").alias("shared"))
+
+
 def without_conflicts(candidates: DataFrame, conflicts: DataFrame, gate: int = 4) -> DataFrame:
     """candidates (query_id, place, id): where a query has more than gate of them, those in conflict with its first go."""
     sized = candidates.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))

@@ -15,6 +15,7 @@ from ..operators import graph as G
 from ..operators import patterns as P
 from ..operators import retrieve as R
 from ..operators import sessions as N
+from ..sources import bundles
 from ..streaming import accumulate
 from . import views as V
 
@@ -192,6 +193,32 @@ def q15_quick_similarity(spark, d):
     return _asks(p).join(p.where("k % 10 = 3"), "tool_type").select("query_id", "id", F.round(T.quick_score(F.col("query"), F.col("context")), 6).alias("sim"))
 
 
+def sql_top(n: int) -> str:
+    return f"c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool_type ORDER BY {SCORE} DESC, success DESC, id) AS rank FROM patterns_ctx) WHERE rank <= {n})"
+
+
+def sql_terms(key: str, text: str, table: str) -> str:
+    raw = f"SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_-]+')) AS w FROM {table}"
+    terms = f"SELECT {key}, {sql_stem('w')} AS term FROM ({raw}) WHERE strlen(w) >= 2 AND w NOT IN ({sql_list(T.STOP_WORDS)})"
+    return f"(SELECT {key}, term, count(*) AS n, ({SQL_WEIGHT})::DOUBLE AS weight FROM ({terms}) GROUP BY 1, 2)"
+
+
+SPACES = "'[\\x20\\x09-\\x0D]+'"
+FIRST_WORDS = f"list_filter(string_split_regex(lower(query), {SPACES}), lambda w: w <> '')[1:5]"
+
+
+@query(f"""WITH {V.PATTERNS_CTX}, {ASKS}, {sql_top(8)}, qt AS {sql_terms('query_id', 'query', 'asks')}, pt AS {sql_terms('id', 'context', 'c')},
+    norms AS (SELECT query_id, sqrt(sum(pow(n * weight, 2))) AS norm FROM qt GROUP BY 1),
+    hits AS (SELECT query_id, id, sum(qt.n * qt.weight * pt.n * pt.weight) AS dot FROM asks JOIN c USING (tool_type) JOIN qt USING (query_id) JOIN pt USING (id, term) GROUP BY 1, 2),
+    m AS (SELECT query_id, c.id, coalesce(dot / norm, 0) AS s, {sql_stack('lower(query)')} AS a, {sql_stack('lower(context)')} AS b,
+        len(list_filter({FIRST_WORDS}, lambda w: strlen(w) >= 4 AND contains(lower(context), w))) > 0 AS common
+        FROM asks JOIN c USING (tool_type) LEFT JOIN norms USING (query_id) LEFT JOIN hits USING (query_id, id))
+    SELECT query_id, id, round(CASE WHEN a = 'unknown' OR b = 'unknown' THEN s WHEN a = b THEN s * 1.5::DOUBLE WHEN common THEN s * 0.3::DOUBLE ELSE 0.015::DOUBLE END, 6) AS sim FROM m""")
+def q16_term_similarity(spark, d):
+    p = V.patterns_ctx(spark, d)
+    return R.term_scores(_asks(p), p)
+
+
 @query(f"""WITH {V.PATTERNS_CTX}, {ASKS}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool_type ORDER BY {SCORE} DESC, success DESC, id) AS rank FROM patterns_ctx) WHERE rank <= 8),
     s AS (SELECT query_id, id, rank, {sql_quick('query', 'context')} AS sim, success, failure FROM asks JOIN c USING (tool_type)),
     r AS (SELECT *, 0.6::DOUBLE * sim + 0.4::DOUBLE * greatest({SCORE}, 0) / 10.0::DOUBLE AS score FROM s WHERE sim >= 0.35::DOUBLE)
@@ -348,6 +375,15 @@ def q37_sensitive(spark, d):
     return V.table(spark, d, "documents").select("doc_id", S.is_sensitive(F.col("text")).alias("sensitive"))
 
 
+@query(f"WITH {V.PATTERNS_CTX} SELECT id, tool_type, category, success, failure, {S.as_sql('context', S.SECRETS + S.PATHS + S.PERSONAL)} AS context FROM patterns_ctx")
+def q38_bundle_round_trip(spark, d):
+    """Patterns as another workspace reads them from an exported bundle."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="patternlake-")
+    path = f"{base}/bundle_{uuid.uuid4().hex}"
+    schema = bundles.export_bundle(V.patterns_ctx(spark, d).select("id", "tool_type", "category", "success", "failure", "context"), path)
+    return bundles.import_bundle(spark, path, schema)
+
+
 @query(HALVES + """, a AS (SELECT * FROM t WHERE half = 0), b AS (SELECT * FROM t WHERE half = 1),
     n AS (SELECT b.* FROM b LEFT JOIN a USING (key) WHERE a.key IS NULL OR CASE WHEN b.success + b.failure > 0 THEN b.success::DOUBLE / (b.success + b.failure) ELSE 0.5 END > CASE WHEN a.success + a.failure > 0 THEN a.success::DOUBLE / (a.success + a.failure) ELSE 0.5 END)
     SELECT key, arg_min(label, half) AS label, sum(success)::BIGINT AS success, sum(failure)::BIGINT AS failure FROM (SELECT * FROM a UNION ALL SELECT * FROM n) GROUP BY key""")
@@ -392,6 +428,13 @@ def q42_version_compare(spark, d):
     return v.select("p_partkey", "v", (F.struct(n(1), n(2), n(3)) > F.struct(F.lit(1), F.lit(4), F.lit(2))).alias("newer"))
 
 
+@query(f"""WITH {V.PATTERNS_CTX}, {ASKS}, {sql_top(10)}, m AS (SELECT query_id, c.id, rank, len(list_intersect(list_filter(string_split_regex(query, {SPACES}), lambda w: strlen(w) >= 3), list_filter(string_split_regex(context, {SPACES}), lambda w: strlen(w) >= 3)))::BIGINT AS shared FROM asks JOIN c USING (tool_type))
+    SELECT query_id, id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM m WHERE shared >= 2) WHERE rn = 1""")
+def q43_word_overlap_match(spark, d):
+    p = V.patterns_ctx(spark, d)
+    return R.first_overlap(_asks(p), p)
+
+
 @query("SELECT page_id, string_split(url, '/')[-1] AS file_name, string_split(url, '.')[-1] AS extension FROM pages")
 def q44_path_parts(spark, d):
     return V.table(spark, d, "pages").select("page_id", T.file_name(F.col("url")).alias("file_name"), T.extension(F.col("url")).alias("extension"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patternlake.functions import sanitize, text
 from patternlake.operators import graph, patterns, retrieve, sessions
-from patternlake.sources import logs
+from patternlake.sources import bundles, logs
 
 
 def one(spark, value, make):
@@ -123,3 +123,26 @@ def test_hash_embed(spark):
     a, b, c, zero = (r["v"] for r in rows)
     dot = lambda x, y: sum(p * q for p, q in zip(x, y))
     assert abs(dot(a, a) - 1) < 1e-5 and not any(zero) and dot(a, b) > dot(a, c)
+
+
+def test_first_overlap_takes_the_best_ranked_pattern(spark):
+    p = spark.createDataFrame([(1, "t", "run the tests of app", 9, 0), (2, "t", "fix the tests of run.py", 5, 0), (3, "u", "fix the tests of run.py", 5, 0), (4, "t", None, 20, 0)], "id long, tool_type string, context string, success long, failure long")
+    q = spark.createDataFrame([(1, "fix the tests", "t"), (2, "fix it", "t"), (3, None, "t"), (4, "", "t"), (5, "fix the tests", None)], "query_id long, query string, tool_type string")
+    assert [tuple(r) for r in retrieve.first_overlap(q, p).collect()] == [(1, 1, 2)]
+
+
+def test_term_score_is_not_normalised_by_the_pattern(spark):
+    p = spark.createDataFrame([(1, "t", "parser parser lexer", 1, 0), (2, "t", "", 1, 0), (3, "t", "main.rs cargo", 1, 0)], "id long, tool_type string, context string, success long, failure long")
+    q = spark.createDataFrame([(1, "parser words", "t"), (2, "", "t"), (3, "pytest run.py", "t")], "query_id long, query string, tool_type string")
+    got = {(r["query_id"], r["id"]): r["sim"] for r in retrieve.term_scores(q, p).collect()}
+    assert len(got) == 9 and got[2, 1] == 0 and got[1, 2] == 0 and got[3, 3] == 0.015
+    weights = {"parser": 1.2, "word": 1.0}
+    assert got[1, 1] == pytest.approx(2 * 1.2 * 1.2 / (weights["parser"] ** 2 + weights["word"] ** 2) ** 0.5, abs=1e-6)
+
+
+def test_bundle_round_trip(spark, tmp_path):
+    p = spark.createDataFrame([(1, "a\nb", 3), (2, None, None), (3, "", 0)], "id long, context string, success long")
+    schema = bundles.export_bundle(p, f"{tmp_path}/b")
+    assert sorted(map(tuple, bundles.import_bundle(spark, f"{tmp_path}/b", schema).collect())) == [(1, "a\nb", 3), (2, None, None), (3, "", 0)]
+    with pytest.raises(ValueError):
+        bundles.export_bundle(p.where("1 = 0"), f"{tmp_path}/none")
