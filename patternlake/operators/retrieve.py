@@ -75,11 +75,19 @@ FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 MULTIPLIER, INCREMENT = 6364136223846793005, 1442695040888963407
 
 
-def fnv1a(data: bytes) -> int:
-    h = FNV_OFFSET
-    for b in data:
-        h = (h ^ b) * FNV_PRIME % 2**64
-    return h
+def fnv1a(texts: list[str], states: np.ndarray) -> np.ndarray:
+    """FNV-1a of each text, each from its own state on; a state goes through all texts' bytes at one place together."""
+    raw = [t.encode() for t in texts]
+    sizes = np.array([len(x) for x in raw], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    starts, data = (np.cumsum(sizes) - sizes)[order], np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    left = np.cumsum(np.bincount(sizes)[::-1])[::-1] if len(sizes) else sizes  # how many texts have so many bytes
+    h = states[order]
+    for at, n in enumerate(left[1:].tolist()):
+        h[:n] = (h[:n] ^ data[starts[:n] + at]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 def hash_embed(dimensions: int = 384):
@@ -90,18 +98,23 @@ def hash_embed(dimensions: int = 384):
         a, c = a * MULTIPLIER % 2**64, (c * MULTIPLIER + INCREMENT) % 2**64
         step_a[i], step_c[i] = a, c
 
-    def total(words: list[str]) -> np.ndarray:
-        seeds = np.array([fnv1a(w.encode()) for w in words], np.uint64)[:, None]
-        out = np.zeros(dimensions, np.float64)
-        for lo in range(0, len(seeds), 256):
-            out += (((seeds[lo : lo + 256] * step_a + step_c).astype(np.float32) / np.float32(2**64)) * 2 - 1).sum(axis=0)
-        return out
+    def total(hashes: np.ndarray) -> np.ndarray:
+        """Sum of the vectors: 2 * state / 2**64 - 1 in each dimension, by the states' upper halves, whose sum is exact."""
+        upper, held = np.zeros(dimensions, np.uint64), np.empty((64, dimensions), np.uint64)
+        for lo in range(0, len(hashes), 64):  # few enough to stay in the processor's cache
+            part = held[: len(hashes[lo : lo + 64])]
+            np.multiply(hashes[lo : lo + 64, None], step_a, out=part)
+            part += step_c
+            part >>= np.uint64(32)
+            upper += part.sum(axis=0)
+        return upper / 2.0**31 - len(hashes)
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[float]:
             words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if len(w.encode()) > 1]
-            v = total([*words, *(f"{a}_{b}" for a, b in zip(words, words[1:]))])
+            firsts = fnv1a(words, np.full(len(words), FNV_OFFSET, np.uint64))
+            v = total(np.concatenate([firsts, fnv1a([f"_{w}" for w in words[1:]], firsts[:-1])]))
             size = float(np.linalg.norm(v))
             return (v / size if size > 1e-10 else v).astype(np.float32).tolist()
 

@@ -1,6 +1,7 @@
 """Counter tables, graph, sessions and retrieval on small inputs."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,26 @@ def test_trajectories(spark, tmp_path):
     assert r["tool_results"][0]["content"] == "done"
 
 
+def test_hash_embed_equals_a_plain_loop(spark):
+    def fnv(data):
+        h = retrieve.FNV_OFFSET
+        for x in data:
+            h = (h ^ x) * retrieve.FNV_PRIME % 2**64
+        return h
+
+    texts = ["running npm install", "Über_die Wälder, 漢字 aa", "x", "", None, "word " * 400 + "y" * 5000]
+    for text, got in zip(texts, (r["v"] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(retrieve.hash_embed(16)("t").alias("v")).collect())):
+        words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if len(w.encode()) > 1]
+        sums = [0.0] * 16
+        for term in [*words, *(f"{a}_{b}" for a, b in zip(words, words[1:]))]:
+            state = fnv(term.encode())
+            for i in range(16):
+                state = (state * retrieve.MULTIPLIER + retrieve.INCREMENT) % 2**64
+                sums[i] += state / 2**63 - 1
+        size = sum(x * x for x in sums) ** 0.5
+        assert got == pytest.approx([x / size if size else 0.0 for x in sums], abs=1e-5)
+
+
 def test_hash_embed(spark):
     rows = spark.createDataFrame([("running npm install",), ("npm install packages",), ("cargo build",), ("",)], "t string").select(retrieve.hash_embed(64)("t").alias("v")).collect()
     a, b, c, zero = (r["v"] for r in rows)
