@@ -3,7 +3,8 @@
 A graph of each vector's nearest known neighbours is refined: a neighbour's neighbours are likely neighbours too. It
 starts from windows along random projections. In each round, every vector hosts its neighbours, forwards and backwards,
 and compares them with one another; what beats the weakest entry of a list goes in. Lists that are saturated, whose
-weakest entry is still a link, are enlarged to all of their component, which is compared in blocks. A sample of rows is
+weakest entry is still a link, are enlarged to all of their component, which is compared in blocks; before that, such
+nodes of different components are compared exactly, by balls about pivots, for their lists may hold siblings only. A sample of rows is
 compared with all others to audit the recall of links, and refinement goes on while it is too low. The links are the
 edges at the threshold or above.
 """
@@ -18,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, shared_path
 from .components import components
 
 WINDOW = 256  # rows of a projection's order that are compared with one another
 HOSTED = 128  # guests that a host compares at a time
+BALLS = 512  # balls that are compared with as many at a time
 BLOCK = 256  # rows of a component that are compared with as many at a time
 AUDITED = 256  # vectors in the audit, a bounded sample
 EDGE = "node long, other long, sim double"
@@ -141,6 +143,94 @@ def block_links(members: DataFrame, threshold: float) -> DataFrame:
     return asks.union(answers).groupBy("root", "i", "j").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of some True cells of a matrix, enough of them that rows and columns that are connected stay so; fewer than its rows and columns."""
+    fresh_rows, fresh_cols, out = linked.any(axis=1), linked.any(axis=0), []
+    for start in np.flatnonzero(fresh_rows):
+        if not fresh_rows[start]:
+            continue
+        fresh_rows[start], todo = False, [(start, True)]
+        while todo:
+            x, is_row = todo.pop()
+            new = np.flatnonzero(linked[x] & fresh_cols if is_row else linked[:, x] & fresh_rows)
+            (fresh_cols if is_row else fresh_rows)[new] = False
+            out += [(x, y) if is_row else (y, x) for y in new]
+            todo += [(y, not is_row) for y in new]
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def near_balls(balls: DataFrame, threshold: float, direct: bool) -> DataFrame:
+    """balls (pivot, root, low, vector): pairs (p, q) of pivots of different roots.
+
+    direct: pivots that are links themselves, enough of them to connect what they connect. Otherwise all whose balls
+    may hold a link by the triangle inequality of angles; low is the least cosine of a ball's members to its pivot.
+    """
+    blocks = max(1, -(-balls.count() // BALLS))
+    met = balls.withColumn("block", F.pmod(F.xxhash64("pivot"), F.lit(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select(F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "pivot", "root", "low", "vector")
+
+    def meet(table: pa.Table) -> pa.Table:
+        pivot, root, block = (np.asarray(table[c]) for c in ("pivot", "root", "block"))
+        angle, rows = np.arccos(np.clip(np.asarray(table["low"]), -1, 1)), matrix(table["vector"].combine_chunks())
+        blocks_met = {table["i"][0].as_py(), table["j"][0].as_py()}
+        left, right = np.flatnonzero(block == min(blocks_met)), np.flatnonzero(block == max(blocks_met))
+        sims = rows[left] @ rows[right].T
+        apart = root[left][:, None] != root[right][None, :]
+        if direct:
+            i, j = forest((sims >= threshold) & apart)
+        else:
+            reach = np.minimum(np.pi, angle[left][:, None] + angle[right][None, :] + np.arccos(threshold) + 1e-6)
+            once = len(blocks_met) > 1 or pivot[left][:, None] < pivot[right][None, :]
+            i, j = np.nonzero((sims >= np.cos(reach)) & apart & once)
+        return pa.table({"p": pivot[left[i]], "q": pivot[right[j]]})
+
+    return met.groupBy("i", "j").applyInArrow(meet, "p long, q long")
+
+
+def fresh(pairs: DataFrame) -> DataFrame:
+    """The pairs written and read again. cut() keeps estimates of size, which joins multiply: after many of them, planning the rounds of components() takes exponentially long."""
+    path = shared_path(pairs.sparkSession, "pairs")
+    pairs.write.parquet(path)
+    return pairs.sparkSession.read.schema("a long, b long").parquet(path)
+
+
+def bridges(graph: DataFrame, full: DataFrame, roots: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between nodes of full, saturated lists, of different roots: enough that all such nodes with a link are connected.
+
+    A node belongs to the ball of the smallest saturated node in its list, itself included, so that balls are small.
+    Pivots are compared with one another; where their balls are near enough to hold a link, so are all of their members.
+    """
+    inner = graph.join(full, "node").join(full.withColumnRenamed("node", "other"), "other")
+    own = full.join(inner.groupBy("node").agg(F.min(F.struct("other", "sim")).alias("m")), "node", "left").join(roots, "node")
+    moves = F.coalesce(F.col("m.other") < F.col("node"), F.lit(False))
+    members = cut(own.select("node", "root", F.when(moves, F.col("m.other")).otherwise(F.col("node")).alias("pivot"), F.when(moves, F.col("m.sim")).otherwise(F.lit(1.0)).alias("sim")))
+    sizes = cut(members.groupBy("pivot").agg(F.min("sim").alias("low"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    pivots = cut(sizes.join(roots.withColumnRenamed("node", "pivot"), "pivot").join(vectors.select(F.col("node").alias("pivot"), "vector"), "pivot").select("pivot", "root", "low", "parts", "vector"))
+    direct = cut(near_balls(pivots.select("pivot", "root", "low", "vector"), threshold, True))
+    # What pivots have joined isn't compared again.
+    edges = direct.select(F.col("p").alias("a"), F.col("q").alias("b"))
+    ends = pivots.select("pivot", "root")
+    joined = edges.join(ends.withColumnsRenamed({"pivot": "a", "root": "ra"}), "a").join(ends.withColumnsRenamed({"pivot": "b", "root": "rb"}), "b")
+    merged = components(fresh(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    left = pivots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("pivot", F.coalesce("top", "root").alias("root"), "low", "vector")
+    pairs = cut(near_balls(left, threshold, False))
+    parts = sizes.select("pivot", "parts")
+    pairs = pairs.join(parts.withColumnsRenamed({"pivot": "p", "parts": "np"}), "p").join(parts.withColumnsRenamed({"pivot": "q", "parts": "nq"}), "q")
+    dealt = members.join(parts, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")).join(vectors.select("node", "vector"), "node")
+    asks = pairs.join(dealt.withColumnsRenamed({"pivot": "p", "part": "pp"}), "p").withColumn("qq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("p", "pp", "q", "qq", F.lit(True).alias("asks"), "node", "vector")
+    answers = pairs.join(dealt.withColumnsRenamed({"pivot": "q", "part": "qq"}), "q").withColumn("pp", F.explode(F.sequence(F.lit(0), F.col("np") - 1))).select("p", "pp", "q", "qq", F.lit(False).alias("asks"), "node", "vector")
+
+    def link(table: pa.Table) -> pa.Table:
+        asks = np.asarray(table["asks"].combine_chunks().to_numpy(zero_copy_only=False))
+        node, rows = np.asarray(table["node"]), matrix(table["vector"].combine_chunks())
+        i, j = forest(rows[asks] @ rows[~asks].T >= threshold)
+        return pa.table({"a": node[asks][i], "b": node[~asks][j]})
+
+    found = asks.union(answers).groupBy("p", "pp", "q", "qq").applyInArrow(link, "a long, b long").union(edges)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def audit(found: DataFrame, vectors: DataFrame, threshold: float) -> tuple[float, DataFrame]:
     """Recall of links over a seeded sample of AUDITED vectors, each compared with all others, and their true links (a, b).
 
@@ -194,9 +284,12 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, k: int = 12, tr
     for round_ in range(max_rounds):
         graph = cut(refine(graph, vectors, k, round_))
         pairs = graph.where(F.col("sim") >= threshold - 1e-6).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        links = cut(exact_links(pairs.distinct(), vectors, threshold).union(links).distinct())
+        links = fresh(exact_links(pairs.distinct(), vectors, threshold).union(links).distinct())
+        full = cut(graph.groupBy("node").agg(F.count("*").alias("n"), F.min("sim").alias("floor")).where((F.col("n") >= k) & (F.col("floor") >= threshold)).select("node"))
         roots = components(links)
-        full = graph.groupBy("node").agg(F.count("*").alias("n"), F.min("sim").alias("floor")).where((F.col("n") >= k) & (F.col("floor") >= threshold)).select("node")
+        if not full.isEmpty():
+            links = fresh(bridges(graph, full, roots, vectors, threshold).union(links).distinct())
+            roots = components(links)
         large = cut(roots.join(full, "node").select("root").distinct())
         # Saturated lists, enlarged to their component; the other components have all their links in the lists.
         members = roots.join(large, "root").join(vectors.select("node", F.lit(1).cast("long").alias("weight"), "vector"), "node")
@@ -207,7 +300,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, k: int = 12, tr
         if recall >= min_recall:
             break
     # What the audit found are links too.
-    links = cut(exact_links(truth.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), vectors, threshold).union(links).distinct())
+    links = fresh(exact_links(truth.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), vectors, threshold).union(links).distinct())
     roots = components(links)
     members = roots.join(cut(roots.join(full, "node").select("root").distinct()), "root").join(vectors, "node")
     enlarged = cut(block_links(members.select("root", "node", "weight", "vector"), threshold))

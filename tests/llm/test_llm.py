@@ -199,6 +199,30 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(e.where("1 = 0")).count() == 0
 
 
+def test_near_vectors_across_saturated_lists(spark):
+    """12 tight sub-clusters of 25 whose members are all links of one another: 12 neighbours are siblings, no list holds a link to another sub-cluster."""
+    rng = np.random.default_rng(8)
+    centre, steps = rng.normal(size=64), rng.normal(size=(12, 64))
+    centre /= np.linalg.norm(centre)
+    subs = centre + 0.15 * steps / np.linalg.norm(steps, axis=1, keepdims=True)
+    x = np.repeat(subs, 25, axis=0) + rng.normal(size=(300, 64)) * 0.0005
+    x = np.vstack([x, rng.normal(size=(60, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.95
+    assert links[:300, :300].all()
+    # Lists of siblings only, as refinement leaves them in a large table.
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<double>")
+    graph = [(i, j, float(unit[i] @ unit[j])) for i in range(300) for j in range(i // 25 * 25, i // 25 * 25 + 25) if i != j]
+    full = spark.range(300).withColumnRenamed("id", "node")
+    roots = full.withColumn("root", F.floor(F.col("node") / 25) * 25)
+    found = neighbours.bridges(spark.createDataFrame(graph, "node long, other long, sim double"), full, roots, vectors, 0.95).collect()
+    assert all(links[a, b] for a, b in found)
+    top = {r["node"]: r["root"] for r in components.components(spark.createDataFrame([(a, b) for a, b in found], "a long, b long").union(roots.select("node", "root"))).collect()}
+    assert set(top.values()) == {0} and len(top) == 300
+    got = {r["vec_id"]: r for r in neighbours.near_vectors(vectors.withColumnsRenamed({"node": "vec_id", "vector": "embedding"}), trees=1).collect()}
+    assert [got[i]["n_links"] for i in range(360)] == (links.sum(axis=1) - 1).tolist() and sum(got[i]["kept"] for i in range(300)) == 1
+
+
 def test_gradients_by_differences():
     net = language.Network(["a", "b", "c"], 3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
