@@ -5,12 +5,13 @@ starts from windows along random projections. In each round, every vector hosts
 and compares them with one another; what beats the weakest entry of a list goes in. Lists that are saturated, whose
 weakest entry is still a link, are enlarged to all of their component, which is compared in blocks; before that, such
 nodes of different components are compared exactly, by balls about pivots, for their lists may hold siblings only. A sample of rows is
-compared with all others to audit the recall of links, and refinement goes on while it is too low. The links are the
+compared with all others to audit the recall of links, and refinement goes on while it is too low or unproved. The links are the
 edges at the threshold or above.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,15 @@ from pyspark.sql.window import Window
 from .common import cut, shared_path
 from .components import components
 
+log = logging.getLogger(__name__)
+
 WINDOW = 256  # rows of a projection's order that are compared with one another
 HOSTED = 128  # guests that a host compares at a time
 BALLS = 512  # balls that are compared with as many at a time
 BLOCK = 256  # rows of a component that are compared with as many at a time
-AUDITED = 256  # vectors in the audit, a bounded sample
+AUDITED = 256  # vectors that the audit asks at a time
+SHARE = 50  # one of so many vectors is in the audit's sample
+PROVING = 100  # vectors with a link that end the audit
 EDGE = "node long, other long, sim double"
 
 
@@ -66,7 +71,8 @@ def windows(vectors: DataFrame, k: int, seed: int) -> DataFrame:
                 yield edges_batch(own[i], own[top.ravel()], sims[i, top.ravel()])
 
     placed = vectors.select("node", "vector").mapInArrow(place, f"node long, vector {vectors.schema['vector'].dataType.simpleString()}, place double")
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A partition holds a whole window at least: rows that are alone in theirs meet nobody.
+    n = max(1, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), vectors.count() // WINDOW))
     return placed.repartitionByRange(n, "place", "node").sortWithinPartitions("place", "node").select("node", "vector").mapInArrow(near, EDGE)
 
 
@@ -231,15 +237,17 @@ def bridges(graph: DataFrame, full: DataFrame, roots: DataFrame, vectors: DataFr
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def audit(found: DataFrame, vectors: DataFrame, threshold: float) -> tuple[float, DataFrame]:
-    """Recall of links over a seeded sample of AUDITED vectors, each compared with all others, and their true links (a, b).
+def true_links(vectors: DataFrame, threshold: float) -> DataFrame:
+    """True links (a, b) of seeded sample vectors a, each compared with all others.
 
-    found (node, n): the number of distinct vectors linked to each node.
+    The sample is one of SHARE vectors, AUDITED of them at least, asked in blocks of about AUDITED; it ends early once
+    PROVING of those asked have a link.
     """
-    asked = vectors.select("node", "vector").orderBy(F.xxhash64("node", F.lit(11))).limit(AUDITED).toPandas()
-    ids, rows = asked["node"].to_numpy(), np.array(asked["vector"].tolist(), dtype=np.float64)
-    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, rows))  # AUDITED vectors at most
+    hashed = vectors.select("node", "vector", F.xxhash64("node", F.lit(11)).alias("h"))
+    asked = cut(hashed.where(F.pmod("h", F.lit(SHARE)) == 0))
+    if (n := asked.count()) < AUDITED:
+        asked, n = cut(hashed.orderBy("h").limit(AUDITED)), AUDITED
+    parts, seen, truth = -(-n // AUDITED), 0, vectors.sparkSession.createDataFrame([], "a long, b long")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows = shared.value
@@ -248,10 +256,24 @@ def audit(found: DataFrame, vectors: DataFrame, threshold: float) -> tuple[float
             i, j = np.nonzero((sims >= threshold) & (node[:, None] != ids[None, :]))
             yield pa.RecordBatch.from_arrays([pa.array(ids[j], pa.int64()), pa.array(node[i], pa.int64())], names=["a", "b"])
 
-    truth = cut(vectors.select("node", "vector").mapInArrow(ask, "a long, b long"))
+    for part in range(parts):
+        block = asked.where(F.pmod(F.xxhash64("node", F.lit(12)), F.lit(parts)) == part).select("node", "vector").toPandas()
+        if block.empty:
+            continue
+        rows = np.array(block["vector"].tolist(), dtype=np.float64)
+        shared = vectors.sparkSession.sparkContext.broadcast((block["node"].to_numpy(), rows / np.linalg.norm(rows, axis=1, keepdims=True)))
+        found = cut(vectors.select("node", "vector").mapInArrow(ask, "a long, b long"))
+        truth, seen = truth.union(found), seen + found.select("a").distinct().count()
+        if seen >= PROVING:
+            break
+    return cut(truth)
+
+
+def audit(found: DataFrame, truth: DataFrame) -> float | None:
+    """Recall of the links of truth's sample; None, unproved, if it has none. found (node, n): the number of distinct vectors linked to each node."""
     true = truth.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("t"))
     row = true.join(found, "node", "left").agg(F.sum("t").alias("t"), F.sum(F.least("t", F.coalesce("n", F.lit(0)))).alias("n")).first()
-    return (row["n"] / row["t"] if row["t"] else 1.0), truth
+    return row["n"] / row["t"] if row["t"] else None
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.95, k: int = 12, trees: int = 4, min_recall: float = 0.98, max_rounds: int = 6) -> DataFrame:
@@ -259,22 +281,26 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, k: int = 12, tr
 
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included),
     kept (vec_id is its component's smallest). A vector that is null, empty, zero or holds null or non-finite numbers
-    links with nothing, and so does one whose length is not the commonest. Rows with equal vectors are compared once
+    links with nothing; vectors of different lengths don't link. Rows with equal vectors are compared once
     and counted each; repeated ids stay repeated. Other columns are not read. An empty table gives no rows.
-    min_recall is asked of the audit; max_rounds bounds the refinement, k is a list's length before it is enlarged.
+    min_recall is asked of the audit, whose links are not added to the result; it is logged. max_rounds bounds the refinement, k is a list's length before it is enlarged.
     """
-    spark = embeddings.sparkSession
     value = F.col("embedding") if dict(embeddings.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     fine = value.isNotNull() & (F.size(value) > 0) & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
     rows = embeddings.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), value).alias("vector"))
-    sizes = rows.where("vector is not null").groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = rows.withColumn("vector", F.when(F.size("vector") == (sizes["size"] if sizes else 0), F.col("vector")))
     rows = cut(rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))))
-    alone = rows.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    vectors = cut(rows.where("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("vec_id").alias("first")))
-    if vectors.isEmpty():
-        return alone
-
+    out = rows.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    sizes = rows.where("node is not null").select(F.size("vector").alias("size")).distinct().collect()  # one row a length
+    for size in sorted(x["size"] for x in sizes):
+        out = out.union(near_of_one_length(rows.where(F.size("vector") == size), threshold, k, trees, min_recall, max_rounds))
+    return out
+
+
+def near_of_one_length(rows: DataFrame, threshold: float, k: int, trees: int, min_recall: float, max_rounds: int) -> DataFrame:
+    """near_vectors() of rows (vec_id, vector, node), whose vectors have one length and are fit to compare."""
+    spark = rows.sparkSession
+    vectors = cut(rows.groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("vec_id").alias("first")))
+    truth, size = true_links(vectors, threshold), vectors.select(F.size("vector")).first()[0]
     links = spark.createDataFrame([], "a long, b long")
     graph = nearest(windows(vectors, k, 0), k)
     for tree in range(1, trees):
@@ -296,12 +322,12 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, k: int = 12, tr
         enlarged = cut(block_links(members.select("root", "node", "weight", "vector"), threshold))
         ends = links.select(F.col("a").alias("node")).union(links.select("b"))
         plain = ends.join(enlarged, "node", "left_anti").groupBy("node").agg(F.count("*").alias("n"))
-        recall, truth = audit(plain.union(enlarged.where("n > 0")), vectors, threshold)
-        if recall >= min_recall:
+        recall = audit(plain.union(enlarged.where("n > 0")), truth)
+        log.info("vectors of length %s, round %d: recall of links %s", size, round_, recall)
+        if recall is not None and recall >= min_recall:
             break
-    # What the audit found are links too.
-    links = fresh(exact_links(truth.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), vectors, threshold).union(links).distinct())
-    roots = components(links)
+    else:
+        log.warning("vectors of length %s: recall of links %s after all rounds", size, recall)
     members = roots.join(cut(roots.join(full, "node").select("root").distinct()), "root").join(vectors, "node")
     enlarged = cut(block_links(members.select("root", "node", "weight", "vector"), threshold))
     both = links.union(links.select("b", "a")).join(enlarged.withColumnRenamed("node", "a"), "a", "left_anti")
@@ -312,5 +338,5 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, k: int = 12, tr
     placed = placed.select("node", "weight", "first", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = cut(placed.join(named, "root").select("node", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id"))
-    linked = rows.where("node is not null").select("vec_id", "node").join(placed, "node")
-    return linked.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")).union(alone)
+    linked = rows.select("vec_id", "node").join(placed, "node")
+    return linked.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -223,6 +223,16 @@ def test_near_vectors_across_saturated_lists(spark):
     assert [got[i]["n_links"] for i in range(360)] == (links.sum(axis=1) - 1).tolist() and sum(got[i]["kept"] for i in range(300)) == 1
 
 
+def test_near_vectors_of_two_lengths_and_audit(spark):
+    rows = [(i, [float(i % 3 == d) for d in range(8)]) for i in range(9)] + [(9, [1.0, 0.0, 0.0]), (10, [1.0, 0.01, 0.0]), (11, [0.0, 0.0, 1.0])]
+    got = {r["vec_id"]: r for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), max_rounds=1).collect()}
+    assert [got[i]["n_links"] for i in range(12)] == [2] * 9 + [1, 1, 0] and [got[i]["component_id"] for i in (0, 3, 9, 10, 11)] == [0, 0, 9, 9, 11]
+    vectors = spark.createDataFrame([(i, [float(i == d) for d in range(4)]) for i in range(4)], "node long, vector array<double>")
+    found = spark.createDataFrame([(0, 1)], "node long, n long")
+    assert neighbours.audit(found, neighbours.true_links(vectors, 0.95)) is None
+    assert neighbours.audit(found, spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")) == 0.5
+
+
 def test_gradients_by_differences():
     net = language.Network(["a", "b", "c"], 3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
