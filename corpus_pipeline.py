@@ -17,11 +17,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest doc_id, of each group of near-duplicates. Of rows that repeat a doc_id one stays."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id"]) if kept.groupBy("doc_id").count().where("count > 1").limit(1).count() else kept
+    """Keep one row of each group of near-duplicates: that of the smallest doc_id, null last; of equal ones by a hash of the row. Rows that share a doc_id, or have none, are rows of their own."""
+    path = shared_path(spark, "rows")
+    docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)  # written, so that a row's id stays
+    rows = spark.read.parquet(path)
+    found = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("hash"), "row")
+    first = found.join(rows.select("row", order.alias("order")), "row").groupBy("component_id").agg(F.min("order").alias("m"))
+    return rows.join(cut(first.select(F.col("m.row").alias("row"))), "row", "left_semi").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -333,3 +333,14 @@ def test_pipeline_over_odd_rows(spark, docs, none, tmp_path):
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
         assert out.columns[:3] == ["doc_id", "start", "length"]
         assert (out.count() > 0) == (name == "some")
+
+
+def test_dedup_keeps_rows_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(60)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (1, texts[4]), (None, texts[5]), (3, texts[5]), (4, texts[5])]
+    kept = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA), "").collect()
+    assert sorted((texts.index(r["text"]), r["doc_id"]) for r in kept if r["doc_id"] is not None) == [(0, 1), (1, 1), (4, 1), (5, 3)]
+    assert sorted(texts.index(r["text"]) for r in kept if r["doc_id"] is None) == [2, 3]
