@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="patternlake-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -47,6 +49,42 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A broadcast hint only after counting that df has at most max_rows rows; a shuffled join otherwise. Give it a cut() table."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def bytes_of(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes."""
+    def width(field) -> Column:
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if kind == "array":
+            return F.greatest(F.size(c), F.lit(0)) * 16 + 16
+        if kind in ("struct", "map"):
+            return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) * 2
+        return F.lit(8)
+
+    return sum((width(f) for f in df.schema), F.lit(8))
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """A broadcast hint only after measuring that df takes at most max_bytes; a shuffled join otherwise. Give it a cut() table."""
+    size = df.agg(F.sum(bytes_of(df)).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= max_bytes else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", max_bytes: int = 16 << 20, share: int = 50_000) -> DataFrame:
+    """left join right on key, where right has every key once at most and left may have few of them very often.
+
+    right is broadcast if it is measured to be small. Otherwise, keys that hold more than 1 / share of left's rows are
+    dealt over several tasks each, with their row of right repeated; fewer than share keys can, so their list is
+    bounded. Give it cut() tables. how is inner, left or left_semi.
+    """
+    small = broadcast_if_small(right, max_bytes)
+    if small is not right:
+        return left.join(small, key, how)
+    limit = max(256, -(-left.count() // share))
+    hot = left.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("int").alias("parts_"))
+    hot = F.broadcast(cut(hot))
+    part = F.coalesce(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in left.columns)), F.col("parts_").cast("long")), F.lit(0).cast("long"))
+    dealt = left.join(hot, key, "left").withColumn("part_", part).drop("parts_")
+    parts = F.sequence(F.lit(0).cast("long"), F.coalesce("parts_", F.lit(1)).cast("long") - 1)
+    repeated = right.join(hot, key, "left").withColumn("part_", F.explode(parts)).drop("parts_")
+    return dealt.join(repeated, [key, "part_"], how).drop("part_")

@@ -2,36 +2,41 @@
 
 A graph of each vector's nearest known neighbours is refined: a neighbour's neighbours are likely neighbours too. It
 starts from windows along random projections. In each round, every vector hosts its neighbours, forwards and backwards,
-and compares them with one another; what beats the weakest entry of a list goes in. Lists that are saturated, whose
-weakest entry is still a link, are enlarged to all of their component, which is compared in blocks; before that, such
-nodes of different components are compared exactly, by balls about pivots, for their lists may hold siblings only. A sample of rows is
-compared with all others to audit the recall of links, and refinement goes on while it is too low or unproved. The links are the
-edges at the threshold or above.
+and compares them with one another; what beats the weakest entry of a list goes in, until few entries change.
+
+A list is saturated if it is full and its weakest entry is still a link: it may lack links. Its component is then
+enlarged to hold all of its members' links, which are counted by comparing the component's rows in blocks. What such
+lists hold are siblings, so the descent goes on among the components' pivots, which look for neighbours of other
+components only; members of near pivots are compared, and components that a link joins are one from then on.
+
+A sample of rows is compared with all others to audit the recall of links; while it is too low, lists are made twice as
+long. The links are the edges at the threshold or above.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut, shared_path
+from .common import broadcast_if_small, cut, shared_path, spread_join
 from .components import components
 
 log = logging.getLogger(__name__)
 
 WINDOW = 256  # rows of a projection's order that are compared with one another
-HOSTED = 128  # guests that a host compares at a time
-BALLS = 512  # balls that are compared with as many at a time
-BLOCK = 256  # rows of a component that are compared with as many at a time
-AUDITED = 256  # vectors that the audit asks at a time
-SHARE = 50  # one of so many vectors is in the audit's sample
+HOSTED = 64  # guests that a host compares at a time
+BLOCK = 2048  # rows of a component, or of a ball, that are compared with as many at a time
+AUDITED = 2048  # vectors that the audit asks at a time
+SHARE = 50  # vectors whose id it divides are in the audit's sample
 PROVING = 100  # vectors with a link that end the audit
+SETTLED = 0.02  # share of entries that may still change when a descent ends
+ROUNDS = 8  # rounds of a descent
 EDGE = "node long, other long, sim double"
 
 
@@ -43,110 +48,131 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def edges_batch(node: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(sim, pa.float64())], names=["node", "other", "sim"])
+    """Edges, their cosines rounded so that a pair that is compared twice gives the same."""
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(np.round(sim, 12), pa.float64())], names=["node", "other", "sim"])
 
 
-def windows(vectors: DataFrame, k: int, seed: int) -> DataFrame:
-    """The k nearest of each vector within a window of a seeded order: by the signs of 12 random projections, then by another one."""
-    size = vectors.select(F.size("vector")).first()[0]
-    planes = np.random.default_rng(seed).normal(size=(size, 13))
+def best_of(node: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best edges of each node of a batch."""
+    order = np.lexsort((-sim, node))
+    node, other, sim = node[order], other[order], sim[order]
+    starts = np.flatnonzero(np.diff(node, prepend=node[:1] - 1))
+    place = np.arange(len(node)) - np.repeat(starts, np.diff(np.append(starts, len(node))))
+    return edges_batch(node[place < k], other[place < k], sim[place < k])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = matrix(batch.column(1)) @ planes
-            cell = ((p[:, :12] > 0) @ (1 << np.arange(12))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell + 0.5 + np.tanh(p[:, 12]) / 2.001)], names=["node", "vector", "place"])
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, rows = np.asarray(batch.column(0)), matrix(batch.column(1))
-            for lo in range(0, len(nodes), WINDOW // 2):
-                own, m = nodes[lo : lo + WINDOW], rows[lo : lo + WINDOW]
-                if len(own) < 2:
-                    continue
-                sims = m @ m.T
-                np.fill_diagonal(sims, -2)
-                top = np.argpartition(-sims, min(k, len(own) - 1) - 1, axis=1)[:, : min(k, len(own) - 1)]
-                i = np.repeat(np.arange(len(own)), top.shape[1])
-                yield edges_batch(own[i], own[top.ravel()], sims[i, top.ravel()])
-
-    placed = vectors.select("node", "vector").mapInArrow(place, f"node long, vector {vectors.schema['vector'].dataType.simpleString()}, place double")
-    # A partition holds a whole window at least: rows that are alone in theirs meet nobody.
-    n = max(1, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), vectors.count() // WINDOW))
-    return placed.repartitionByRange(n, "place", "node").sortWithinPartitions("place", "node").select("node", "vector").mapInArrow(near, EDGE)
+def nearest(edges: DataFrame, k: int) -> DataFrame:
+    """The k best of each node's edges; equal pairs count once. Batches give k of a node's edges at most, so no node gathers all its pairs."""
+    best = F.slice(F.sort_array(F.array_distinct(F.collect_list(F.struct("sim", "other"))), asc=False), 1, k)
+    return edges.groupBy("node").agg(best.alias("list")).select("node", F.explode("list").alias("e")).select("node", "e.other", "e.sim")
 
 
-def nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The k best of each node's edges; equal pairs count once."""
-    best = edges.groupBy("node", "other").agg(F.max("sim").alias("sim"))
-    lists = best.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sim", "other")), asc=False).alias("list"))
-    return lists.select("node", F.explode(F.slice("list", 1, k)).alias("e")).select("node", "e.other", "e.sim")
+def windows(nodes: DataFrame, k: int, trees: int, seed: int) -> DataFrame:
+    """nodes (node, root, vector): the nearest of other roots to each within windows of seeded orders, by the signs of 12 random projections, then by another one. All orders take one shuffle."""
+    size = nodes.select(F.size("vector")).first()[0]
+    planes = np.random.default_rng(seed).normal(size=(trees, size, 13))
+    kind = nodes.schema["vector"].dataType.simpleString()
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = matrix(batch.column(2))
+            for tree in range(trees):
+                p = rows @ planes[tree]
+                cell = ((p[:, :12] > 0) @ (1 << np.arange(12))).astype(np.int64)
+                at = tree * 4096 + cell + 0.5 + np.tanh(p[:, 12]) / 2.001
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=["node", "root", "vector", "place"])
 
-def refine(graph: DataFrame, vectors: DataFrame, k: int, seed: int) -> DataFrame:
-    """One round: every node's neighbours in either direction are compared with one another."""
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, root, tree, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(3)), matrix(batch.column(2))
+            found = []
+            for lo in range(0, len(node), WINDOW // 2):
+                own = slice(lo, lo + WINDOW)
+                sims = rows[own] @ rows[own].T
+                sims[(root[own, None] == root[None, own]) | (tree[own, None] != tree[None, own])] = -2
+                top = np.argpartition(-sims, min(k, len(sims)) - 1, axis=1)[:, :k]
+                i, j = np.repeat(np.arange(len(sims)), top.shape[1]), top.ravel()
+                good = sims[i, j] > -2
+                found.append((node[own][i[good]], node[own][j[good]], sims[i[good], j[good]]))
+            yield best_of(*map(np.concatenate, zip(*found)), k)
+
+    placed = nodes.select("node", "root", "vector").mapInArrow(place, f"node long, root long, vector {kind}, place double")
+    # A partition holds several windows: rows that are alone in theirs meet nobody.
+    n = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), trees * nodes.count() // (2 * WINDOW)))
+    ordered = placed.repartitionByRange(n, "place", "node").sortWithinPartitions("place", "node")
+    return ordered.select("node", "root", "vector", F.floor(F.col("place") / 4096).alias("tree")).mapInArrow(near, EDGE)
+
+
+def refine(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
+    """One round: every node's neighbours in either direction that have different roots are compared with one another.
+
+    A host of many deals them anew in each round into parts of about HOSTED, so that it is no one's whole work.
+    """
     floors = graph.groupBy("node").agg(F.when(F.count("*") < k, F.lit(-2.0)).otherwise(F.min("sim")).alias("floor"))
+    guests = cut(spread_join(nodes.select("node", "root", "vector"), floors, "node", max_bytes=0))
     hosted = graph.select(F.col("node").alias("host"), F.col("other").alias("node")).union(graph.select(F.col("other").alias("host"), "node")).distinct()
-    guests = hosted.join(vectors.select("node", "vector").join(floors, "node"), "node")
-    # A host of many compares them in parts, dealt anew in each round.
-    guests = guests.withColumn("deal", F.xxhash64("node", F.lit(seed)))
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    guests = guests.repartition(n, "host").sortWithinPartitions("host", "deal").select("host", "node", "floor", "vector")
+    crowds = hosted.groupBy("host").agg(F.ceil(F.count("*") / HOSTED).cast("int").alias("parts")).where("parts > 1")
+    hosted = spread_join(cut(hosted), cut(crowds), "host", "left")
+    hosted = cut(hosted.select("host", "node", F.coalesce(F.pmod(F.xxhash64("node", "host", F.lit(seed)), "parts"), F.lit(0)).alias("part")))
+    met = spread_join(hosted, guests, "node", max_bytes=0)
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(n, "host", "part").sortWithinPartitions("host", "part").select("host", "part", "node", "root", "floor", "vector")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, node, floor, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)), matrix(batch.column(3))
-            cuts = np.flatnonzero(np.diff(host)) + 1
+            host, part, node, root, floor = (np.asarray(batch.column(i)) for i in range(5))
+            rows = matrix(batch.column(5))
+            cuts = np.flatnonzero(np.diff(host) | np.diff(part)) + 1
             found = []
-            for lo, hi in zip([0, *cuts], [*cuts, len(host)]):
-                for a in range(lo, hi, HOSTED):
-                    b = min(a + HOSTED, hi)
-                    if b - a > 1:
-                        sims = rows[a:b] @ rows[a:b].T
-                        np.fill_diagonal(sims, -3)
-                        i, j = np.nonzero(sims > floor[a:b, None])
-                        found.append((node[a + i], node[a + j], sims[i, j]))
-            if found:
-                yield edges_batch(*map(np.concatenate, zip(*found)))
-
-    return nearest(graph.union(guests.mapInArrow(meet, EDGE)), k)
-
-
-def exact_links(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose cosine in double precision is the threshold or more, without the vectors."""
-    left = pairs.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a")
-    both = left.join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.einsum("ij,ij->i", matrix(batch.column(2)), matrix(batch.column(3))) >= threshold
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            for a, b in zip([0, *cuts], [*cuts, len(host)]):
+                sims = rows[a:b] @ rows[a:b].T
+                sims[root[a:b, None] == root[None, a:b]] = -3
+                i, j = np.nonzero(sims > floor[a:b, None])
+                found.append((node[a + i], node[a + j], sims[i, j]))
+            yield best_of(*map(np.concatenate, zip(*found)), k)
+
+    return nearest(graph.union(met.mapInArrow(meet, EDGE)), k)
+
+
+def descend(nodes: DataFrame, k: int, trees: int, seed: int, graph: DataFrame | None = None) -> DataFrame:
+    """The k nearest known nodes of other roots of each of nodes (node, root, vector): windows, with what is known of graph, refined until few entries change."""
+    start = windows(nodes, k, trees, seed)
+    graph = cut(nearest(start if graph is None else start.union(graph), k))
+    for round_ in range(ROUNDS):
+        old, graph = graph, cut(refine(graph, nodes, k, seed + round_))
+        new = graph.join(old, ["node", "other"], "left_anti").count()
+        if new <= SETTLED * graph.count():
+            break
+    return graph
+
 
-    return both.select("a", "b", "va", "vb").mapInArrow(keep, "a long, b long")
+def blocked(members: DataFrame, key: str) -> DataFrame:
+    """Adds blocks, how many a key's rows are dealt into, and block: of at most about BLOCK rows, and fewer where that makes enough of them to share the work."""
+    n = F.count("*")
+    sizes = members.groupBy(key).agg(F.greatest(F.ceil(n / BLOCK), F.least(F.lit(8), F.ceil(n / 64))).cast("int").alias("blocks"))
+    return spread_join(members, cut(sizes), key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def block_links(members: DataFrame, threshold: float) -> DataFrame:
-    """members (root, node, weight, vector): how many links each node has within its component, weights counted.
+    """members (node, root, weight, vector), a cut() table: how many links each node has within its root's component, weights counted.
 
-    A component's rows are dealt into blocks of about BLOCK; each pair of blocks is compared in one go and gives one
-    count a row, never its pairs. A pair of blocks is the largest group.
+    A component's rows are dealt into blocks; each pair of blocks is compared in one go and gives one count a row, never
+    its pairs. A pair of blocks is the largest group.
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Block i meets every block j: rows of i as queries and of j as others lie in the group (root, i, j).
-    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asks = met.select("root", F.col("block").alias("i"), F.col("with").alias("j"), F.lit(True).alias("asks"), "node", "weight", "vector")
-    answers = met.select("root", F.col("with").alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), "node", "weight", "vector")
+    met = blocked(members, "root").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "weight", "vector")
 
     def count(table: pa.Table) -> pa.Table:
-        asks = np.asarray(table["asks"].combine_chunks().to_numpy(zero_copy_only=False))
-        node, weight = np.asarray(table["node"]), np.asarray(table["weight"])
-        rows = matrix(table["vector"].combine_chunks())
-        linked = rows[asks] @ rows[~asks].T >= threshold
-        linked &= node[asks][:, None] != node[~asks][None, :]
-        return pa.table({"node": node[asks], "n": (linked @ weight[~asks]).astype(np.int64)})
+        node, weight, block = (np.asarray(table[c]) for c in ("node", "weight", "block"))
+        rows, left = matrix(table["vector"].combine_chunks()), block == table["i"][0].as_py()
+        if table["i"][0] == table["j"][0]:
+            linked = rows @ rows.T >= threshold
+            np.fill_diagonal(linked, False)
+            return pa.table({"node": node, "n": (linked @ weight).astype(np.int64)})
+        linked = rows[left] @ rows[~left].T >= threshold
+        return pa.table({"node": np.concatenate([node[left], node[~left]]), "n": np.concatenate([linked @ weight[~left], weight[left] @ linked]).astype(np.int64)})
 
-    return asks.union(answers).groupBy("root", "i", "j").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return met.groupBy("root", "i", "j").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,34 +192,6 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[:, 0], found[:, 1]
 
 
-def near_balls(balls: DataFrame, threshold: float, direct: bool) -> DataFrame:
-    """balls (pivot, root, low, vector): pairs (p, q) of pivots of different roots.
-
-    direct: pivots that are links themselves, enough of them to connect what they connect. Otherwise all whose balls
-    may hold a link by the triangle inequality of angles; low is the least cosine of a ball's members to its pivot.
-    """
-    blocks = max(1, -(-balls.count() // BALLS))
-    met = balls.withColumn("block", F.pmod(F.xxhash64("pivot"), F.lit(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = met.select(F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "pivot", "root", "low", "vector")
-
-    def meet(table: pa.Table) -> pa.Table:
-        pivot, root, block = (np.asarray(table[c]) for c in ("pivot", "root", "block"))
-        angle, rows = np.arccos(np.clip(np.asarray(table["low"]), -1, 1)), matrix(table["vector"].combine_chunks())
-        blocks_met = {table["i"][0].as_py(), table["j"][0].as_py()}
-        left, right = np.flatnonzero(block == min(blocks_met)), np.flatnonzero(block == max(blocks_met))
-        sims = rows[left] @ rows[right].T
-        apart = root[left][:, None] != root[right][None, :]
-        if direct:
-            i, j = forest((sims >= threshold) & apart)
-        else:
-            reach = np.minimum(np.pi, angle[left][:, None] + angle[right][None, :] + np.arccos(threshold) + 1e-6)
-            once = len(blocks_met) > 1 or pivot[left][:, None] < pivot[right][None, :]
-            i, j = np.nonzero((sims >= np.cos(reach)) & apart & once)
-        return pa.table({"p": pivot[left[i]], "q": pivot[right[j]]})
-
-    return met.groupBy("i", "j").applyInArrow(meet, "p long, q long")
-
-
 def fresh(pairs: DataFrame) -> DataFrame:
     """The pairs written and read again. cut() keeps estimates of size, which joins multiply: after many of them, planning the rounds of components() takes exponentially long."""
     path = shared_path(pairs.sparkSession, "pairs")
@@ -201,31 +199,38 @@ def fresh(pairs: DataFrame) -> DataFrame:
     return pairs.sparkSession.read.schema("a long, b long").parquet(path)
 
 
-def bridges(graph: DataFrame, full: DataFrame, roots: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between nodes of full, saturated lists, of different roots: enough that all such nodes with a link are connected.
+def balls(graph: DataFrame, full: DataFrame) -> DataFrame:
+    """node, pivot, sim (their cosine) of the nodes of full, whose lists are saturated: the pivot is the smallest such node in the list, the node included."""
+    inner = graph.join(full, "node").join(full.withColumnRenamed("node", "other"), "other", "left_semi")
+    least = inner.groupBy("node").agg(F.min(F.struct(F.col("other").alias("pivot"), "sim")).alias("m"))
+    moves = F.coalesce(F.col("m.pivot") < F.col("node"), F.lit(False))
+    return full.join(least, "node", "left").select("node", F.when(moves, F.col("m.pivot")).otherwise(F.col("node")).alias("pivot"), F.when(moves, F.col("m.sim")).otherwise(1.0).alias("sim"))
 
-    A node belongs to the ball of the smallest saturated node in its list, itself included, so that balls are small.
-    Pivots are compared with one another; where their balls are near enough to hold a link, so are all of their members.
+
+def bridges(members: DataFrame, roots: DataFrame, vectors: DataFrame, threshold: float, k: int, trees: int, seed: int) -> DataFrame:
+    """Links (a, b) between members (node, pivot, sim) of balls of different roots, as far as a descent among the pivots finds them near.
+
+    By the triangle inequality of angles, balls can hold a link only if their pivots are no farther apart than the
+    threshold's angle and both balls' own. Members of such balls are compared in blocks, which give enough links to
+    connect what they connect.
     """
-    inner = graph.join(full, "node").join(full.withColumnRenamed("node", "other"), "other")
-    own = full.join(inner.groupBy("node").agg(F.min(F.struct("other", "sim")).alias("m")), "node", "left").join(roots, "node")
-    moves = F.coalesce(F.col("m.other") < F.col("node"), F.lit(False))
-    members = cut(own.select("node", "root", F.when(moves, F.col("m.other")).otherwise(F.col("node")).alias("pivot"), F.when(moves, F.col("m.sim")).otherwise(F.lit(1.0)).alias("sim")))
-    sizes = cut(members.groupBy("pivot").agg(F.min("sim").alias("low"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
-    pivots = cut(sizes.join(roots.withColumnRenamed("node", "pivot"), "pivot").join(vectors.select(F.col("node").alias("pivot"), "vector"), "pivot").select("pivot", "root", "low", "parts", "vector"))
-    direct = cut(near_balls(pivots.select("pivot", "root", "low", "vector"), threshold, True))
-    # What pivots have joined isn't compared again.
-    edges = direct.select(F.col("p").alias("a"), F.col("q").alias("b"))
-    ends = pivots.select("pivot", "root")
-    joined = edges.join(ends.withColumnsRenamed({"pivot": "a", "root": "ra"}), "a").join(ends.withColumnsRenamed({"pivot": "b", "root": "rb"}), "b")
-    merged = components(fresh(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-    left = pivots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("pivot", F.coalesce("top", "root").alias("root"), "low", "vector")
-    pairs = cut(near_balls(left, threshold, False))
-    parts = sizes.select("pivot", "parts")
-    pairs = pairs.join(parts.withColumnsRenamed({"pivot": "p", "parts": "np"}), "p").join(parts.withColumnsRenamed({"pivot": "q", "parts": "nq"}), "q")
-    dealt = members.join(parts, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")).join(vectors.select("node", "vector"), "node")
-    asks = pairs.join(dealt.withColumnsRenamed({"pivot": "p", "part": "pp"}), "p").withColumn("qq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("p", "pp", "q", "qq", F.lit(True).alias("asks"), "node", "vector")
-    answers = pairs.join(dealt.withColumnsRenamed({"pivot": "q", "part": "qq"}), "q").withColumn("pp", F.explode(F.sequence(F.lit(0), F.col("np") - 1))).select("p", "pp", "q", "qq", F.lit(False).alias("asks"), "node", "vector")
+    sizes = cut(members.groupBy("pivot").agg(F.min("sim").alias("low")))
+    pivots = sizes.select(F.col("pivot").alias("node"), "low").join(roots, "node").join(vectors.select("node", "vector"), "node")
+    pivots = cut(pivots.select("node", "root", "low", "vector"))
+    near = descend(pivots, k, trees, seed)
+    angle = lambda c: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))
+    lows = pivots.select("node", "low")
+    ends = spread_join(cut(near), lows, "node").withColumnRenamed("low", "low_a")
+    ends = spread_join(cut(ends), lows.withColumnRenamed("node", "other"), "other")
+    reach = angle(F.col("low_a")) + angle(F.col("low")) + F.acos(F.lit(threshold)) + 1e-6
+    pairs = cut(ends.where(angle(F.col("sim")) <= reach).select(F.least("node", "other").alias("p"), F.greatest("node", "other").alias("q")).distinct())
+    if pairs.isEmpty():
+        return pairs.select(F.col("p").alias("a"), F.col("q").alias("b"))
+    dealt = blocked(cut(members.select(F.col("pivot").alias("root"), "node")), "root")
+    counts = dealt.select(F.col("root").alias("p"), F.col("blocks").alias("np")).distinct()
+    pairs = pairs.join(counts, "p").join(counts.withColumnsRenamed({"p": "q", "np": "nq"}), "q")
+    dealt = cut(dealt.join(vectors.select("node", "vector"), "node"))
+    side = lambda own, part, other, n, asks: pairs.join(dealt.select(F.col("root").alias(own), F.col("block").alias(part), "node", "vector"), own).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).select("p", "pp", "q", "qq", F.lit(asks).alias("asks"), "node", "vector")
 
     def link(table: pa.Table) -> pa.Table:
         asks = np.asarray(table["asks"].combine_chunks().to_numpy(zero_copy_only=False))
@@ -233,20 +238,19 @@ def bridges(graph: DataFrame, full: DataFrame, roots: DataFrame, vectors: DataFr
         i, j = forest(rows[asks] @ rows[~asks].T >= threshold)
         return pa.table({"a": node[asks][i], "b": node[~asks][j]})
 
-    found = asks.union(answers).groupBy("p", "pp", "q", "qq").applyInArrow(link, "a long, b long").union(edges)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = side("p", "pp", "qq", "nq", True).union(side("q", "qq", "pp", "np", False))
+    return met.groupBy("p", "pp", "q", "qq").applyInArrow(link, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def true_links(vectors: DataFrame, threshold: float) -> DataFrame:
-    """True links (a, b) of seeded sample vectors a, each compared with all others.
+    """True links (a, b) of sample vectors a, each compared with all others: those whose id SHARE divides, or where that is fewer than AUDITED, the first of a hash.
 
-    The sample is one of SHARE vectors, AUDITED of them at least, asked in blocks of about AUDITED; it ends early once
-    PROVING of those asked have a link.
+    They are asked in blocks of about AUDITED, until PROVING of those asked have a link.
     """
-    hashed = vectors.select("node", "vector", F.xxhash64("node", F.lit(11)).alias("h"))
-    asked = cut(hashed.where(F.pmod("h", F.lit(SHARE)) == 0))
-    if (n := asked.count()) < AUDITED:
-        asked, n = cut(hashed.orderBy("h").limit(AUDITED)), AUDITED
+    hashed = vectors.select("node", "vector", "first", F.xxhash64("node", F.lit(11)).alias("h"))
+    asked = cut(hashed.where(F.col("first") % SHARE == 0))
+    if (n := asked.count()) < AUDITED // 4:
+        asked, n = cut(hashed.orderBy("h").limit(AUDITED // 4)), AUDITED // 4
     parts, seen, truth = -(-n // AUDITED), 0, vectors.sparkSession.createDataFrame([], "a long, b long")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,77 +270,87 @@ def true_links(vectors: DataFrame, threshold: float) -> DataFrame:
         truth, seen = truth.union(found), seen + found.select("a").distinct().count()
         if seen >= PROVING:
             break
-    return cut(truth)
+    return cut(truth.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("t")))
 
 
 def audit(found: DataFrame, truth: DataFrame) -> float | None:
-    """Recall of the links of truth's sample; None, unproved, if it has none. found (node, n): the number of distinct vectors linked to each node."""
-    true = truth.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("t"))
-    row = true.join(found, "node", "left").agg(F.sum("t").alias("t"), F.sum(F.least("t", F.coalesce("n", F.lit(0)))).alias("n")).first()
+    """Recall of the links of truth (node, t: how many a sample vector has); None, unproved, if it has none. found (node, n): the number of distinct vectors linked to each node."""
+    row = truth.join(found, "node", "left").agg(F.sum("t").alias("t"), F.sum(F.least("t", F.coalesce("n", F.lit(0)))).alias("n")).first()
     return row["n"] / row["t"] if row["t"] else None
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = 0.95, k: int = 12, trees: int = 4, min_recall: float = 0.98, max_rounds: int = 6) -> DataFrame:
+class Linked(NamedTuple):
+    """roots (node, root) of nodes with a link; plain (a, b), links of components without saturated lists; members (node, root, weight, vector) of the others."""
+
+    roots: DataFrame
+    plain: DataFrame
+    members: DataFrame
+
+
+def link(graph: DataFrame, vectors: DataFrame, threshold: float, k: int, trees: int, seed: int) -> Linked:
+    """Components of the links of a settled graph, those of saturated lists joined by bridges until no more are found."""
+    near = graph.where(F.col("sim") >= threshold).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    links = fresh(near.distinct())
+    roots = components(links)
+    full = cut(graph.groupBy("node").agg(F.count("*").alias("n"), F.min("sim").alias("floor")).where((F.col("n") >= k) & (F.col("floor") >= threshold)).select("node"))
+    if not full.isEmpty():
+        members = cut(balls(graph, full))
+        while not (found := fresh(bridges(members, roots, vectors, threshold, k, trees, seed))).isEmpty():
+            links = fresh(links.union(found).distinct())
+            roots, seed = components(links), seed + ROUNDS
+    large = cut(roots.join(full, "node", "left_semi").select("root", F.lit(True).alias("large")).distinct())
+    flagged = cut(spread_join(roots, large, "root", "left"))
+    members = cut(flagged.where("large").select("node", "root").join(vectors.select("node", "weight", "vector"), "node"))
+    plain = links.join(flagged.where("large is null").select(F.col("node").alias("a")), "a", "left_semi")
+    return Linked(roots, cut(plain.select("a", "b")), members)
+
+
+def near_vectors(embeddings: DataFrame, threshold: float = 0.95, k: int = 12, trees: int = 4, min_recall: float = 0.98, max_doublings: int = 4) -> DataFrame:
     """Link the rows of embeddings (vec_id, embedding) by cosine.
 
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included),
     kept (vec_id is its component's smallest). A vector that is null, empty, zero or holds null or non-finite numbers
     links with nothing; vectors of different lengths don't link. Rows with equal vectors are compared once
-    and counted each; repeated ids stay repeated. Other columns are not read. An empty table gives no rows.
-    min_recall is asked of the audit, whose links are not added to the result; it is logged. max_rounds bounds the refinement, k is a list's length before it is enlarged.
+    and counted each; repeated ids stay repeated, and all of them that equal the component's smallest are kept. A null
+    vec_id is never kept; component_id is null where all ids are. Other columns are not read. An empty table gives no rows.
+    min_recall is asked of the audit, whose links are not added to the result; the recall is logged. Below it, lists of
+    k are made twice as long, max_doublings times at most; if it is then still too low, that is an error.
     """
     value = F.col("embedding") if dict(embeddings.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     fine = value.isNotNull() & (F.size(value) > 0) & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
     rows = embeddings.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), value).alias("vector"))
     rows = cut(rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))))
-    out = rows.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    alone = F.col("vec_id").isNotNull()
+    out = rows.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), alone.alias("kept"))
     sizes = rows.where("node is not null").select(F.size("vector").alias("size")).distinct().collect()  # one row a length
     for size in sorted(x["size"] for x in sizes):
-        out = out.union(near_of_one_length(rows.where(F.size("vector") == size), threshold, k, trees, min_recall, max_rounds))
+        out = out.union(near_of_one_length(rows.where(F.size("vector") == size), threshold, k, trees, min_recall, max_doublings))
     return out
 
 
-def near_of_one_length(rows: DataFrame, threshold: float, k: int, trees: int, min_recall: float, max_rounds: int) -> DataFrame:
+def near_of_one_length(rows: DataFrame, threshold: float, k: int, trees: int, min_recall: float, max_doublings: int) -> DataFrame:
     """near_vectors() of rows (vec_id, vector, node), whose vectors have one length and are fit to compare."""
-    spark = rows.sparkSession
     vectors = cut(rows.groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("vec_id").alias("first")))
-    truth, size = true_links(vectors, threshold), vectors.select(F.size("vector")).first()[0]
-    links = spark.createDataFrame([], "a long, b long")
-    graph = nearest(windows(vectors, k, 0), k)
-    for tree in range(1, trees):
-        graph = graph.union(windows(vectors, k, tree))
-    graph = cut(nearest(graph, k))
-    weights = vectors.select("node", "weight")
-    for round_ in range(max_rounds):
-        graph = cut(refine(graph, vectors, k, round_))
-        pairs = graph.where(F.col("sim") >= threshold - 1e-6).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        links = fresh(exact_links(pairs.distinct(), vectors, threshold).union(links).distinct())
-        full = cut(graph.groupBy("node").agg(F.count("*").alias("n"), F.min("sim").alias("floor")).where((F.col("n") >= k) & (F.col("floor") >= threshold)).select("node"))
-        roots = components(links)
-        if not full.isEmpty():
-            links = fresh(bridges(graph, full, roots, vectors, threshold).union(links).distinct())
-            roots = components(links)
-        large = cut(roots.join(full, "node").select("root").distinct())
-        # Saturated lists, enlarged to their component; the other components have all their links in the lists.
-        members = roots.join(large, "root").join(vectors.select("node", F.lit(1).cast("long").alias("weight"), "vector"), "node")
-        enlarged = cut(block_links(members.select("root", "node", "weight", "vector"), threshold))
-        ends = links.select(F.col("a").alias("node")).union(links.select("b"))
-        plain = ends.join(enlarged, "node", "left_anti").groupBy("node").agg(F.count("*").alias("n"))
-        recall = audit(plain.union(enlarged.where("n > 0")), truth)
-        log.info("vectors of length %s, round %d: recall of links %s", size, round_, recall)
-        if recall is not None and recall >= min_recall:
+    truth, graph = true_links(vectors, threshold), None
+    nodes = vectors.select("node", F.col("node").alias("root"), "vector")
+    for doubling in range(max_doublings + 1):
+        graph = descend(nodes, k, trees, 100 * doubling, graph)
+        linked = link(graph, vectors, threshold, k, trees, 100 * doubling + 50)
+        both = cut(linked.plain.union(linked.plain.select("b", "a")))
+        once = linked.members.withColumn("weight", F.lit(1).cast("long"))
+        recall = audit(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).union(block_links(once, threshold)), truth)
+        log.info("vectors of length %s, lists of %s: recall of links %s", vectors.select(F.size("vector")).first()[0], k, recall)
+        if recall is None or recall >= min_recall:
             break
+        k *= 2
     else:
-        log.warning("vectors of length %s: recall of links %s after all rounds", size, recall)
-    members = roots.join(cut(roots.join(full, "node").select("root").distinct()), "root").join(vectors, "node")
-    enlarged = cut(block_links(members.select("root", "node", "weight", "vector"), threshold))
-    both = links.union(links.select("b", "a")).join(enlarged.withColumnRenamed("node", "a"), "a", "left_anti")
-    plain = both.join(weights.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("n"))
-    counts = plain.union(enlarged)
-
-    placed = vectors.select("node", "weight", "first").join(roots, "node", "left").join(counts, "node", "left")
-    placed = placed.select("node", "weight", "first", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed = cut(placed.join(named, "root").select("node", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id"))
-    linked = rows.select("vec_id", "node").join(placed, "node")
-    return linked.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        raise ValueError(f"recall of links is {recall} with lists of {k // 2}, below {min_recall}")
+    enlarged = cut(block_links(linked.members, threshold))
+    counts = both.join(vectors.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("n")).union(enlarged)
+
+    placed = vectors.select("node", "weight", "first").join(linked.roots, "node", "left").join(counts, "node", "left")
+    placed = cut(placed.select("node", "weight", "first", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n")))
+    named = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")))
+    placed = cut(spread_join(placed, named, "root").select("node", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id"))
+    out = spread_join(rows.select("vec_id", "node"), placed, "node")
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -210,27 +210,53 @@ def test_near_vectors_across_saturated_lists(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = unit @ unit.T >= 0.95
     assert links[:300, :300].all()
-    # Lists of siblings only, as refinement leaves them in a large table.
-    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<double>")
-    graph = [(i, j, float(unit[i] @ unit[j])) for i in range(300) for j in range(i // 25 * 25, i // 25 * 25 + 25) if i != j]
-    full = spark.range(300).withColumnRenamed("id", "node")
-    roots = full.withColumn("root", F.floor(F.col("node") / 25) * 25)
-    found = neighbours.bridges(spark.createDataFrame(graph, "node long, other long, sim double"), full, roots, vectors, 0.95).collect()
-    assert all(links[a, b] for a, b in found)
-    top = {r["node"]: r["root"] for r in components.components(spark.createDataFrame([(a, b) for a, b in found], "a long, b long").union(roots.select("node", "root"))).collect()}
-    assert set(top.values()) == {0} and len(top) == 300
+    # Lists of siblings only, as a descent leaves them in a large table.
+    vectors = spark.createDataFrame([(i, v.tolist(), 1, i) for i, v in enumerate(x)], "node long, vector array<double>, weight long, first long")
+    graph = [(i, j, float(unit[i] @ unit[j])) for i in range(300) for j in sorted(set(range(i // 25 * 25, i // 25 * 25 + 25)) - {i}, key=lambda j: -unit[i] @ unit[j])[:12]]
+    graph = spark.createDataFrame(graph, "node long, other long, sim double")
+    linked = neighbours.link(graph, vectors, 0.95, 12, 4, 0)
+    assert {r["root"] for r in linked.roots.collect()} == {0} and linked.members.count() == linked.roots.count() == 300 and linked.plain.isEmpty()
     got = {r["vec_id"]: r for r in neighbours.near_vectors(vectors.withColumnsRenamed({"node": "vec_id", "vector": "embedding"}), trees=1).collect()}
     assert [got[i]["n_links"] for i in range(360)] == (links.sum(axis=1) - 1).tolist() and sum(got[i]["kept"] for i in range(300)) == 1
 
 
 def test_near_vectors_of_two_lengths_and_audit(spark):
     rows = [(i, [float(i % 3 == d) for d in range(8)]) for i in range(9)] + [(9, [1.0, 0.0, 0.0]), (10, [1.0, 0.01, 0.0]), (11, [0.0, 0.0, 1.0])]
-    got = {r["vec_id"]: r for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), max_rounds=1).collect()}
+    got = {r["vec_id"]: r for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert [got[i]["n_links"] for i in range(12)] == [2] * 9 + [1, 1, 0] and [got[i]["component_id"] for i in (0, 3, 9, 10, 11)] == [0, 0, 9, 9, 11]
-    vectors = spark.createDataFrame([(i, [float(i == d) for d in range(4)]) for i in range(4)], "node long, vector array<double>")
+    vectors = spark.createDataFrame([(i, [float(i == d) for d in range(4)], i) for i in range(4)], "node long, vector array<double>, first long")
     found = spark.createDataFrame([(0, 1)], "node long, n long")
     assert neighbours.audit(found, neighbours.true_links(vectors, 0.95)) is None
-    assert neighbours.audit(found, spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")) == 0.5
+    assert neighbours.audit(found, spark.createDataFrame([(0, 2)], "node long, t long")) == 0.5
+
+
+def test_near_vectors_with_null_and_repeated_ids(spark):
+    v = [[1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(None, v[0]), (5, v[1]), (5, v[1]), (None, v[2]), (7, v[3]), (None, None)]
+    out = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (None, 0, None, False), (7, 0, 7, True), (None, 0, None, False)]))
+
+
+def test_a_crowd_about_one_vector(spark):
+    """All copies list the original, which hosts them in parts."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=32)
+    x = np.vstack([base, base + rng.normal(size=(700, 32)) * 0.15, rng.normal(size=(50, 32))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.95
+    got = {r["vec_id"]: r for r in neighbours.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i]["n_links"] for i in range(751)] == (links.sum(axis=1) - 1).tolist()
+
+
+def test_spread_join_deals_hot_keys(spark):
+    from patternlake.llm.common import spread_join
+
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"))
+    right = spark.createDataFrame([(-1, "hot"), (0, "zero"), (3, "three")], "k long, v string")
+    for how, n in (("inner", 2002), ("left", 3000), ("left_semi", 2002)):
+        plain = left.join(right, "k", how)
+        dealt = spread_join(left, right, "k", how, max_bytes=0)
+        assert dealt.columns == plain.columns and dealt.count() == n and sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
 
 
 def test_gradients_by_differences():
