@@ -5,9 +5,9 @@ fingerprint bits whose vector has an odd product with v. The vectors of RADIUS d
 to all of them, whose table ignores exactly these bits: so every pair within the radius collides in some table, surely
 and not just probably. Equal fingerprints are one node, and a fingerprint that shares no bucket has no link.
 
-Within buckets no pairs are made. Two fingerprints differ in at most 2 bits just if some point lies within 1 bit of
-both, so each that shares a bucket names the 65 points about it, and those that name the same point link to the
-smallest of them. That is exact and linear in the size of a bucket.
+Pairs are compared within the buckets, where these are small. In a large one each member names the points within 1 bit
+of it instead: two fingerprints differ in at most 2 bits just if some point lies within 1 bit of both, so those that name
+the same point link to the smallest of them. That is exact and linear in the size of a bucket.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut, spread_join
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -68,19 +68,32 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def close_pairs(nodes: DataFrame) -> DataFrame:
-    """nodes: distinct fp. Edges (a, b) between fingerprints within RADIUS bits, enough of them that what is linked stays linked."""
-    masks = F.array(*(F.lit(signed(m)) for m in covering_masks()))
-    tables = nodes.select("fp", F.posexplode(masks).alias("t", "mask"))
-    buckets = tables.select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    # A bucket's smallest and largest member tell whether it has two; all members of one that has are candidates.
-    shared = buckets.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("t", "key")
-    near = cut(buckets.join(shared, ["t", "key"], "left_semi").select("fp").distinct())
-    flips = F.array(F.lit(0), *(F.lit(signed(1 << i)) for i in range(BITS)))
-    points = near.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    points = points.repartition("point")  # by one shuffle for both sides
-    least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("point", "a")
-    return points.join(least, "point").where("fp > a").select("a", F.col("fp").alias("b")).distinct()
+def within(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
+
+
+def close_pairs(nodes: DataFrame, pairwise: int = 48) -> DataFrame:
+    """nodes: distinct fp. Edges (a, b) between fingerprints within RADIUS bits, enough of them that what is linked stays linked.
+
+    A bucket of at most pairwise members compares them with one another. In a larger one, which chance alone seldom
+    makes, members name the points about them instead: those of the bits that the table ignores, for the others are equal.
+    """
+    masks = F.array(*(F.struct(F.lit(signed(m)).alias("mask"), F.array(F.lit(0), *(F.lit(signed(1 << i)) for i in range(BITS) if not m >> i & 1)).alias("flips")) for m in covering_masks()))
+    tables = nodes.select("fp", F.posexplode(F.transform(masks, lambda m: m["mask"])).alias("t", "mask"))
+    buckets = tables.select("fp", F.struct("t", F.col("fp").bitwiseAND(F.col("mask")).alias("masked")).alias("key"))
+    sizes = cut(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    small, large = cut(sizes.where(F.col("n") <= pairwise).select("key")), cut(sizes.where(F.col("n") > pairwise).select("key"))
+    members = buckets.join(broadcast_if_small(small), "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    pairs = F.flatten(F.transform("fps", lambda x, i: F.transform(F.filter(F.slice("fps", i + 2, pairwise), lambda y: within(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    compared = members.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+    if large.isEmpty():
+        return compared.distinct()
+    flips = F.get(F.transform(masks, lambda m: m["flips"]), F.col("key.t"))
+    crowded = spread_join(cut(buckets), large, "key", "left_semi")
+    points = crowded.select("fp", "key", F.explode(flips).alias("flip")).select("fp", F.struct("key", F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).alias("at"))
+    least = points.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("at", "a")
+    named = points.join(least, "at").where("fp > a").select("a", F.col("fp").alias("b"))
+    return compared.union(named).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -93,7 +106,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = cut(fingerprints(docs))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(close_pairs(nodes.select("fp")))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = cut(placed.join(named, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    placed = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    named = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")))
+    classes = cut(spread_join(placed, named, "root").select("fp", "component_id"))
+    return spread_join(prints, classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

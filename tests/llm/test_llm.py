@@ -159,13 +159,14 @@ def test_simhash(spark, docs, none):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 40)
     fps = [int(b) ^ sum(1 << int(i) for i in rng.choice(63, k, replace=False)) for b in base for k in (0, 1, 2, 2, 4)]
-    edges = simhash.close_pairs(spark.createDataFrame([(f,) for f in set(fps)], "fp long"))
-    roots = {r["node"]: r["root"] for r in components.components(edges).collect()}
     group = {f: f for f in fps}
-    for _ in fps:
+    for _ in range(8):
         for a in fps:
             group[a] = min(group[b] for b in fps if (a ^ b).bit_count() <= 2)
-    assert all(roots.get(f, f) == group[f] for f in fps)
+    for pairwise in (1, 3, 48):  # all buckets by points, some, none
+        edges = simhash.close_pairs(spark.createDataFrame([(f,) for f in set(fps)], "fp long"), pairwise)
+        roots = {r["node"]: r["root"] for r in components.components(edges).collect()}
+        assert all(roots.get(f, f) == group[f] for f in fps)
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(TEXTS) + 2
     got = {r["doc_id"]: r for r in rows}
@@ -174,6 +175,21 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_fingerprint_equals_a_plain_loop():
+    import xxhash
+
+    rng = random.Random(13)
+    for text in [*TEXTS, "Ä b", "A\x0bB\x0cc  D", *(" ".join(rng.choices(["The", "ÖL", "cat", "x", "漢字", "a\xa0b"], k=rng.randint(1, 30))) for _ in range(60))]:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if x]
+        grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        counts = [0] * 64
+        for g in grams:
+            h = xxhash.xxh64_intdigest(g.encode(), seed=42)
+            for bit in range(64):
+                counts[bit] += h >> bit & 1
+        assert simhash.simhash(text) == sum(1 << bit for bit in range(64) if 2 * counts[bit] > len(grams))
+
+
 def test_components_of_a_long_path(spark):
     ids = list(range(300))
     random.Random(6).shuffle(ids)
