@@ -358,6 +358,47 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(docs).count() == len(TEXTS) + 2 and secrets.scan(none).count() == 0
 
 
+def test_best_part_equals_brute_force(spark):
+    model = secrets.train(secrets.labelled_samples(spark, 500))
+    k, rng = len(secrets.ALPHABET) + 1, random.Random(14)
+    tokens = ["".join(rng.choices("abcdeABC0123_=/-", k=rng.randint(1, 14))) for _ in range(60)]
+    for token, got in zip(tokens, spark.createDataFrame([(t,) for t in tokens], "t string").coalesce(1).select(secrets.best_part(F.col("t"), model).alias("p")).collect()):
+        code = [secrets.ALPHABET.index(c) + 1 for c in token]
+        steps = [model[a * k + b] for a, b in zip(code, code[1:])]
+        sums = {(i, j + 1): sum(steps[i:j]) for i in range(len(steps)) for j in range(i + 1, len(steps) + 1)}
+        assert got["p"]["ratio"] == pytest.approx(max([0.0, *sums.values()]), abs=1e-9)
+        if got["p"]["ratio"] > 0:
+            assert sums[got["p"]["start"], got["p"]["end"]] == pytest.approx(got["p"]["ratio"], abs=1e-9)
+
+
+def test_random_keys_are_found_and_ordinary_tokens_left(spark):
+    rng, letters = random.Random(15), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    alphabets = {"base62": letters, "base64": letters + "+/", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
+    rows = [(name, prefix, prefix + "".join(rng.choices(a, k=n))) for name, a in alphabets.items() for n in (32, 40) for prefix in ("", "aws_secret_access_key=", "client_key=", "sk_live_") for _ in range(25)]
+    docs = [(i, f"say {t} here.") for i, (*_, t) in enumerate(rows)]
+    out = {r["doc_id"]: r for r in secrets.redact(spark.createDataFrame(docs, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})).collect()}
+    hits = [len(out[i]["text"]) < len(f"say {prefix} here.") + 16 for i, (_, prefix, _) in enumerate(rows)]
+    for name in alphabets:
+        own = [h for h, (n, *_) in zip(hits, rows) if n == name]
+        assert sum(own) >= 0.95 * len(own), name
+    plain = ["a_rather_long_identifier_with_words2", "/usr/share/doc/packages/readme-2024/index3", "https://example.org/2021/05/the-title-of-a-long-article-about-nothing-7", "SomeVeryLongClassNameFactoryBuilder2Test", "MAXIMUM_NUMBER_OF_RETRIES_ALLOWED_3", "2024-01-15_daily_report_final_version2"]
+    assert all(r["spans"] == "" for r in secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"))).collect())
+
+
+def test_secrets_in_very_long_texts(spark):
+    """A token of a million characters, and tens of thousands of tokens in a text, take seconds."""
+    import time
+
+    rng = random.Random(16)
+    token = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEF", k=1_000_000))
+    many = " ".join("password=" + "".join(rng.choices("abcdef", k=8)) for _ in range(40_000))
+    began = time.time()
+    docs = spark.createDataFrame([(1, token), (2, many)], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert len(got[1]) < 1000 and got[2] == " ".join(["[REDACTED]"] * 40_000)
+    assert time.time() - began < 60
+
+
 def test_licenses(spark, docs, none):
     mit = licenses.TEMPLATES["MIT"][2]
     rows = [(1, "a/LICENSE", f"The licence\n\n{mit}"), (2, "a/b/c/x.py", "import os"), (3, "a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), (4, "a/b/y.py", "# Released under the MIT License.\ncode"), (5, "z/y.py", "license to kill"), (6, None, None), (7, "a/x.py", "")]
