@@ -31,9 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from there: work isn't repeated, and a lost executor costs no lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to a table in the shared folder and read again: work isn't repeated, and a lost executor costs no lineage.
+
+    Unlike a checkpoint, a table that is read has a size of its own; checkpoints keep estimates, which joins multiply:
+    after some rounds of joins they are numbers of millions of digits.
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -64,13 +69,13 @@ def bytes_of(df: DataFrame) -> Column:
     return sum((width(f) for f in df.schema), F.lit(8))
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_bytes: int = 4 << 20) -> DataFrame:
     """A broadcast hint only after measuring that df takes at most max_bytes; a shuffled join otherwise. Give it a cut() table."""
     size = df.agg(F.sum(bytes_of(df)).alias("n")).first()["n"] or 0
     return F.broadcast(df) if size <= max_bytes else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", max_bytes: int = 16 << 20, share: int = 50_000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", max_bytes: int = 4 << 20, share: int = 50_000) -> DataFrame:
     """left join right on key, where right has every key once at most and left may have few of them very often.
 
     right is broadcast if it is measured to be small. Otherwise, keys that hold more than 1 / share of left's rows are

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, shared_path, spread_join
+from .common import cut, spread_join
 from .components import components
 
 log = logging.getLogger(__name__)
@@ -35,7 +35,7 @@ BLOCK = 2048  # rows of a component, or of a ball, that are compared with as man
 AUDITED = 2048  # vectors that the audit asks at a time
 SHARE = 50  # vectors whose id it divides are in the audit's sample
 PROVING = 100  # vectors with a link that end the audit
-SETTLED = 0.02  # share of entries that may still change when a descent ends
+SETTLED = 0.02  # share of near entries that may be new when a descent ends
 ROUNDS = 8  # rounds of a descent
 EDGE = "node long, other long, sim double"
 
@@ -109,12 +109,16 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
     A host of many deals them anew in each round into parts of about HOSTED, so that it is no one's whole work.
     """
     floors = graph.groupBy("node").agg(F.when(F.count("*") < k, F.lit(-2.0)).otherwise(F.min("sim")).alias("floor"))
-    guests = cut(spread_join(nodes.select("node", "root", "vector"), floors, "node", max_bytes=0))
+    guests = nodes.select("node", "root", "vector").join(floors, "node")
     hosted = graph.select(F.col("node").alias("host"), F.col("other").alias("node")).union(graph.select(F.col("other").alias("host"), "node")).distinct()
-    crowds = hosted.groupBy("host").agg(F.ceil(F.count("*") / HOSTED).cast("int").alias("parts")).where("parts > 1")
-    hosted = spread_join(cut(hosted), cut(crowds), "host", "left")
-    hosted = cut(hosted.select("host", "node", F.coalesce(F.pmod(F.xxhash64("node", "host", F.lit(seed)), "parts"), F.lit(0)).alias("part")))
-    met = spread_join(hosted, guests, "node", max_bytes=0)
+    crowds = cut(graph.groupBy(F.col("other").alias("host")).agg(F.ceil(F.count("*") / HOSTED).cast("int").alias("parts")).where("parts > 1"))
+    crowded = not crowds.isEmpty()
+    if crowded:
+        hosted = spread_join(cut(hosted), crowds, "host", "left")
+        hosted = hosted.select("host", "node", F.coalesce(F.pmod(F.xxhash64("node", "host", F.lit(seed)), "parts"), F.lit(0)).alias("part"))
+        met = spread_join(cut(hosted), cut(guests), "node", max_bytes=0)
+    else:
+        met = hosted.withColumn("part", F.lit(0).cast("long")).join(guests, "node")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(n, "host", "part").sortWithinPartitions("host", "part").select("host", "part", "node", "root", "floor", "vector")
 
@@ -134,14 +138,15 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
     return nearest(graph.union(met.mapInArrow(meet, EDGE)), k)
 
 
-def descend(nodes: DataFrame, k: int, trees: int, seed: int, graph: DataFrame | None = None) -> DataFrame:
-    """The k nearest known nodes of other roots of each of nodes (node, root, vector): windows, with what is known of graph, refined until few entries change."""
+def descend(nodes: DataFrame, k: int, trees: int, seed: int, near: float, graph: DataFrame | None = None) -> DataFrame:
+    """The k nearest known nodes of other roots of each of nodes (node, root, vector): windows, with what is known of graph, refined until few entries of cosine near or more are new."""
     start = windows(nodes, k, trees, seed)
     graph = cut(nearest(start if graph is None else start.union(graph), k))
     for round_ in range(ROUNDS):
         old, graph = graph, cut(refine(graph, nodes, k, seed + round_))
-        new = graph.join(old, ["node", "other"], "left_anti").count()
-        if new <= SETTLED * graph.count():
+        both = old.select("node", "other", F.lit(1).alias("was"), F.col("sim")).union(graph.select("node", "other", F.lit(0), "sim")).where(F.col("sim") >= near)
+        new = both.groupBy("node", "other").agg(F.max("was").alias("was")).agg(F.count_if(F.col("was") == 0).alias("new"), F.count("*").alias("all")).first()
+        if round_ and new["new"] <= SETTLED * new["all"]:
             break
     return graph
 
@@ -168,11 +173,12 @@ def block_links(members: DataFrame, threshold: float) -> DataFrame:
         if table["i"][0] == table["j"][0]:
             linked = rows @ rows.T >= threshold
             np.fill_diagonal(linked, False)
-            return pa.table({"node": node, "n": (linked @ weight).astype(np.int64)})
+            return pa.table({"node": node, "n": linked.sum(axis=1), "w": (linked @ weight).astype(np.int64)})
         linked = rows[left] @ rows[~left].T >= threshold
-        return pa.table({"node": np.concatenate([node[left], node[~left]]), "n": np.concatenate([linked @ weight[~left], weight[left] @ linked]).astype(np.int64)})
+        both = [(linked.sum(axis=1), linked @ weight[~left]), (linked.sum(axis=0), weight[left] @ linked)]
+        return pa.table({"node": np.concatenate([node[left], node[~left]]), "n": np.concatenate([n for n, _ in both]), "w": np.concatenate([w for _, w in both]).astype(np.int64)})
 
-    return met.groupBy("root", "i", "j").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return met.groupBy("root", "i", "j").applyInArrow(count, "node long, n long, w long").groupBy("node").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,13 +198,6 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[:, 0], found[:, 1]
 
 
-def fresh(pairs: DataFrame) -> DataFrame:
-    """The pairs written and read again. cut() keeps estimates of size, which joins multiply: after many of them, planning the rounds of components() takes exponentially long."""
-    path = shared_path(pairs.sparkSession, "pairs")
-    pairs.write.parquet(path)
-    return pairs.sparkSession.read.schema("a long, b long").parquet(path)
-
-
 def balls(graph: DataFrame, full: DataFrame) -> DataFrame:
     """node, pivot, sim (their cosine) of the nodes of full, whose lists are saturated: the pivot is the smallest such node in the list, the node included."""
     inner = graph.join(full, "node").join(full.withColumnRenamed("node", "other"), "other", "left_semi")
@@ -217,10 +216,10 @@ def bridges(members: DataFrame, roots: DataFrame, vectors: DataFrame, threshold:
     sizes = cut(members.groupBy("pivot").agg(F.min("sim").alias("low")))
     pivots = sizes.select(F.col("pivot").alias("node"), "low").join(roots, "node").join(vectors.select("node", "vector"), "node")
     pivots = cut(pivots.select("node", "root", "low", "vector"))
-    near = descend(pivots, k, trees, seed)
+    near = descend(pivots, k, trees, seed, 2 * threshold**2 - 1)
     angle = lambda c: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))
     lows = pivots.select("node", "low")
-    ends = spread_join(cut(near), lows, "node").withColumnRenamed("low", "low_a")
+    ends = near.join(lows.withColumnRenamed("low", "low_a"), "node")
     ends = spread_join(cut(ends), lows.withColumnRenamed("node", "other"), "other")
     reach = angle(F.col("low_a")) + angle(F.col("low")) + F.acos(F.lit(threshold)) + 1e-6
     pairs = cut(ends.where(angle(F.col("sim")) <= reach).select(F.least("node", "other").alias("p"), F.greatest("node", "other").alias("q")).distinct())
@@ -290,13 +289,13 @@ class Linked(NamedTuple):
 def link(graph: DataFrame, vectors: DataFrame, threshold: float, k: int, trees: int, seed: int) -> Linked:
     """Components of the links of a settled graph, those of saturated lists joined by bridges until no more are found."""
     near = graph.where(F.col("sim") >= threshold).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    links = fresh(near.distinct())
+    links = cut(near.distinct())
     roots = components(links)
     full = cut(graph.groupBy("node").agg(F.count("*").alias("n"), F.min("sim").alias("floor")).where((F.col("n") >= k) & (F.col("floor") >= threshold)).select("node"))
     if not full.isEmpty():
         members = cut(balls(graph, full))
-        while not (found := fresh(bridges(members, roots, vectors, threshold, k, trees, seed))).isEmpty():
-            links = fresh(links.union(found).distinct())
+        while not (found := cut(bridges(members, roots, vectors, threshold, k, trees, seed))).isEmpty():
+            links = cut(links.union(found).distinct())
             roots, seed = components(links), seed + ROUNDS
     large = cut(roots.join(full, "node", "left_semi").select("root", F.lit(True).alias("large")).distinct())
     flagged = cut(spread_join(roots, large, "root", "left"))
@@ -334,23 +333,21 @@ def near_of_one_length(rows: DataFrame, threshold: float, k: int, trees: int, mi
     truth, graph = true_links(vectors, threshold), None
     nodes = vectors.select("node", F.col("node").alias("root"), "vector")
     for doubling in range(max_doublings + 1):
-        graph = descend(nodes, k, trees, 100 * doubling, graph)
+        graph = descend(nodes, k, trees, 100 * doubling, threshold, graph)
         linked = link(graph, vectors, threshold, k, trees, 100 * doubling + 50)
-        both = cut(linked.plain.union(linked.plain.select("b", "a")))
-        once = linked.members.withColumn("weight", F.lit(1).cast("long"))
-        recall = audit(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).union(block_links(once, threshold)), truth)
+        both = linked.plain.union(linked.plain.select("b", "a")).join(vectors.select(F.col("node").alias("b"), "weight"), "b")
+        plain = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+        counts = cut(plain.union(block_links(linked.members, threshold)))
+        recall = audit(counts, truth)
         log.info("vectors of length %s, lists of %s: recall of links %s", vectors.select(F.size("vector")).first()[0], k, recall)
         if recall is None or recall >= min_recall:
             break
         k *= 2
     else:
         raise ValueError(f"recall of links is {recall} with lists of {k // 2}, below {min_recall}")
-    enlarged = cut(block_links(linked.members, threshold))
-    counts = both.join(vectors.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("n")).union(enlarged)
-
-    placed = vectors.select("node", "weight", "first").join(linked.roots, "node", "left").join(counts, "node", "left")
-    placed = cut(placed.select("node", "weight", "first", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n")))
+    placed = vectors.select("node", "weight", "first").join(linked.roots, "node", "left").join(counts.select("node", "w"), "node", "left")
+    placed = cut(placed.select("node", "weight", "first", F.coalesce("root", "node").alias("root"), F.coalesce("w", F.lit(0)).alias("w")))
     named = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")))
-    placed = cut(spread_join(placed, named, "root").select("node", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id"))
+    placed = cut(spread_join(placed, named, "root").select("node", (F.col("w") + F.col("weight") - 1).alias("n_links"), "component_id"))
     out = spread_join(rows.select("vec_id", "node"), placed, "node")
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
