@@ -436,14 +436,48 @@ def test_secrets_in_very_long_texts(spark):
 
 
 def test_licenses(spark, docs, none):
-    mit = licenses.TEMPLATES["MIT"][2]
-    rows = [(1, "a/LICENSE", f"The licence\n\n{mit}"), (2, "a/b/c/x.py", "import os"), (3, "a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), (4, "a/b/y.py", "# Released under the MIT License.\ncode"), (5, "z/y.py", "license to kill"), (6, None, None), (7, "a/x.py", "")]
+    mit = licenses.TEMPLATES["MIT"][3]
+    rows = [(1, "a/LICENSE", f"The licence\n\n{mit}"), (2, "a/b/c/x.py", "import os"), (3, "a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), (4, "a/b/y.py", "# Released under the MIT License.\ncode"), (5, "z/y.py", "license to kill"), (6, None, None), (7, "a/x.py", ""),
+            (8, "z/notes.txt", "Licensed under the MIT license."), (9, "z/w.py", "x = 1"), (10, "q/NOTICE", "Licensed under the MIT license."), (11, "q/COPYING", "Licensed under the MIT license."), (12, "q/r.py", None), (13, "m/x.c", "Licensed under CC BY-SA 4.0.\nSPDX-License-Identifier: AGPL-3.0-or-later")]
     got = {r["file_id"]: r for r in licenses.inherit(licenses.scan_files(spark.createDataFrame(rows, "file_id long, path string, text string").withColumn("dir", F.lit(1)))).collect()}
-    assert {i: r["effective_license"] for i, r in got.items()} == {1: "MIT", 2: "Apache-2.0", 3: "Apache-2.0", 4: "MIT", 5: None, 6: None, 7: "MIT"}
-    assert got[2]["inherited_from"] == "a/b" and got[4]["inherited_from"] is None
+    assert {i: r["effective_license"] for i, r in got.items() if i < 13} == {1: "MIT", 2: "Apache-2.0", 3: "Apache-2.0", 4: "MIT", 5: None, 6: None, 7: "MIT", 8: "MIT", 9: None, 10: "MIT", 11: "MIT", 12: "MIT"}
+    assert got[2]["inherited_from"] == "a/b" and got[4]["inherited_from"] is None and got[13]["licenses"] == ["AGPL-3.0", "CC-BY-SA-4.0"]
     assert licenses.license_of_documents(docs).count() == len(TEXTS) + 2 and licenses.license_of_documents(none).count() == 0
 
 
+def test_each_template_is_nearest_to_itself():
+    templates = licenses.Templates(1000, {})
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            near = templates.near(licenses.terms(f"// {text} (c) 2024"), 0.6)
+            assert max(near, key=near.get) == name
+
+
+def test_licence_cosines_equal_brute_force(spark):
+    """Every line and paragraph against every template by plain vectors, without bounds or postings."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(17)
+    known = [t for texts in licenses.TEMPLATES.values() for x in texts for t in x.split()]
+    some = [" ".join(rng.choices(known, k=rng.randint(2, 30))) for _ in range(40)] + [x for t in licenses.TEMPLATES.values() for x in t] + ["the quick brown fox", ""]
+    rows = [(i, f"d{i % 3}/{rng.choice(['LICENSE', 'x.c', 'y'])}{i}", "\n".join(rng.choice(some) for _ in range(rng.randint(1, 4))).replace("\n", rng.choice(["\n", "\n\n"]))) for i in range(80)]
+    holding = Counter(t for *_, text in rows for t in set(licenses.terms(text)))
+    weigh = lambda text: {t: (1 + math.log(c)) * (math.log((len(rows) + 1) / ((holding[t] if t in licenses.VOCABULARY else 0) + 1)) + 1) for t, c in Counter(licenses.terms(text)).items()}
+    cosine = lambda a, b: sum(x * b.get(t, 0) for t, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    vectors = [(name, weigh(x)) for name in sorted(licenses.TEMPLATES) for x in licenses.TEMPLATES[name]]
+    got = {r["file_id"]: r for r in licenses.scan_files(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    for i, path, text in rows:
+        found = set()
+        for paragraph in text.split("\n\n"):
+            for passage in [*paragraph.split("\n"), *([paragraph] if "\n" in paragraph else [])]:
+                if licenses.terms(passage):
+                    best = max(round(cosine(weigh(passage), v), 9) for _, v in vectors)
+                    if best >= 0.6:
+                        found.add(next(name for name, v in vectors if round(cosine(weigh(passage), v), 9) == best))
+        assert got[i]["licenses"] == sorted(found), text
+
+
 def test_pipeline_over_odd_rows(spark, docs, none, tmp_path):
     import corpus_pipeline
 
