@@ -16,8 +16,18 @@ from .common import SPACE, WORD, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+LOST_PERCENT = 66  # a document that loses more than two thirds of its words is rejected
 #: Phrases of page furniture, matched in either case.
-BOILERPLATE = r"cookie|javascript|all rights reserved|terms of (use|service)|privacy policy|click here|sign in|log in|sign up|subscribe|newsletter|read more|lorem ipsum|share this|skip to content"
+BOILERPLATE = (
+    r"cookie|javascript|all rights reserved|terms of (use|service)|privacy policy|click here|sign in|log in|sign up|subscribe|newsletter|read more|lorem ipsum|share this|skip to content"
+    r"|alle rechte vorbehalten|datenschutz|impressum|jetzt anmelden|mehr lesen|weiterlesen|nutzungsbedingungen|hier klicken"
+    r"|tous droits réservés|mentions légales|politique de confidentialité|lire la suite|en savoir plus|cliquez ici|abonnez-vous"
+    r"|todos los derechos reservados|aviso legal|política de privacidad|leer más|haz clic|suscríbete"
+)
+#: An end of a sentence, with quotes or brackets after it, at a line's end.
+ENDED = r"""[.!?:;…。]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+#: Signs that separate links, and the share of a line's words from which it is a row of them.
+LINKS = r"[|›»•·→▸]|->|>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,14 +48,14 @@ def repeated_words(w: Column) -> Column:
 def bad_line(line: Column) -> Column:
     """Whether a line with words fails a rule."""
     n = F.regexp_count(line, F.lit(WORD))
-    unended = ~F.rlike(line, F.lit(r"""[.!?:;…。]["'”’»)\]]*([\x20\x09-\x0D]|$)"""))
-    navigation = F.regexp_count(line, F.lit(r"[|›»•·]|->")) * 5 > n
+    unended = ~F.rlike(line, F.lit(ENDED))
+    navigation = F.regexp_count(line, F.lit(LINKS)) * 5 > n
     marks = F.regexp_count(line, F.lit(r"[!?#*$%&=~^_]{2,}")) * 4 > n
     shout = (n >= 4) & F.rlike(line, F.lit(r"\p{Lu}.*\p{Lu}")) & ~F.rlike(line, F.lit(r"\p{Ll}"))
     return unended | navigation | marks | shout | F.rlike(line, F.lit(r"[{}]")) | F.rlike(line, F.lit("(?i)" + BOILERPLATE))
 
 
-def clean_lines(docs: DataFrame, max_lost_percent: int = 40, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def clean_lines(docs: DataFrame, max_lost_percent: int = LOST_PERCENT, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """Evaluate and clean documents (doc_id, text).
 
     Returns doc_id; n_words; word_chars (code points in words); n_symbols; n_dup_lines (lines with a word that equal an
@@ -89,8 +99,8 @@ covered AS (SELECT r, sum(k)::BIGINT AS n FROM cov GROUP BY r),
 ln AS (SELECT r, unnest(lines) AS line FROM w),
 m AS (SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM ln),
 bad AS (SELECT r, sum(n) AS lost FROM m WHERE
-    NOT regexp_matches(line, '[.!?:;…。]["''”’»)\]]*([\x20\x09-\x0D]|$)')
-    OR len(regexp_extract_all(line, '[|›»•·]|->')) * 5 > n
+    NOT regexp_matches(line, '{ENDED.replace("'", "''")}')
+    OR len(regexp_extract_all(line, '{LINKS}')) * 5 > n
     OR len(regexp_extract_all(line, '[!?#*$%&=~^_]{{2,}}')) * 4 > n
     OR (n >= 4 AND regexp_matches(line, '\p{{Lu}}.*\p{{Lu}}') AND NOT regexp_matches(line, '\p{{Ll}}'))
     OR regexp_matches(line, '[{{}}]') OR regexp_matches(line, '(?i){BOILERPLATE}') GROUP BY r),
@@ -99,5 +109,5 @@ s AS (SELECT w.r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_words
     FROM w LEFT JOIN covered USING (r) LEFT JOIN bad USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-    (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_words <= 40 * n_words) AS kept FROM s
+    (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_words <= {LOST_PERCENT} * n_words) AS kept FROM s
 """

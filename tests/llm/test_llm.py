@@ -121,11 +121,15 @@ def test_quality(docs, none, spark):
             count[g] = count.get(g, 0) + 1
         covered = {j for i, g in enumerate(grams) if count[g] > 1 for j in range(i, i + 8)}
         lines = [x for x in text.split("\n") if x.split()]
-        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), len(covered))
     prose = "This is a line of plain prose that ends well. So does the next one, which is somewhat longer than that. Words, more of them, and an end."
     menu = "Home | News | Sport | About | Contact"
     got = {r["doc_id"]: r for r in quality.clean_lines(spark.createDataFrame([(1, prose + "\n" + menu, ""), (2, "\n".join([menu] * 9), "")], "doc_id long, text string, x string")).collect()}
     assert got[1]["kept"] and got[1]["clean_text"] == prose and not got[2]["kept"]
+    bad = ["Home\tNews » Sport", "Read more about it.", "Tous droits réservés.", "An end. and then none", "BUY NOW AND SAVE BIG.", "if (x) { y(); }.", "what??? how!!!."]
+    good = ["It ends with a quote.\"", "Ja, so ist es!", "¿Y tú? Sí:", "Trailing space.  "]
+    rows = spark.createDataFrame([(x, x in bad) for x in bad + good], "line string, bad boolean").select("line", "bad", quality.bad_line(F.col("line")).alias("found")).collect()
+    assert [r["line"] for r in rows if r["bad"] != r["found"]] == []
     assert quality.clean_lines(none).count() == 0
 
 
