@@ -145,37 +145,42 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def sample(docs: DataFrame, per_language: int, seed: int = 7) -> list[tuple[str, str]]:
-    """About per_language labelled (lang, text) of each language, outside the held-out part, by a hash of doc_id.
+def sample(docs: DataFrame, per_language: int, segments_per_text: int, max_languages: int, seed: int = 7) -> list[tuple[str, bytes]]:
+    """Segments (lang, bytes) of about per_language labelled texts of each language, outside the held-out part, by a hash of doc_id; of each text segments_per_text.
 
-    That is a bounded sample: the number of languages times per_language, at most four times as many rows.
+    They are cut where the texts lie: what goes to the driver is bounded by max_languages (those with most texts)
+    x per_language x 4 x segments_per_text x SEGMENT bytes.
     """
     mod4 = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (mod4 != 2))
-    counts = known.groupBy("lang").count().collect()  # a row a language
+    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_languages).collect()
     if not counts:
         return []
     parts = 1 << 30
     bound = F.create_map(*(F.lit(x) for c in counts for x in (c["lang"], min(parts, parts * per_language // c["count"] + 1))))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)) < F.try_element_at(bound, F.col("lang")))
-    rows = picked.select("lang", "text", "doc_id").limit(4 * per_language * len(counts)).collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["text"]))]
+    rank = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts))
+    picked = known.where(rank < F.try_element_at(bound, F.col("lang"))).select("lang", "text", "doc_id").limit(4 * per_language * len(counts))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for lang, text, doc_id in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if has_letter(text):
+                    rows, rng = segments(text), np.random.default_rng(zlib.crc32(f"{seed} {doc_id}".encode()))
+                    out += [(lang, x.astype("<i2").tobytes()) for x in rows[rng.permutation(len(rows))[:segments_per_text]]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["lang", "segment"])
+
+    return sorted((r["lang"], bytes(r["segment"])) for r in picked.mapInArrow(some, "lang string, segment binary").collect())
 
 
-def train(docs: DataFrame, per_language: int = 300, segments_per_text: int = 8, steps: int = 250, hidden: int = 5) -> Network | None:
+def train(docs: DataFrame, per_language: int = 300, segments_per_text: int = 8, max_languages: int = 256, steps: int = 250, hidden: int = 5) -> Network | None:
     """Learn from text and lang of documents (doc_id, text, lang) that aren't held out; None if there are none. Rows whose doc_id is null share one hash."""
-    labelled = [(lang, text) for lang, text in sample(docs, per_language) if has_letter(text)]
+    labelled = sample(docs, per_language, segments_per_text, max_languages)
     if not labelled:
         return None
     languages = sorted({lang for lang, _ in labelled})
-    rng, cuts, labels = np.random.default_rng(7), [], []
-    for lang, text in labelled:
-        rows = segments(text)
-        rows = rows[rng.permutation(len(rows))[:segments_per_text]]
-        cuts.append(rows)
-        labels += [languages.index(lang)] * len(rows)
     net = Network(languages, hidden)
-    net.fit(np.concatenate(cuts), np.array(labels), steps)
+    net.fit(np.stack([np.frombuffer(x, "<i2") for _, x in labelled]), np.array([languages.index(lang) for lang, _ in labelled]), steps)
     return net
 
 
@@ -219,7 +224,7 @@ def identify(docs: DataFrame, net: Network | None = None, carry: tuple[str, ...]
     """Predict the language of documents (doc_id, text; lang too where net isn't given and is trained here).
 
     Returns doc_id, held_out, lang_pred, score (the mean probability over all positions). Null texts and those without
-    a letter are und, score 0; so is all if nothing is labelled. Every row gives one row, repeated ids too. Columns
+    a letter are und, score 0; so is all if nothing is labelled. Of equal probabilities the first language by name wins. Every row gives one row, repeated ids too. Columns
     named in carry are handed on; others are not read. An empty table gives no rows.
     """
     net = net or train(docs, **options)

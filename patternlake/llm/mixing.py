@@ -52,9 +52,9 @@ def mix(docs: DataFrame, seed: int = 8, share_percent: int = 150, max_epochs: in
     Every row is mixed, repeated ids too; a null source is a source. Columns named in carry are handed on; others are not read. An empty table gives
     no rows. The same rows give the same mix, in whatever order they come.
     """
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *(F.col(c).alias(f"carry_{c}") for c in carry))
-    base = base.select("*", key.alias("key"), F.pmod(F.shiftrightunsigned(key, 20), F.lit(SLICES)).alias("slice"))
+    key = F.xxhash64(F.lit(seed), "doc_id", "text")
+    base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    base = base.select("*", F.pmod(F.shiftrightunsigned("key", 20), F.lit(SLICES)).alias("slice"))
     sized = cut(base.select("doc_id", "source", "size", "key", "slice"))
     sources = weigh(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = rising_level(sources, share_percent, max_epochs)
@@ -92,13 +92,3 @@ def apply_mix(docs: DataFrame, seed: int = 8) -> DataFrame:
     out = mixed.select("doc_id", F.explode(copies).alias("text"), "lang", "source")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
-
-ORACLE = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
-o AS (SELECT *, 2 * source_size AS cap, sum(source_size) OVER () * 150 / 100.0 AS total,
-  coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
-  sum(weight) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s),
-t AS (SELECT *, min(CASE WHEN (total - below) / weights * weight < cap THEN (total - below) / weights END) OVER () AS level FROM o)
-SELECT source, source_size, round(least(coalesce(level * weight, cap), cap)::DOUBLE, 6) AS target FROM t
-"""

@@ -49,26 +49,35 @@ def fill_bins(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
 class TextPacker:
     """Packs the pieces of whole documents; a document is cut where that saves padding.
 
-    Every piece of max_tokens ids fills a sequence. What is left of a document is a piece to pack; one that fits
-    nowhere is cut if at least min_cut ids of it fill up a sequence. What is left at the end goes into sequences
-    whose lengths are powers of two, which need no padding.
+    Every piece of max_tokens ids fills a sequence. What is left of a document is a piece to pack, with its tokens, one
+    segment, and its loss-bearing tokens: all but its first, which nothing before it foretells. A piece that fits
+    nowhere is cut if at least min_cut ids of it fill up a sequence. What is left at the end goes into sequences whose
+    lengths are powers of two, which need no padding. All sequences keep all limits.
     """
 
-    def __init__(self, max_tokens: int, max_segments: int, min_cut: int, base: int):
-        self.limits = np.array([max_tokens, max_segments, max_tokens])
+    def __init__(self, max_tokens: int, max_segments: int, max_loss_tokens: int, min_cut: int, base: int):
+        self.limits = np.array([max_tokens, max_segments, max_loss_tokens])
+        self.room = min(max_tokens, max_loss_tokens + 1)  # a piece of so many ids fills a sequence by itself
         self.min_cut, self.next_id, self.waiting = min_cut, base, []
 
     def _emit(self, pieces: list[tuple]) -> Iterator[tuple]:
         at = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
-            yield doc, start, n, zlib.crc32(ids), total, self.next_id, at, n
+            yield doc, start, n, zlib.crc32(ids), total, self.next_id, at, n - 1
             at += n
         self.next_id += 1
 
+    def _rest(self, own: list[tuple]) -> int:
+        """How many ids one more piece may have in a sequence of own; 0 if it may have none."""
+        used = sum(len(p[2]) // 4 for p in own)
+        if len(own) >= self.limits[1]:
+            return 0
+        return int(min(self.limits[0] - used, self.limits[2] - (used - len(own)) + 1))
+
     def add(self, doc, ids: bytes) -> Iterator[tuple]:
         """ids: little-endian unsigned 32-bit ids of the document with its end id."""
-        room, total = int(self.limits[0]), len(ids) // 4
+        room, total = self.room, len(ids) // 4
         whole = total // room * room
         for start in range(0, whole, room):
             yield from self._emit([(doc, start, ids[4 * start : 4 * (start + room)], total)])
@@ -80,53 +89,63 @@ class TextPacker:
     def pack(self, last: bool) -> Iterator[tuple]:
         """Fills sequences from the pieces that wait. Unless it is the last call, the sequences that stay short wait on."""
         items = self.waiting
-        sizes = np.array([[len(p[2]) // 4, 1, len(p[2]) // 4] for p in items]).reshape(-1, 3)
+        sizes = np.array([[len(p[2]) // 4, 1, len(p[2]) // 4 - 1] for p in items]).reshape(-1, 3)
         bins = [[items[i] for i in b] for b in fill_bins(sizes, self.limits)]
         self.waiting, short = [], []
         bins.sort(key=lambda b: sum(len(p[2]) for p in b))
         while bins:
             own = bins.pop()
-            rest = int(self.limits[0]) - sum(len(p[2]) // 4 for p in own)
-            while bins and rest >= self.min_cut and len(own) < self.limits[1]:  # the emptiest sequence gives its pieces
-                doc, start, ids, total = bins[0].pop()
+            while bins and (rest := self._rest(own)) >= self.min_cut:
+                # The emptiest sequence gives a piece; where own may take only one more, one that fills it.
+                full = len(own) + 1 >= self.limits[1]
+                giver = next((b for b in bins if not full or max(len(p[2]) for p in b) >= 4 * rest), None)
+                if giver is None:
+                    break
+                giver.sort(key=lambda p: len(p[2]))
+                doc, start, ids, total = giver.pop()
                 own.append((doc, start, ids[: 4 * rest], total))
                 if len(ids) > 4 * rest:
-                    bins[0].append((doc, start + rest, ids[4 * rest :], total))
-                if not bins[0]:
-                    bins.pop(0)
-                rest = int(self.limits[0]) - sum(len(p[2]) // 4 for p in own)
-            if rest < self.min_cut or len(own) >= self.limits[1]:
+                    giver.append((doc, start + rest, ids[4 * rest :], total))
+                if not giver:
+                    bins.remove(giver)
+            if self.limits[0] - sum(len(p[2]) // 4 for p in own) < self.min_cut:
                 yield from self._emit(own)
             else:
                 short += own
         if not last:
             self.waiting = short
             return
+        short.sort(key=lambda p: len(p[2]))
         while short:
-            length = 1 << ((sum(len(p[2]) // 4 for p in short)).bit_length() - 1)
+            reach = short[-int(self.limits[1]) :]
+            tokens = sum(len(p[2]) // 4 for p in reach)
+            length = 1 << min(tokens, int(self.limits[0]), int(self.limits[2]) + 1).bit_length() - 1
             own, rest = [], length
             while rest:
                 doc, start, ids, total = short.pop()
                 own.append((doc, start, ids[: 4 * rest], total))
                 if len(ids) > 4 * rest:
                     short.append((doc, start + rest, ids[4 * rest :], total))
+                    short.sort(key=lambda p: len(p[2]))
                 rest -= len(own[-1][2]) // 4
             yield from self._emit(own)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, max_tokens: int = 2048, max_segments: int = 1024, min_cut: int = 16) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, max_tokens: int = 2048, max_segments: int = 12, max_loss_tokens: int = 2047, min_cut: int = 16) -> DataFrame:
     """Tokenise documents (doc_id, text) and pack all their ids into sequences.
 
     A row is a piece: doc_id, start (ids of its document before it), length, ids_crc32 (of its ids as little-endian
     unsigned 32-bit integers), doc_tokens (ids of the document with end_id), sequence_id, offset (in the sequence,
-    gapless from 0), loss_tokens (all of them, in plain text). Null or empty text: end_id alone. A null doc_id is kept
-    as null; repeated rows are packed once each. Other columns are not read. An empty table gives no rows.
+    gapless from 0), loss_tokens (all of a piece's but the first). A sequence holds at most max_tokens ids, max_segments
+    pieces and max_loss_tokens loss-bearing ids. Null or empty text: end_id alone. A null doc_id is kept as null;
+    repeated rows are packed once each, and of pieces that fit alike the first goes in. Other columns are not read. An
+    empty table gives no rows.
     """
     schema = pa.schema([(name, pa.int64()) for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer, True), int(end_id).to_bytes(4, "little")
-        packer = TextPacker(max_tokens, max_segments, min_cut, TaskContext.get().partitionId() << 38)
+        packer = TextPacker(max_tokens, max_segments, max_loss_tokens, min_cut, TaskContext.get().partitionId() << 38)
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -152,7 +171,8 @@ def pack_examples(examples: DataFrame, max_tokens: int, max_segments: int, max_l
     """Pack uncut examples (example_id long, n_tokens, n_segments, n_loss_tokens), as in instruction data.
 
     Returns example_id, n_tokens, n_segments, n_loss_tokens, sequence_id, offset. Null sizes count as 0. An example
-    over a limit on its own gets a sequence of its own (oversize true), so that no row is lost.
+    over a limit on its own gets a sequence of its own (oversize true), so that no row is lost. Of examples that fit
+    alike the first goes in; repeated rows are packed once each. An empty table gives no rows.
     """
     limits = np.array([max_tokens, max_segments, max_loss_tokens])
     names = ("example_id", "n_tokens", "n_segments", "n_loss_tokens")

@@ -3,8 +3,9 @@
 A 64-bit word holds a selector in its top 4 bits and, below it, as many ids as fit at the selector's width: of the
 words that could come next, the one that holds most ids is taken. An id of over 60 bits is escaped: a word with the
 escape selector, then the id in a word of its own. A block holds whole documents: their ids and lengths, its packed
-words, and for every SPAN words the number of ids before them, from which a reader decodes any span by itself. A reader
-decodes all words of one selector at a time, with array operations.
+words, and for about every SPAN words the place of a word and the number of ids before it, from which a reader decodes
+any span by itself: read_documents() decodes only the spans that hold the documents it is asked for. A reader decodes
+all words of one selector at a time, with array operations.
 
 Blocks lie in Parquet files, ordered by document: Spark's committer makes the files appear whole or not at all, on any
 file system that Spark reads, and a task that is lost is written again.
@@ -79,23 +80,30 @@ def pack_words(ids: np.ndarray) -> np.ndarray:
     return words
 
 
-def unpack_words(words: np.ndarray, n: int) -> np.ndarray:
-    """The first n ids of packed words that start at a word's begin (not at an escaped id)."""
+def word_counts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each of a row of words holds, of which the first isn't an escaped id; and which words are escaped ids."""
     selector = (words >> np.uint64(60)).astype(np.int64)
-    raw = np.zeros(len(words), bool)
-    i, escapes = 0, np.flatnonzero(selector == ESCAPE).tolist()
-    for e in escapes:  # an escaped id may look like any word
+    raw, i = np.zeros(len(words), bool), 0
+    for e in np.flatnonzero(selector == ESCAPE).tolist():  # an escaped id may look like any word
         if e >= i:
             raw[e + 1] = True
             i = e + 2
-    head = (selector == ESCAPE) & ~raw
     counts = np.array([*COUNTS, 0, 0])[selector]
-    counts[head], counts[raw] = 0, 1
+    counts[raw] = 1
+    return counts, raw
+
+
+def unpack_words(words: np.ndarray, n: int) -> np.ndarray:
+    """The first n ids of packed words that start at a word's begin (not at an escaped id)."""
+    counts, raw = word_counts(words)
     ends = np.cumsum(counts)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
     begin = ends - counts
-    for s in np.unique(selector[~raw & ~head]).tolist():
-        rows = np.flatnonzero((selector == s) & ~raw & ~head)
+    selector = np.where(raw, ESCAPE, (words >> np.uint64(60)).astype(np.int64))
+    for s in np.unique(selector).tolist():
+        if s == ESCAPE:
+            continue
+        rows = np.flatnonzero(selector == s)
         mask = np.uint64((1 << WIDTHS[s]) - 1)
         for k in range(COUNTS[s]):
             out[begin[rows] + k] = (words[rows] >> np.uint64(k * WIDTHS[s])) & mask
@@ -103,20 +111,26 @@ def unpack_words(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def span_offsets(words: np.ndarray) -> np.ndarray:
-    """Ids before each span of SPAN words; a span that would start at an escaped id counts it as read."""
-    selector = (words >> np.uint64(60)).astype(np.int64)
-    raw, i = np.zeros(len(words), bool), 0
-    for e in np.flatnonzero(selector == ESCAPE).tolist():
-        if e >= i:
-            raw[e + 1] = True
-            i = e + 2
-    counts = np.array([*COUNTS, 0, 0])[selector]
-    counts[(selector == ESCAPE) & ~raw], counts[raw] = 0, 1
-    return (np.cumsum(counts) - counts)[::SPAN]
+def span_offsets(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each span: the place of its first word, every SPAN words or one after that where it is an escaped id, and the number of ids before it."""
+    counts, raw = word_counts(words)
+    places = np.arange(0, len(words), SPAN)
+    places += raw[places]
+    places = places[places < len(words)]
+    return places, (np.cumsum(counts) - counts)[places]
+
+
+def decode_range(words: np.ndarray, places: np.ndarray, before: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Ids start to stop (exclusive) of a block, from the spans that hold them alone."""
+    if stop <= start:
+        return np.zeros(0, np.uint64)
+    lo = int(np.searchsorted(before, start, side="right")) - 1
+    hi = int(np.searchsorted(before, stop, side="left"))
+    own = words[places[lo] : places[hi] if hi < len(places) else len(words)]
+    return unpack_words(own, stop - int(before[lo]))[start - int(before[lo]) :]
 
 
-BLOCK_SCHEMA = "shard int, block int, first_id long, n_ids long, doc_ids array<long>, doc_lengths array<long>, spans array<long>, words binary"
+BLOCK_SCHEMA = "shard int, block int, first_id long, n_ids long, doc_ids array<long>, doc_lengths array<long>, span_places array<long>, span_ids array<long>, words binary"
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, partitions: int | None = None) -> None:
@@ -136,8 +150,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.
         def close() -> pa.RecordBatch:
             joined = np.frombuffer(b"".join(parts), "<u4").astype(np.uint64)
             words = pack_words(joined)
-            rows = [[shard], [block], [first], [len(joined)], [ids], [[len(p) // 4 for p in parts]], [span_offsets(words).tolist()], [words.astype("<u8").tobytes()]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+            rows = [[shard], [block], [first], [len(joined)], [ids], [[len(p) // 4 for p in parts]], *([x.tolist()] for x in span_offsets(words)), [words.astype("<u8").tobytes()]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
@@ -176,4 +190,21 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 shift = row["first_id"] + row["base"]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts + shift), pa.array(row["doc_lengths"], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.drop("spans", "block").join(broadcast_if_small(cut(base)), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.drop("span_places", "span_ids", "block").join(broadcast_if_small(cut(base)), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, ids (array of longs, with the end id) of some documents of a file, decoded from the spans that hold them. Repeated ids give a row each; those that the file lacks give none."""
+    wanted = F.array(*(F.lit(i).cast("long") for i in doc_ids))
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path).where(F.arrays_overlap("doc_ids", wanted))
+    some = frozenset(doc_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ends, spans = np.cumsum(row["doc_lengths"]), [np.array(row[c]) for c in ("span_places", "span_ids")]
+                words = np.frombuffer(row["words"], "<u8")
+                found = [(doc, decode_range(words, *spans, int(end) - n, int(end)).astype(np.int64)) for doc, n, end in zip(row["doc_ids"], row["doc_lengths"], ends) if doc in some]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return blocks.select("doc_ids", "doc_lengths", "span_places", "span_ids", "words").mapInArrow(run, "doc_id long, ids array<long>")

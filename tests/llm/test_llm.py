@@ -77,6 +77,7 @@ def test_packing(docs, none):
         padding += 0 if at & (at - 1) == 0 else 2048 - at
     assert padding <= 0.02 * total
     assert packing.pack_documents(none).count() == 0
+    assert packing.pack_examples(none.select(F.lit(1).alias("example_id"), *(F.lit(1).alias(c) for c in ("n_tokens", "n_segments", "n_loss_tokens"))), 8, 8, 8).count() == 0
 
 
 def test_packing_keeps_all_limits(spark):
@@ -88,20 +89,70 @@ def test_packing_keeps_all_limits(spark):
     assert sums.n_tokens <= 2048 and sums.n_segments <= 8 and sums.n_loss_tokens <= 1200
 
 
+@pytest.mark.parametrize("limits", [(64, 3, 60), (64, 8, 63), (100, 2, 40)])
+def test_text_packer_keeps_limits_and_ids(limits):
+    rng = random.Random(18)
+    packer, docs, rows = packing.TextPacker(*limits, 4, 0), {}, []
+    for doc in range(400):
+        docs[doc] = np.array([rng.randrange(50_000) for _ in range(rng.choice([1, 2, 5, 30, 70, 300]))], "<u4")
+        rows += packer.add(doc, docs[doc].tobytes())
+    rows += packer.pack(last=True)
+    sequences, have = {}, {}
+    for doc, start, length, check, total, sequence, offset, loss in rows:
+        assert check == crc(docs[doc][start : start + length]) and total == len(docs[doc]) and loss == length - 1
+        have.setdefault(doc, []).append((start, length))
+        sequences.setdefault(sequence, []).append((offset, length, loss))
+    for doc, ids in docs.items():
+        assert [start for start, _ in sorted(have[doc])] == list(np.cumsum([0, *(n for _, n in sorted(have[doc]))])[:-1]) and sum(n for _, n in have[doc]) == len(ids)
+    for own in sequences.values():
+        assert sum(n for _, n, _ in own) <= limits[0] and len(own) <= limits[1] and sum(x for *_, x in own) <= limits[2]
+
+
+def test_fill_bins_equals_a_plain_loop():
+    """The dot-product heuristic, a pick at a time."""
+    rng = random.Random(19)
+    for _ in range(30):
+        limits = [rng.randint(20, 60), rng.randint(2, 5), rng.randint(10, 40)]
+        sizes = [[rng.randint(1, 40), 1, rng.randint(0, 20)] for _ in range(rng.randint(0, 25))]
+        left = [i for i, x in enumerate(sizes) if all(a <= b for a, b in zip(x, limits))]
+        bins = [[i] for i in range(len(sizes)) if i not in left]
+        scarce = [sum(x[d] / limits[d] for x in sizes) / max(1, len(sizes)) for d in range(3)]
+        left.sort(key=lambda i: -round(sum(sizes[i][d] / limits[d] * scarce[d] for d in range(3)), 12))
+        while left:
+            rest, own = list(limits), []
+            while fits := [i for i in left if all(sizes[i][d] <= rest[d] for d in range(3))]:
+                pick = max(fits, key=lambda i: (round(sum(sizes[i][d] / limits[d] * scarce[d] * rest[d] / limits[d] for d in range(3)), 12), -left.index(i)))
+                own.append(pick)
+                left.remove(pick)
+                rest = [a - b for a, b in zip(rest, sizes[pick])]
+            bins.append(own)
+        got = packing.fill_bins(np.array(sizes).reshape(-1, 3), np.array(limits))
+        fill = lambda bs: sorted(tuple(sum(sizes[i][d] for i in b) for d in range(3)) for b in bs)
+        assert fill(got) == fill(bins)
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 3000])
 @pytest.mark.parametrize("top", [1, 2, 300, 50_000, 2**60, 2**64 - 1])
 def test_simple8b_round_trip(n, top):
     v = np.random.default_rng(n).integers(0, top, n, dtype=np.uint64, endpoint=True)
     words = tokenfile.pack_words(v)
     assert (tokenfile.unpack_words(words, n) == v).all()
-    assert (np.diff(tokenfile.span_offsets(words)) >= 0).all()
+    places, before = tokenfile.span_offsets(words)
+    assert (np.diff(before) > 0).all() and len(places) == len(before) and (not n or before[0] == 0)
+    rng = random.Random(n)
+    for a, b in [(0, n), (n, n), *(sorted(rng.choices(range(n + 1), k=2)) for _ in range(20))]:
+        assert (tokenfile.decode_range(words, places, before, a, b) == v[a:b]).all()
 
 
 def test_token_file(spark, docs, none):
-    tokenfile.write_token_file(docs.where("doc_id is not null"), path := shared_path(spark, "t"), partitions=3)
+    tokenfile.write_token_file(docs, path := shared_path(spark, "t"), partitions=3)
     rows = tokenfile.read_token_file(spark, path).collect()
     start = 0
-    for r, (i, text) in zip(sorted(rows, key=lambda r: r["start"]), sorted([*enumerate(TEXTS), (7, TEXTS[7])], key=lambda x: x[0])):
+    found = {}
+    for r in tokenfile.read_documents(spark, path, [1, 5, 7, 99]).collect():
+        found.setdefault(r["doc_id"], []).append(r["ids"])
+    assert found == {i: [ids_of("word_bpe_49k.json", TEXTS[i], 2)] * (2 if i == 7 else 1) for i in (1, 5, 7)}
+    for r, (i, text) in zip(sorted(rows, key=lambda r: r["start"]), [(None, "no id at all"), *sorted([*enumerate(TEXTS), (7, TEXTS[7])], key=lambda x: x[0])]):
         ids = ids_of("word_bpe_49k.json", text, 2)
         assert tuple(r) == (i, start, len(ids), crc(ids))
         start += len(ids)
@@ -337,6 +388,33 @@ def test_gradients_by_differences():
         language.F32 = old
 
 
+def test_forward_pass_equals_a_plain_loop():
+    import math
+
+    net = language.Network(["a", "b"], 3)
+    text = "Grüße, und so weiter; bis morgen. " * 5
+    rows = language.segments(text)
+    sums, size = [0.0, 0.0], 0
+    logistic = lambda v: 1 / (1 + math.exp(-v))
+    for row in rows.tolist():
+        states = {}
+        for d in "fb":
+            x, u, c = (net.p[k + d].astype(float) for k in "xuc")
+            h, states[d] = [0.0] * 3, {}
+            for t in range(len(row)) if d == "f" else reversed(range(len(row))):
+                z, r = ([logistic(x[row[t], g * 3 + j] + sum(h[i] * u[i, g * 3 + j] for i in range(3))) for j in range(3)] for g in (0, 1))
+                cand = [math.tanh(x[row[t], 6 + j] + sum(r[i] * h[i] * c[i, j] for i in range(3))) for j in range(3)]
+                h = [a + z[j] * (cand[j] - a) for j, a in enumerate(h)]
+                states[d][t] = h
+        for t, byte in enumerate(row):
+            if byte < 256:
+                both = states["f"][t] + states["b"][t]
+                e = [math.exp(sum(both[i] * float(net.p["w"][i, k]) for i in range(6)) + float(net.p["b"][k])) for k in (0, 1)]
+                sums, size = [s + x / sum(e) for s, x in zip(sums, e)], size + 1
+    lang, score = language.label_texts(net, [text])[0]
+    assert size == len(text.encode()) and lang == "ab"[sums.index(max(sums))] and score == pytest.approx(max(sums) / size, abs=1e-4)
+
+
 def test_language(spark, docs, none):
     en, de = "the cat sat on the mat and looked at the rain".split(), "der hund lief über die straße und bellte laut".split()
     rng = random.Random(9)
@@ -371,6 +449,9 @@ def test_mixing(spark, docs, none):
     again = mixing.mix(spark.createDataFrame(rows[::-1], SCHEMA)).toPandas()
     assert sorted(zip(again.doc_id, again.taken)) == sorted(zip(got.doc_id, got.taken))
     assert mixing.mix(docs).count() == len(TEXTS) + 2 and mixing.mix(none).count() == 0
+    same = spark.createDataFrame([(1, f"{w} " * 5, None, "s", 0) for w in "abcdefg"], SCHEMA)
+    twice = [sorted(r["text"] for r in mixing.apply_mix(x).collect()) for x in (same, same.orderBy(F.desc("text")))]
+    assert twice[0] == twice[1]
     copies = mixing.apply_mix(spark.createDataFrame(rows, SCHEMA)).toPandas()
     assert copies.text.str.split().str.len().sum() == got.taken.sum()
 
