@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -37,7 +38,12 @@ TASKS = (
     ("document|docs", "Documentation"), ("config|configure", "Configure settings"), ("migrate", "Migration task"), ("search|find", "Search codebase"), ("read|understand|explain|summarize|analyze|review", "Understand code"),
 )
 TASK_VERBS = ("add", "create", "fix", "update", "run", "write", "build", "delete", "move", "rename", "check")
-TOKEN = r"[\p{L}\p{N}_-]+"
+TOKEN = r"[\p{IsAlphabetic}\p{N}_-]+"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over value, which is evaluated once: within a lambda, an outer expression would be evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def any_of(text: Column, parts) -> Column:
@@ -64,6 +70,10 @@ def space_words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def first_word(text: Column) -> Column:
+    return F.get(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), F.lit(0))
+
+
 def tech_stack(text: Column) -> Column:
     """The stack with most signals, at least 2, or 'unknown'."""
     low = F.lower(text)
@@ -95,6 +105,13 @@ def stem(word: Column) -> Column:
     )
 
 
+def counted(terms: Column) -> Column:
+    """Distinct terms of an array with how often each occurs: (term, n), by term. Sorted runs are counted, so nothing is shuffled."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s: let(starts(s), lambda at: F.transform(at, lambda a, i: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(s)) - a).cast("long").alias("n"))))
+    return F.when(F.size(terms) > 0, let(F.array_sort(terms), runs)).otherwise(F.array().cast("array<struct<term:string,n:bigint>>"))
+
+
 def term_weight(term: Column) -> Column:
     out = F.when(F.lit(False), F.lit(0.0))
     for weight, terms in TERM_WEIGHTS.items():
@@ -103,17 +120,23 @@ def term_weight(term: Column) -> Column:
     return out.when(n >= 8, 1.5).when(n >= 5, 1.2).otherwise(1.0)
 
 
-def quick_score(query: Column, pattern: Column) -> Column:
-    """Share of a short query's words that occur in a pattern, raised where both are of one tech stack; 0.03 where the stacks differ."""
-    q, p = tech_stack(query), tech_stack(pattern)
-    known = (q != "unknown") & (p != "unknown")
-    factor = F.when(known & (q == p), 1.5).otherwise(1.0)
-    low = F.lower(pattern)
-    words = F.filter(space_words(F.lower(query)), lambda w: (F.octet_length(w) >= 2) & ~w.isin(*QUICK_STOP_WORDS))
+def quick_words(query: Column) -> Column:
+    """Words of a short query that count."""
+    return F.filter(space_words(F.lower(query)), lambda w: (F.octet_length(w) >= 2) & ~w.isin(*QUICK_STOP_WORDS))
+
+
+def quick_match(words: Column, query_stack: Column, pattern: Column, pattern_stack: Column) -> Column:
+    """Share of a short query's words that occur in a pattern (lower case), raised where both are of one tech stack; 0.03 where the stacks differ."""
+    known = (query_stack != "unknown") & (pattern_stack != "unknown")
+    factor = F.when(known & (query_stack == pattern_stack), 1.5).otherwise(1.0)
     total = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.when(F.octet_length(w) >= 4, 2.0).otherwise(1.0))
-    hits = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.when(F.contains(low, w), F.when(w.isin(*QUICK_BONUS), 2.0).otherwise(1.0)).otherwise(0.0))
+    hits = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.when(F.contains(pattern, w), F.when(w.isin(*QUICK_BONUS), 2.0).otherwise(1.0)).otherwise(0.0))
     share = F.least(hits / F.when(total > 0, total), F.lit(1.0))
-    return F.when((query == "") | (pattern == ""), 0.0).when(known & (q != p), 0.1 * 0.3).otherwise(F.coalesce(F.least(share * factor, F.lit(2.0)), F.lit(0.0)))
+    return F.when(pattern == "", 0.0).when(known & (query_stack != pattern_stack), 0.1 * 0.3).otherwise(F.coalesce(F.least(share * factor, F.lit(2.0)), F.lit(0.0)))
+
+
+def quick_score(query: Column, pattern: Column) -> Column:
+    return F.when(query == "", 0.0).otherwise(quick_match(quick_words(query), tech_stack(query), F.lower(pattern), tech_stack(pattern)))
 
 
 def task_category(query: Column) -> Column:
@@ -129,24 +152,49 @@ def task_category(query: Column) -> Column:
     return out.when(F.octet_length(short) > 40, F.concat(byte_truncate(short, 40), F.lit("..."))).otherwise(short)
 
 
-def term_score(query: Column, pattern: Column, query_terms: Column, pattern_terms: Column) -> Column:
-    """Weighted term frequencies of a long query against a pattern's, over the query's length alone; the terms are tokens() of either.
+def term_match(query: Column, query_stack: Column, query_terms: Column, pattern: Column, pattern_stack: Column, pattern_terms: Column) -> Column:
+    """Weighted term frequencies of a long query against a pattern's, over the query's length alone; texts in lower case, the terms counted() of either.
 
     Raised where both are of one tech stack and lowered where the stacks differ; then 0.015 if none of the query's
     first five words, of 4 bytes or more, occurs in the pattern.
     """
-    q, p, low = tech_stack(query), tech_stack(pattern), F.lower(pattern)
-    known = (q != "unknown") & (p != "unknown")
-    factor = F.when(known & (q == p), 1.5).when(known, 0.3).otherwise(1.0)
-    common = F.exists(F.slice(space_words(F.lower(query)), 1, 5), lambda w: (F.octet_length(w) >= 4) & F.contains(low, w))
-    times = lambda t, terms: F.size(F.filter(terms, lambda x: x == t)) * term_weight(t)
-    distinct = F.array_distinct(query_terms)
-    dot = F.aggregate(distinct, F.lit(0.0), lambda a, t: a + times(t, query_terms) * times(t, pattern_terms))
-    norm = F.sqrt(F.aggregate(distinct, F.lit(0.0), lambda a, t: a + F.pow(times(t, query_terms), F.lit(2))))
-    return F.when(known & (q != p) & ~common, 0.05 * 0.3).otherwise(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)) * factor)
-
-
-def shared_words(a: Column, b: Column) -> Column:
-    """How many distinct words of 3 bytes or more two texts share."""
-    long_words = lambda x: F.filter(space_words(x), lambda w: F.octet_length(w) >= 3)
-    return F.size(F.array_intersect(long_words(a), long_words(b)))
+    known = (query_stack != "unknown") & (pattern_stack != "unknown")
+    factor = F.when(known & (query_stack == pattern_stack), 1.5).when(known, 0.3).otherwise(1.0)
+    common = F.exists(F.slice(space_words(query), 1, 5), lambda w: (F.octet_length(w) >= 4) & F.contains(pattern, w))
+    weight = lambda x: x["n"] * term_weight(x["term"])
+    ours = F.map_from_arrays(F.transform(pattern_terms, lambda x: x["term"]), F.transform(pattern_terms, weight))
+    dot = let(ours, lambda m: F.aggregate(query_terms, F.lit(0.0), lambda a, x: a + weight(x) * F.coalesce(F.try_element_at(m, x["term"]), F.lit(0.0))))
+    norm = F.sqrt(F.aggregate(query_terms, F.lit(0.0), lambda a, x: a + F.pow(weight(x), F.lit(2))))
+    return F.when(known & (query_stack != pattern_stack) & ~common, 0.05 * 0.3).otherwise(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)) * factor)
+
+
+def features(text: Column) -> Column:
+    """What scoring needs of a text, once for each and not for each pair: low, stack, words, terms, bytes."""
+    return F.struct(F.lower(text).alias("low"), tech_stack(text).alias("stack"), quick_words(text).alias("words"), counted(tokens(text)).alias("terms"), F.octet_length(text).alias("bytes"))
+
+
+def lexical_score(query: Column, pattern: Column) -> Column:
+    """Score of a query against a pattern, both features(): the quick one where the query has fewer than 100 bytes and the pattern fewer than 400, else by weighted terms; 0 without text."""
+    quick = quick_match(query["words"], query["stack"], pattern["low"], pattern["stack"])
+    slow = term_match(query["low"], query["stack"], query["terms"], pattern["low"], pattern["stack"], pattern["terms"])
+    empty = (F.coalesce(query["bytes"], F.lit(0)) == 0) | (F.coalesce(pattern["bytes"], F.lit(0)) == 0)
+    return F.when(empty, 0.0).when((query["bytes"] < 100) & (pattern["bytes"] < 400), quick).otherwise(slow)
+
+
+def text_lines(text: Column) -> Column:
+    return F.transform(F.split(text, r"\r?\n"), F.trim)
+
+
+def after(line: Column, label: str) -> Column:
+    """What follows a line's label, however often that is repeated."""
+    return F.trim(F.regexp_replace(line, f"^(?:{label})+", ""))
+
+
+def labelled(text: Column, label: str, least: int) -> Column:
+    """Of a text's lines that begin with a label what follows, where that has least bytes or more."""
+    return F.filter(F.transform(F.filter(text_lines(text), lambda x: F.startswith(x, F.lit(label))), lambda x: after(x, label)), lambda x: F.octet_length(x) >= least)
+
+
+def long_words(text: Column) -> Column:
+    """Distinct words of 3 bytes or more."""
+    return F.array_distinct(F.filter(space_words(text), lambda w: F.octet_length(w) >= 3))

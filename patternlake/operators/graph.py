@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +21,42 @@ def pairs(baskets: DataFrame) -> DataFrame:
     return baskets.select("basket", "seq", "ok", F.explode(made).alias("p")).select("basket", "seq", "ok", "p.a", "p.b")
 
 
+def folded(occurrences: DataFrame) -> DataFrame:
+    """occurrences (a, b, seq, ok): a, b, lift after all of them in order of seq, co_occurrences, and factor and offset, by which they would go on from a lift before them.
+
+    A step takes x to (1 - ALPHA) x + c, so any run of steps is a factor and an offset. Rows are dealt to tasks by
+    ranges of (a, b, seq): a pair with very many is folded by several, a batch at a time, and its few runs are joined.
+    """
+    kind = occurrences.schema["seq"].dataType.simpleString()
+    n = int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = occurrences.select("a", "b", "seq", "ok").repartitionByRange(n, "a", "b", "seq").sortWithinPartitions("a", "b", "seq")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, ok = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1, 3))
+            ok = ok.astype(bool)
+            starts = np.flatnonzero(np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)]) if len(a) else np.zeros(0, int)
+            sizes = np.diff(np.append(starts, len(a)))
+            left = np.repeat(starts + sizes, sizes) - np.arange(len(a)) - 1  # steps of the run after each
+            share = np.where(ok, *LATER) * ALPHA * (1 - ALPHA) ** left
+            offset = np.add.reduceat(share, starts) if len(starts) else share
+            cols = [pa.array(a[starts]), pa.array(b[starts]), batch.column(2).take(pa.array(starts)), pa.array(sizes, pa.int64()), pa.array(offset), pa.array(share[starts]), pa.array(ok[starts])]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "seq", "n", "offset", "share", "ok"])
+
+    parts = ordered.mapInArrow(runs, f"a {occurrences.schema['a'].dataType.simpleString()}, b {occurrences.schema['b'].dataType.simpleString()}, seq {kind}, n long, offset double, share double, ok boolean")
+    keep = lambda x, less=0: F.pow(F.lit(1.0 - ALPHA), x["n"] - F.lit(less))
+    first = lambda x: F.when(x["ok"], FIRST[0]).otherwise(FIRST[1]) * keep(x, 1) + x["offset"] - x["share"]
+    whole = parts.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "offset", "share", "ok"))).alias("r"))  # a run a batch
+    after = lambda acc, x: acc * keep(x) + x["offset"]
+    return whole.select(
+        "a", "b", F.aggregate(F.slice("r", F.lit(2), F.size("r")), first(F.get("r", F.lit(0))), after).alias("lift"), F.aggregate("r", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("co_occurrences"),
+        F.aggregate("r", F.lit(1.0), lambda acc, x: acc * keep(x)).alias("factor"), F.aggregate("r", F.lit(0.0), after).alias("offset"),
+    )
+
+
 def lift(occurrences: DataFrame) -> DataFrame:
     """occurrences (a, b, seq, ok): a, b, lift after all of them in order of seq, co_occurrences."""
-    history = F.array_sort(F.collect_list(F.struct("seq", "ok")))
-    first = F.when(F.get("h", F.lit(0))["ok"], F.lit(FIRST[0])).otherwise(F.lit(FIRST[1]))
-    step = lambda acc, x: acc * F.lit(1.0 - ALPHA) + F.when(x["ok"], F.lit(LATER[0])).otherwise(F.lit(LATER[1])) * F.lit(ALPHA)
-    folded = F.aggregate(F.slice("h", F.lit(2), F.size("h")), first, step)
-    return occurrences.groupBy("a", "b").agg(history.alias("h")).select("a", "b", folded.alias("lift"), F.size("h").cast("long").alias("co_occurrences"))
+    return folded(occurrences).select("a", "b", "lift", "co_occurrences")
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -48,3 +81,8 @@ def without_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("id").distinct()
     kept = edges.where("a <> b").join(ids, edges["a"] == ids["id"], "left_semi")
     return kept.join(ids, kept["b"] == ids["id"], "left_semi")
+
+
+def edges_of(edges: DataFrame, node: int) -> DataFrame:
+    """A node's edges, the least lift first."""
+    return edges.where((F.col("a") == node) | (F.col("b") == node)).orderBy("lift", "a", "b")

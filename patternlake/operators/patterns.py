@@ -60,22 +60,31 @@ def prune(patterns: DataFrame, min_score: int = -3) -> DataFrame:
     return patterns.where(score() >= min_score)
 
 
-def dedup_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("rn = 1").drop("rn")
-
-
-def merge_best(table: DataFrame, news: DataFrame, strategy: str = "add", key: str = "key") -> DataFrame:
-    """Import of another table: add and replace add counters; keep_best adds only those whose rate is better than what is there."""
+def merge_best(table: DataFrame, news: DataFrame, strategy: str = "add", key: str = "key", failures: str = "failure") -> DataFrame:
+    """Import of another table: add and replace add counters; keep_best adds only those whose rate is better than what is there, where rows labelled failures don't count as there."""
     if strategy == "keep_best":
         rate = lambda p: F.coalesce(F.try_divide(f"{p}.success", F.col(f"{p}.success") + F.col(f"{p}.failure")), F.lit(0.5))
-        pairs = news.alias("n").join(table.alias("t"), F.col(f"n.{key}") == F.col(f"t.{key}"), "left")
+        there = table.where(F.col("label") != failures)
+        pairs = news.alias("n").join(there.alias("t"), F.col(f"n.{key}") == F.col(f"t.{key}"), "left")
         news = pairs.where(F.col(f"t.{key}").isNull() | (rate("n") > rate("t"))).select("n.*")
     return upsert(table, news, key)
 
 
-def merge_replicas(entries: DataFrame, strategy: str = "last_write") -> DataFrame:
-    """Conflict-free merge of entries (key, success, failure, ts, node): the last write by (ts, node), or the greatest counters."""
-    newest = F.max_by(F.struct("success", "failure"), F.struct("ts", "node"))
-    if strategy == "last_write":
-        return entries.groupBy("key").agg(newest.alias("x"), F.max("ts").alias("ts")).select("key", "x.success", "x.failure", "ts")
-    return entries.groupBy("key").agg(F.max("success").alias("success"), F.max("failure").alias("failure"), F.max("ts").alias("ts"))
+def in_category(patterns: DataFrame, tool_type: str, category: str | None, n: int) -> DataFrame:
+    """The n best of a type and category; of the type where category is None."""
+    own = patterns.where(F.col("tool_type") == tool_type)
+    return (own if category is None else own.where(F.col("category") == category)).orderBy(*SORTS["score"]()).limit(n)
+
+
+def prunable(patterns: DataFrame, min_score: int = -2) -> DataFrame:
+    """What prune() would take, worst first."""
+    return patterns.where(score() < min_score).orderBy(score(), "success", "id")
+
+
+def status(patterns: DataFrame) -> DataFrame:
+    """One row on a pattern table: how many, their counters, the rate of all and the mean of theirs, and how many were never used."""
+    total = F.sum("success") + F.sum("failure")
+    return patterns.agg(
+        F.count("*").alias("patterns"), F.coalesce(F.sum("success"), F.lit(0)).alias("success"), F.coalesce(F.sum("failure"), F.lit(0)).alias("failure"), F.round(100.0 * F.try_divide(F.sum("success"), total), 6).alias("rate"),
+        F.round(F.avg(F.try_divide("success", F.col("success") + F.col("failure")) * 100), 6).alias("mean_rate"), F.count_if(F.col("last_used").isNull()).alias("unused"),
+    )

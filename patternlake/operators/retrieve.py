@@ -11,39 +11,181 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .patterns import score, top_per_type
+from .patterns import SORTS, score, top_per_type
 
 
 def combined(sim: Column) -> Column:
     return F.lit(0.6) * sim + F.lit(0.4) * F.greatest(score(), F.lit(0)) / F.lit(10.0)
 
 
+#: The stored types that a tool asks for, in their order; others ask for their own.
+TYPES = {
+    "edit": ("Edit", "Write", "MultiEdit"), "bash": ("Bash",), "task": ("Task",), "read": ("Read", "Glob", "Grep"), "grep": ("Grep", "Read", "Glob"), "web": ("WebSearch", "WebFetch"),
+}
+
+
+def types_of(tool: Column) -> Column:
+    out = F.array(tool)
+    for name, types in TYPES.items():
+        out = F.when(tool == name, F.array(*map(F.lit, types))).otherwise(out)
+    return out
+
+
+def with_features(patterns: DataFrame, text: str = "context") -> DataFrame:
+    return patterns.withColumn("pf", T.features(F.col(text)))
+
+
+def scored(queries: DataFrame, patterns: DataFrame, per_type: int) -> DataFrame:
+    """Each query (query_id, query, tool_type) with its type's per_type best patterns and sim, their lexical score. Texts are taken apart once each, before they meet."""
+    candidates = with_features(top_per_type(patterns, per_type)).select("tool_type", "id", "context", "success", "failure", "rank", "pf")
+    asked = queries.withColumn("qf", T.features(F.col("query")))
+    return asked.join(candidates, "tool_type").withColumn("sim", T.lexical_score(F.col("qf"), F.col("pf"))).drop("qf", "pf")
+
+
 def retrieve(queries: DataFrame, patterns: DataFrame, per_type: int = 8, k: int = 3, threshold: float = 0.35) -> DataFrame:
     """For each query (query_id, query, tool_type) the k best of its type's per_type best patterns, if similar enough.
 
     Patterns are cut to per_type a type before they meet the queries, so the join's larger side stays small.
     """
-    candidates = top_per_type(patterns, per_type).select("tool_type", "id", "context", "success", "failure", "rank")
-    scored = queries.join(candidates, "tool_type").withColumn("sim", T.quick_score(F.col("query"), F.col("context"))).where(F.col("sim") >= threshold)
-    scored = scored.withColumn("score", combined(F.col("sim")))
+    met = scored(queries, patterns, per_type).where(F.col("sim") >= threshold).withColumn("score", combined(F.col("sim")))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank", "id"))
-    return scored.withColumn("place", best).where(F.col("place") <= k).select("query_id", "place", "id", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"))
+    return met.withColumn("place", best).where(F.col("place") <= k).select("query_id", "place", "id", F.round("sim", 6).alias("sim"), F.round("score", 6).alias("score"))
+
+
+def inject(queries: DataFrame, patterns: DataFrame, conflicts: DataFrame, per_type: int = 8, k: int = 3, threshold: float = 0.35) -> DataFrame:
+    """Retrieval in full for queries (query_id, tool, query): query_id, place, id, generic.
+
+    A tool's types give per_type best patterns each, in the order of the types, and twice per_type in all. Those that
+    are similar enough are ranked by the combined score; where there are more than k, those in conflict with the first
+    go; k stay. An empty query takes the first k as they are. Where none is similar enough, the patterns of these types
+    (in either case) among the per_type best of all types stand in, with generic true.
+    """
+    best = top_per_type(patterns, per_type)
+    typed = queries.select("query_id", "query", F.posexplode(types_of(F.col("tool"))).alias("order", "tool_type"))
+    asked = typed.join(best, "tool_type")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("order", "rank", "id"))
+    taken = asked.withColumn("first", first).where(F.col("first") <= 2 * per_type).select("query_id", "query", "id", "first", "success", "failure")
+    texts = with_features(best.select("id", "context")).select("id", "pf")
+    asks = queries.select("query_id", T.features(F.col("query")).alias("qf"))
+    met = taken.join(texts, "id").join(asks, "query_id").withColumn("sim", T.lexical_score(F.col("qf"), F.col("pf"))).drop("qf", "pf")
+    empty = F.coalesce(F.col("query"), F.lit("")) == ""
+    met = met.where(empty | (F.col("sim") >= threshold)).withColumn("score", F.when(~empty, combined(F.col("sim"))))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "first"))
+    ranked = met.withColumn("place", place)
+    kept = without_conflicts(ranked.where(~empty).select("query_id", "place", "id"), conflicts).unionByName(ranked.where(empty).select("query_id", "place", "id"))
+    again = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+    found = kept.withColumn("place", again).where(F.col("place") <= k)
+    top = patterns.where("tool_type <> 'failure'").orderBy(*SORTS["score"]()).limit(per_type).select("id", "tool_type", "success", "failure")
+    lower = typed.where(~empty).select("query_id", F.lower("tool_type").alias("lower")).distinct()
+    spare = lower.join(F.broadcast(top), F.lower(top["tool_type"]) == F.col("lower")).join(found, "query_id", "left_anti")  # top holds per_type rows
+    by_score = F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("success") - F.col("failure")).desc(), F.col("success").desc(), "id"))
+    spare = spare.withColumn("place", by_score).where(F.col("place") <= k)
+    return found.select("query_id", "place", "id", F.lit(False).alias("generic")).union(spare.select("query_id", "place", "id", F.lit(True)))
+
+
+def hint(approach: Column) -> Column:
+    """An approach "tool - command - description" as advice."""
+    parts = F.split(approach, " - ", 3)
+    tool, command, last = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    cut = T.byte_truncate
+    agent = F.trim(F.regexp_replace(command, "^(?:delegating to )+", ""))
+    three = F.when(tool == "Bash", F.concat(F.lit("Ran `"), command, F.lit("`: "), cut(last, 60))).when(tool.isin("Edit", "MultiEdit", "Write", "Read", "Glob", "Grep"), cut(last, 80))
+    three = three.when(tool == "Task", F.concat(F.lit("Delegated to "), agent, F.lit(": "), cut(last, 50))).otherwise(F.concat(tool, F.lit(": "), cut(last, 70)))
+    return F.when(F.size(parts) == 3, three).when(F.size(parts) == 2, cut(command, 80)).otherwise(cut(approach, 80))
+
+
+def insight(text: Column) -> Column:
+    """The last pitfall of a pattern's text, else the last approach as a hint, else its first telling line, else its first line."""
+    labels = ("Task:", "Outcome:", "User asked:", "Query:", "Approach:")
+    telling = F.filter(T.text_lines(text), lambda x: (F.octet_length(x) > 10) & ~F.rlike(x, F.lit("^(" + "|".join(labels) + ")")))
+    last = lambda label, n: F.try_element_at(T.labelled(text, label, n), F.lit(-1))
+    pitfall, approach = last("Pitfall:", 11), last("Approach:", 6)
+    first = F.get(F.split(text, r"\r?\n"), F.lit(0))
+    return F.coalesce(F.concat(F.lit("\u26a0\ufe0f "), T.byte_truncate(pitfall, 100)), hint(approach), T.byte_truncate(F.get(telling, F.lit(0)), 100), T.byte_truncate(first, 80))
+
+
+def injection_blocks(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """inject()'s rows as the text to show, a row a query: query_id, block, ids. Of equal insights (in either case) a query shows the first. Rates are rounded half to even."""
+    rate = F.when(F.col("success") + F.col("failure") > 0, 100.0 * F.col("success") / (F.col("success") + F.col("failure"))).otherwise(50.0)
+    shown = found.join(patterns.select("id", "tool_type", "context", "success", "failure"), "id").withColumn("insight", insight(F.col("context")))
+    shown = shown.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", F.lower("insight")).orderBy("place"))).where("nth = 1")
+    entry = F.concat(F.lit("- **"), "tool_type", F.lit("** (score: "), (F.col("success") - F.col("failure")).cast("string"), F.lit(", "), F.bround(rate, 0).cast("long").cast("string"), F.lit("% success rate)\n  "), "insight", F.lit("\n"))
+    folded = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", entry.alias("entry"), "id"))).alias("x"), F.bool_or("generic").alias("generic"))  # k rows a query
+    head = F.when(F.col("generic"), "**General patterns (no tech-specific matches found):**").otherwise("**Relevant patterns from previous successful operations:**")
+    return folded.select("query_id", F.concat(head, F.lit("\n\n"), F.array_join(F.transform("x", lambda y: y["entry"]), "\n")).alias("block"), F.transform("x", lambda y: y["id"]).alias("ids"))
 
 
-def term_scores(queries: DataFrame, patterns: DataFrame, per_type: int = 8) -> DataFrame:
-    """Each query (query_id, query, tool_type) against its type's per_type best patterns by weighted terms, which are taken from every text once."""
-    candidates = top_per_type(patterns, per_type).select("tool_type", "id", "context", T.tokens(F.col("context")).alias("pattern_terms"))
-    asked = queries.withColumn("query_terms", T.tokens(F.col("query")))
-    sim = T.term_score(F.col("query"), F.col("context"), F.col("query_terms"), F.col("pattern_terms"))
-    return asked.join(candidates, "tool_type").select("query_id", "id", F.round(sim, 6).alias("sim"))
+def warnings(patterns: DataFrame) -> DataFrame:
+    """Failure patterns as lines of warning: id, line."""
+    return patterns.where("tool_type = 'failure'").select("id", F.concat(F.lit("- \u26a0\ufe0f "), insight(F.col("context"))).alias("line"))
 
 
-def first_overlap(queries: DataFrame, patterns: DataFrame, per_type: int = 10, min_shared: int = 2) -> DataFrame:
-    """Of each query's type's per_type best patterns the first that shares min_shared words with it; queries without one are left out."""
-    candidates = top_per_type(patterns, per_type).select("tool_type", "id", "context", "rank")
-    met = queries.join(candidates, "tool_type").withColumn("shared", T.shared_words(F.col("query"), F.col("context"))).where(F.col("shared") >= min_shared)
-    first = F.min(F.struct("rank", "id", "shared")).alias("first")
-    return met.groupBy("query_id").agg(first).select("query_id", "first.id", F.col("first.shared").cast("long").alias("shared"))
+#: By extension the language and further signals that an edit's query names.
+EDIT_HINTS = {
+    "rs": ("rust", "cargo toml crate"), "ts": ("typescript", "npm node package"), "tsx": ("typescript", "npm node package"), "js": ("javascript", "npm node package"), "jsx": ("javascript", "npm node package"),
+    "py": ("python", "pip pytest"), "go": ("golang", "mod"), "rb": ("ruby", "gem"), "java": ("java", "maven gradle"), "cpp": ("cpp", "cmake"), "cc": ("cpp", "cmake"), "cxx": ("cpp", "cmake"), "c": ("c", "cmake"), "h": ("c", "cmake"),
+    "md": ("markdown", ""), "json": ("json", "npm node package"), "yaml": ("yaml", ""), "yml": ("yaml", ""), "toml": ("toml", "cargo rust"), "sh": ("shell", "bash"), "bash": ("shell", "bash"),
+}
+#: By command the signals that a command's query names.
+COMMAND_HINTS = {
+    "javascript npm node": "npm npx yarn pnpm node deno bun", "rust cargo": "cargo rustc rustup", "python pip": "pip python python3 pytest poetry uv", "golang go": "go", "git": "git gh", "docker container": "docker docker-compose", "build make": "make cmake",
+}
+
+
+def query_text(tool: Column, fields: Column) -> Column:
+    """The query of a tool's input, a struct of file_path, command, description, subagent_type."""
+    path = F.coalesce(fields["file_path"], F.lit("unknown"))
+    ext = T.extension(path)
+    pairs = F.create_map(*(F.lit(x) for e, (a, b) in EDIT_HINTS.items() for x in (e, f"{a} {b}")))
+    first = F.coalesce(T.first_word(fields["command"]), F.lit(""))
+    commands = F.create_map(*(F.lit(x) for hint_, words in COMMAND_HINTS.items() for w in words.split() for x in (w, hint_)))
+    told = F.coalesce(fields["description"], F.lit(""))
+    bash = F.concat(F.lit("Bash "), first, F.lit(" "), F.coalesce(F.try_element_at(commands, first), F.lit("")), F.when(told != "", F.concat(F.lit(" "), told)).otherwise(""))
+    return (
+        F.when(tool == "edit", F.concat(F.lit("Editing "), ext, F.lit(" "), F.coalesce(F.try_element_at(pairs, ext), F.concat(ext, F.lit(" "))), F.lit(" file "), T.file_name(path)))
+        .when(tool == "bash", bash)
+        .when(tool == "task", F.concat(F.lit("Agent: "), F.coalesce(fields["subagent_type"], F.lit("unknown")), F.lit(" - "), told))
+        .when(tool == "read", F.concat(F.lit("Reading "), T.file_name(F.coalesce(fields["file_path"], F.lit("")))))
+        .when(tool == "web", F.lit("Web search"))
+        .otherwise(F.concat(F.lit("Tool: "), tool))
+    )
+
+
+def term_scores(queries: DataFrame, texts: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, id, sim: each of a stated set of queries (query_id, query) against all texts (id, text) that share a term with it, by weighted terms (term_match's first part).
+
+    Texts' terms are counted within their rows and meet the queries' in an inverted index; pairs without a common term,
+    whose score is 0, are never made.
+    """
+    weight = F.col("x.n") * T.term_weight(F.col("x.term"))
+    parts = lambda df, key, text, name: df.select(key, F.explode(T.counted(T.tokens(F.col(text)))).alias("x")).select(key, F.col("x.term").alias("term"), weight.alias(name))
+    asked = parts(queries, "query_id", "query", "q")
+    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.pow("q", F.lit(2)))).alias("norm"))
+    stacks = queries.select("query_id", T.tech_stack(F.col("query")).alias("a"), F.lower("query").alias("low_q"))
+    dots = parts(texts, "id", "text", "t").join(hinted(asked, max_bytes), "term").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("t")).alias("dot"))
+    met = dots.join(norms.join(stacks, "query_id"), "query_id").join(texts.select("id", T.tech_stack(F.col("text")).alias("b"), F.lower("text").alias("low_t")), "id")
+    known = (F.col("a") != "unknown") & (F.col("b") != "unknown")
+    factor = F.when(known & (F.col("a") == F.col("b")), 1.5).when(known, 0.3).otherwise(1.0)
+    common = F.exists(F.slice(T.space_words(F.col("low_q")), 1, 5), lambda w: (F.octet_length(w) >= 4) & F.contains(F.col("low_t"), w))
+    sim = F.when(known & (F.col("a") != F.col("b")) & ~common, 0.015).otherwise(F.col("dot") / F.col("norm") * factor)
+    return met.select("query_id", "id", F.round(sim, 4).alias("sim"))
+
+
+def hinted(df: DataFrame, max_bytes: int) -> DataFrame:
+    """A broadcast hint where df's rows are measured to take at most max_bytes, strings as 64."""
+    rows = max_bytes // (64 * max(1, len(df.columns)))
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def first_overlap(texts: DataFrame, patterns: DataFrame, min_shared: int = 2, max_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, id, shared: of patterns (id, context, rank) the first that shares min_shared distinct words of 3 bytes or more with a text (query_id, query); texts without one are left out.
+
+    Words meet in an inverted index, counts are combined before they are shuffled.
+    """
+    own = lambda df, key, text: df.select(*key, F.explode(T.long_words(F.col(text))).alias("word"))
+    met = own(texts, ["query_id"], "query").join(hinted(own(patterns, ["rank", "id"], "context"), max_bytes), "word")
+    shared = met.groupBy("query_id", "rank", "id").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    return shared.groupBy("query_id").agg(F.min(F.struct("rank", "id", "shared")).alias("first")).select("query_id", "first.id", "first.shared")
 
 
 def without_conflicts(candidates: DataFrame, conflicts: DataFrame, gate: int = 4) -> DataFrame:
@@ -54,20 +196,44 @@ def without_conflicts(candidates: DataFrame, conflicts: DataFrame, gate: int = 4
     return sized.drop("n").join(bad, ["query_id", "id"], "left_anti").select("query_id", "place", "id")
 
 
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(x: Column) -> Column:
+    """x at length 1; null where its length is below 1e-10."""
+    size = F.sqrt(dot(x, x))
+    return T.let(size, lambda n: F.when(n > 1e-10, F.transform(x, lambda v: v.cast("double") / n)))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (size > 1e-10), dot(a, b) / size).otherwise(0.0)
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries (query_id, q), a stated set that is broadcast, against all vectors (id, v); the k best by cosine, then id.
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """queries (query_id, q), a stated set, against all vectors (id, v); query_id, id, sim, place of the k best by cosine, then id.
 
-    Every task keeps its own k best of each query before anything is shuffled.
+    Queries are asked in blocks of about block rows, which are broadcast; lengths are taken out of each vector once, and
+    every task keeps its own k best of each query before anything is shuffled.
     """
-    pairs = vectors.join(F.broadcast(queries), F.lit(True)).select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("sim"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k)
+    asked, own = queries.select("query_id", unit(F.col("q")).alias("q")), vectors.select("id", unit(F.col("v")).alias("v"))
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        sim = F.when(F.size("q") == F.size("v"), F.round(dot(F.col("q"), F.col("v")), 6)).otherwise(0.0)
+        pairs = own.join(F.broadcast(some), F.lit(True)).select("query_id", "id", F.coalesce(sim, F.lit(0.0)).alias("sim"))  # about block rows
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id"))
+        best = pairs.withColumn("place", place).where(F.col("place") <= k)
+        out = best if out is None else out.union(best)
+    return out
+
+
+def with_context(near: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Of each query's nearest (query_id, id, place), of which more than k were sought, the first k that rows (id) still have, with rows' columns."""
+    met = near.join(rows, "id")
+    return met.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("place") <= k)
 
 
 #: Fixed values of the public FNV-1a hash and of a linear congruential generator.

@@ -70,20 +70,35 @@ def outcome(sessions: DataFrame) -> DataFrame:
     return sessions.select("conv_id", phrase_count(said, RETRIES).alias("retries"), any_of(low, GIVEN_UP).alias("abandoned"), any_of(low, SUCCESS).alias("succeeded"))
 
 
-def score_impact(category: Column, confidence: Column, boost: int = 5, penalty: int = -5) -> Column:
-    """Change of a pattern's score by a verdict, half away from zero."""
-    return F.when(category == "EFFECTIVE", F.round(boost * confidence)).when(category == "HARMFUL", F.round(penalty * confidence)).otherwise(0.0).cast("long")
+VERDICTS = ("EFFECTIVE", "INEFFECTIVE", "HARMFUL", "NEUTRAL")
+
+
+def score_impact(category: Column, confidence: Column, boost: int | Column = 5, penalty: int = -5) -> Column:
+    """Impact of a verdict on a pattern's score, half away from zero."""
+    return F.when(category == "EFFECTIVE", F.round(boost * confidence)).when(category == "HARMFUL", F.round(penalty * confidence)).when(category == "INEFFECTIVE", F.lit(-1.0)).otherwise(0.0).cast("long")
+
+
+def score_change(impact: Column, confidence: Column, boost: int = 5, penalty: int = -5) -> Column:
+    """What an impact does to a counter: it is scaled by the confidence once more, and kept within penalty and boost."""
+    return F.greatest(F.lit(penalty), F.least(F.lit(boost), F.round(impact * confidence))).cast("long")
+
+
+def verdict_name(text: Column) -> Column:
+    """A verdict's name in upper case, from either case; null if there is none such."""
+    return F.when(F.upper(text).isin(*VERDICTS), F.upper(text))
 
 
 def verdict_stats(verdicts: DataFrame) -> DataFrame:
-    """verdicts (pattern_id, verdict, confidence): counts by category and mean confidence of each pattern."""
-    kinds = {k.lower(): F.count_if(F.col("verdict") == k).alias(k.lower()) for k in ("EFFECTIVE", "INEFFECTIVE", "HARMFUL", "NEUTRAL")}
-    return verdicts.groupBy("pattern_id").agg(F.count("*").alias("total"), *kinds.values(), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("avg_confidence"))
+    """verdicts (pattern_id, verdict, confidence): counts by category, mean confidence, and shares of effective and harmful ones of each pattern."""
+    kinds = {k.lower(): F.count_if(F.col("verdict") == k).alias(k.lower()) for k in VERDICTS}
+    stats = verdicts.groupBy("pattern_id").agg(F.count("*").alias("total"), *kinds.values(), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("avg_confidence"))
+    return stats.withColumns({name: F.round(F.col(k) / F.col("total"), 6) for name, k in (("effectiveness", "effective"), ("harm", "harmful"))})
 
 
 def apply_verdicts(patterns: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Positive impacts go to success, negative ones to failure. Impacts are added up before they meet the patterns."""
-    impact = score_impact(F.col("verdict"), F.col("confidence"))
-    sums = verdicts.groupBy(F.col("pattern_id").alias("id")).agg(F.sum(F.greatest(impact, F.lit(0))).alias("up"), F.sum(F.greatest(-impact, F.lit(0))).alias("down"))
+    """Positive changes go to success, negative ones to failure. verdicts (pattern_id, verdict, confidence, and impact if it isn't to be told from these); changes are added up before they meet the patterns."""
+    impact = F.col("impact") if "impact" in verdicts.columns else score_impact(F.col("verdict"), F.col("confidence"))
+    change = score_change(impact, F.col("confidence"))
+    sums = verdicts.groupBy(F.col("pattern_id").alias("id")).agg(F.sum(F.greatest(change, F.lit(0))).alias("up"), F.sum(F.greatest(-change, F.lit(0))).alias("down"))
     both = patterns.join(sums, "id", "left")
     return both.select("id", (F.col("success") + F.coalesce("up", F.lit(0))).alias("success"), (F.col("failure") + F.coalesce("down", F.lit(0))).alias("failure"))

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sanitize as S
@@ -15,26 +10,16 @@ from ..operators import graph as G
 from ..operators import patterns as P
 from ..operators import retrieve as R
 from ..operators import sessions as N
+from ..operators import replicas
+from ..session import shared_path
 from ..sources import bundles
 from ..streaming import accumulate
 from . import views as V
+from .registry import query
 
-FLAGSHIP = "q17_retrieve_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 NOW = "2024-01-20 00:00:00"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def sql_any(text: str, parts) -> str:
     return "(" + " OR ".join(f"contains({text}, '{p.replace(chr(39), chr(39) * 2)}')" for p in parts) + ")"
 
@@ -141,24 +126,23 @@ def sql_stem(w: str) -> str:
     WHEN {w} LIKE '%ed' THEN left({w}, length({w}) - 2) WHEN {w} LIKE '%s' AND {w} NOT LIKE '%ss' THEN left({w}, length({w}) - 1) ELSE {w} END"""
 
 
-SQL_TOKENS = f"""raw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+')) AS w FROM documents WHERE lang = 'en'),
+SQL_TOKENS = f"""raw AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+')) AS w FROM documents),
     tokens AS (SELECT doc_id, {sql_stem('w')} AS term FROM raw WHERE strlen(w) >= 2 AND w NOT IN ({sql_list(T.STOP_WORDS)}))"""
 
 
 def _tokens(spark, d):
-    return V.table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return V.table(spark, d, "documents").select("doc_id", F.explode(T.counted(T.tokens(F.col("text")))).alias("x")).select("doc_id", "x.term", F.col("x.n").alias("tf"))
 
 
 @query(f"WITH {SQL_TOKENS} SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2")
 def q12_term_frequency(spark, d):
-    return _tokens(spark, d).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return _tokens(spark, d)
 
 
-@query(f"WITH {SQL_TOKENS} SELECT term, count(DISTINCT doc_id) AS df, round(greatest(ln((SELECT count(*) FROM documents WHERE lang = 'en')::DOUBLE / count(DISTINCT doc_id)), 0.1), 6) AS idf FROM tokens GROUP BY 1")
+@query(f"WITH {SQL_TOKENS} SELECT term, count(DISTINCT doc_id) AS df, round(greatest(ln((SELECT count(*) FROM documents)::DOUBLE / count(DISTINCT doc_id)), 0.1), 6) AS idf FROM tokens GROUP BY 1")
 def q13_idf(spark, d):
-    own = V.table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    n = V.table(spark, d, "documents").where("lang = 'en'").agg(F.count("*").alias("n"))
-    df = own.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    n = V.table(spark, d, "documents").agg(F.count("*").alias("n"))
+    df = _tokens(spark, d).groupBy("term").agg(F.count("*").alias("df"))  # a document has a term once
     return df.join(F.broadcast(n)).select("term", "df", F.round(F.greatest(F.log(F.col("n") / F.col("df")), F.lit(0.1)), 6).alias("idf"))  # n is one row
 
 
@@ -167,8 +151,9 @@ SQL_WEIGHT = "CASE " + " ".join(f"WHEN term IN ({sql_list(t)}) THEN {w}" for w,
 
 @query(f"WITH {SQL_TOKENS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2) SELECT doc_id, round(sqrt(sum(pow(tf * ({SQL_WEIGHT})::DOUBLE, 2))), 4) AS norm FROM tf GROUP BY 1")
 def q14_weighted_norm(spark, d):
-    tf = _tokens(spark, d).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return tf.groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.pow(F.col("tf") * T.term_weight(F.col("term")), F.lit(2)))), 4).alias("norm"))
+    weight = lambda x: F.pow(x["n"] * T.term_weight(x["term"]), F.lit(2))
+    terms = V.table(spark, d, "documents").select("doc_id", T.counted(T.tokens(F.col("text"))).alias("x")).where("size(x) > 0")
+    return terms.select("doc_id", F.round(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + weight(x))), 4).alias("norm"))
 
 
 def sql_quick(q: str, p: str) -> str:
@@ -180,21 +165,25 @@ def sql_quick(q: str, p: str) -> str:
     ELSE least(least({hits} / {total}, 1.0::DOUBLE) * CASE WHEN {a} <> 'unknown' AND {a} = {b} THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END, 2.0::DOUBLE) END"""
 
 
-ASKS = "asks AS (SELECT id AS query_id, tool_type, left(context, 60) AS query FROM patterns_ctx WHERE k % 5 = 0)"
+ASKS = "asks AS (SELECT id AS query_id, tool_type, context AS query FROM patterns_ctx)"
 
 
 def _asks(p):
-    return p.where("k % 5 = 0").select(F.col("id").alias("query_id"), "tool_type", F.left("context", F.lit(60)).alias("query"))
+    return p.select(F.col("id").alias("query_id"), "tool_type", F.col("context").alias("query"))
 
 
-@query(f"WITH {V.PATTERNS_CTX}, {ASKS} SELECT query_id, id, round({sql_quick('query', 'context')}, 6) AS sim FROM asks JOIN patterns_ctx USING (tool_type) WHERE k % 10 = 3")
+def sql_top(n: int) -> str:
+    return f"c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool_type ORDER BY {SCORE} DESC, success DESC, id) AS rank FROM patterns_ctx) WHERE rank <= {n})"
+
+
+@query(f"WITH {V.PATTERNS_CTX}, {ASKS}, {sql_top(8)} SELECT query_id, id, round({sql_quick('query', 'context')}, 6) AS sim FROM asks JOIN c USING (tool_type)")
 def q15_quick_similarity(spark, d):
+    """Every pattern's text, as a query, against the 8 best patterns of its type."""
     p = V.patterns_ctx(spark, d)
-    return _asks(p).join(p.where("k % 10 = 3"), "tool_type").select("query_id", "id", F.round(T.quick_score(F.col("query"), F.col("context")), 6).alias("sim"))
+    return R.scored(_asks(p), p, 8).select("query_id", "id", F.round("sim", 6).alias("sim"))
 
 
-def sql_top(n: int) -> str:
-    return f"c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool_type ORDER BY {SCORE} DESC, success DESC, id) AS rank FROM patterns_ctx) WHERE rank <= {n})"
+SPACES = "'[\\x20\\x09-\\x0D]+'"
 
 
 def sql_terms(key: str, text: str, table: str) -> str:
@@ -203,23 +192,17 @@ def sql_terms(key: str, text: str, table: str) -> str:
     return f"(SELECT {key}, term, count(*) AS n, ({SQL_WEIGHT})::DOUBLE AS weight FROM ({terms}) GROUP BY 1, 2)"
 
 
-SPACES = "'[\\x20\\x09-\\x0D]+'"
-FIRST_WORDS = f"list_filter(string_split_regex(lower(query), {SPACES}), lambda w: w <> '')[1:5]"
-
-
-@query(f"""WITH {V.PATTERNS_CTX}, {ASKS}, {sql_top(8)}, qt AS {sql_terms('query_id', 'query', 'asks')}, pt AS {sql_terms('id', 'context', 'c')},
-    norms AS (SELECT query_id, sqrt(sum(pow(n * weight, 2))) AS norm FROM qt GROUP BY 1),
-    hits AS (SELECT query_id, id, sum(qt.n * qt.weight * pt.n * pt.weight) AS dot FROM asks JOIN c USING (tool_type) JOIN qt USING (query_id) JOIN pt USING (id, term) GROUP BY 1, 2),
-    m AS (SELECT query_id, c.id, coalesce(dot / norm, 0) AS s, {sql_stack('lower(query)')} AS a, {sql_stack('lower(context)')} AS b,
-        len(list_filter({FIRST_WORDS}, lambda w: strlen(w) >= 4 AND contains(lower(context), w))) > 0 AS common
-        FROM asks JOIN c USING (tool_type) LEFT JOIN norms USING (query_id) LEFT JOIN hits USING (query_id, id))
-    SELECT query_id, id, round(CASE WHEN a = 'unknown' OR b = 'unknown' THEN s WHEN a = b THEN s * 1.5::DOUBLE WHEN common THEN s * 0.3::DOUBLE ELSE 0.015::DOUBLE END, 6) AS sim FROM m""")
+@query(f"""WITH qt AS {sql_terms('item_id', 'text', 'benchmark')}, dt AS {sql_terms('doc_id', 'text', 'documents')},
+    norms AS (SELECT item_id, sqrt(sum(pow(n * weight, 2))) AS norm FROM qt GROUP BY 1),
+    dots AS (SELECT item_id, doc_id, sum(qt.n * qt.weight * dt.n * dt.weight) AS dot FROM qt JOIN dt USING (term) GROUP BY 1, 2)
+    SELECT item_id AS query_id, doc_id AS id, round(dot / norm, 4) AS sim FROM dots JOIN norms USING (item_id)""")
 def q16_term_similarity(spark, d):
-    p = V.patterns_ctx(spark, d)
-    return R.term_scores(_asks(p), p)
+    """Every benchmark item against all documents that share a term with it. No text here tells a tech stack, so the SQL leaves that factor out; q27 has it."""
+    items = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return R.term_scores(items, V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query(f"""WITH {V.PATTERNS_CTX}, {ASKS}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool_type ORDER BY {SCORE} DESC, success DESC, id) AS rank FROM patterns_ctx) WHERE rank <= 8),
+@query(f"""WITH {V.PATTERNS_CTX}, {ASKS}, {sql_top(8)},
     s AS (SELECT query_id, id, rank, {sql_quick('query', 'context')} AS sim, success, failure FROM asks JOIN c USING (tool_type)),
     r AS (SELECT *, 0.6::DOUBLE * sim + 0.4::DOUBLE * greatest({SCORE}, 0) / 10.0::DOUBLE AS score FROM s WHERE sim >= 0.35::DOUBLE)
     SELECT query_id, place, id, round(sim, 6) AS sim, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, id) AS place FROM r) WHERE place <= 3""")
@@ -228,14 +211,15 @@ def q17_retrieve_topk(spark, d):
     return R.retrieve(_asks(p), p).withColumn("place", F.col("place").cast("long"))
 
 
-SIMS = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 10),
+SIMS = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
     sims AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS sim FROM q, embeddings),
     near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS place FROM sims)"""
 
 
 def _near(spark, d, k):
+    """The vectors whose id 50 divides, as queries, against all."""
     e = V.table(spark, d, "embeddings")
-    return R.nearest_vectors(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k)
+    return R.nearest_vectors(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k)
 
 
 @query(f"WITH {SIMS} SELECT query_id, place, id, round(sim, 4) AS sim FROM near WHERE place <= 10")
@@ -243,9 +227,11 @@ def q18_embeddings_topk(spark, d):
     return _near(spark, d, 10).select("query_id", F.col("place").cast("long"), "id", F.round("sim", 4).alias("sim"))
 
 
-@query(f"WITH {SIMS} SELECT query_id, id, label FROM near JOIN embeddings ON id = vec_id WHERE place <= 20")
+@query(f"""WITH {SIMS}, f AS (SELECT query_id, id, place, quality, row_number() OVER (PARTITION BY query_id ORDER BY place) AS nth FROM near JOIN labels ON id = doc_id WHERE place <= 20)
+    SELECT query_id, id, quality FROM f WHERE nth <= 10""")
 def q19_vector_join_context(spark, d):
-    return _near(spark, d, 20).join(V.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id").select("query_id", "id", "label")
+    """The first 10 of each query's 20 nearest that have a label; many have none."""
+    return R.with_context(_near(spark, d, 20), V.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), 10).select("query_id", "id", "quality")
 
 
 @query()
@@ -264,17 +250,17 @@ def _edges(spark, d):
     return G.lift(G.pairs(V.baskets_ev(spark, d)))
 
 
-@query(f"WITH {V.EDGES} SELECT a, b, lift, co_occurrences FROM edges")
+@query(f"WITH {V.EDGES} SELECT a, b, round(lift + 1e-8::DOUBLE, 6) AS lift, co_occurrences FROM edges")
 def q22_ema_lift(spark, d):
-    return _edges(spark, d)
+    return _edges(spark, d).withColumn("lift", F.round(F.col("lift") + 1e-8, 6))
 
 
 CONFLICTS = V.EDGES + ", conflicts AS (SELECT a AS id, b AS other, lift FROM edges WHERE lift < 0.5 AND co_occurrences >= 3 UNION SELECT b, a, lift FROM edges WHERE lift < 0.5 AND co_occurrences >= 3)"
 
 
-@query(f"WITH {CONFLICTS} SELECT id, other, lift FROM conflicts")
+@query(f"WITH {CONFLICTS} SELECT id, other, round(lift + 1e-8::DOUBLE, 6) AS lift FROM conflicts")
 def q23_conflict_neighbours(spark, d):
-    return G.conflicts(_edges(spark, d)).select("id", "other", "lift")
+    return G.conflicts(_edges(spark, d)).select("id", "other", F.round(F.col("lift") + 1e-8, 6).alias("lift"))
 
 
 @query(f"WITH {V.EDGES} SELECT count(*) AS edges, count(*) FILTER (lift > 1.5 AND co_occurrences >= 3) AS synergies, count(*) FILTER (lift < 0.5 AND co_occurrences >= 3) AS conflicts, round(avg(co_occurrences), 6) AS avg_co_occurrences FROM edges")
@@ -346,14 +332,16 @@ def _verdicts(spark, d):
     return V.table(spark, d, "labels").select((F.col("doc_id") % 40).alias("pattern_id"), kind.alias("verdict"), ((F.col("doc_id") % 7 + 3) / F.lit(10.0)).alias("confidence"))
 
 
-@query(f"""WITH {V.PATTERNS_EV}, {VERDICTS}, i AS (SELECT pattern_id, CASE verdict WHEN 'EFFECTIVE' THEN round(5 * confidence) WHEN 'HARMFUL' THEN round(-5 * confidence) ELSE 0 END AS x FROM verdicts),
-    s AS (SELECT pattern_id AS id, sum(greatest(x, 0)) AS up, sum(greatest(-x, 0)) AS down FROM i GROUP BY 1)
+@query(f"""WITH {V.PATTERNS_EV}, {VERDICTS}, i AS (SELECT pattern_id, confidence, CASE verdict WHEN 'EFFECTIVE' THEN round(5 * confidence) WHEN 'HARMFUL' THEN round(-5 * confidence) WHEN 'INEFFECTIVE' THEN -1 ELSE 0 END AS impact FROM verdicts),
+    c AS (SELECT pattern_id, greatest(-5, least(5, round(impact * confidence))) AS x FROM i),
+    s AS (SELECT pattern_id AS id, sum(greatest(x, 0)) AS up, sum(greatest(-x, 0)) AS down FROM c GROUP BY 1)
     SELECT id, (success + coalesce(up, 0))::BIGINT AS success, (failure + coalesce(down, 0))::BIGINT AS failure FROM patterns_ev LEFT JOIN s USING (id)""")
 def q33_verdict_deltas(spark, d):
     return N.apply_verdicts(V.patterns_ev(spark, d), _verdicts(spark, d))
 
 
-@query(f"""WITH {VERDICTS} SELECT pattern_id, count(*) AS total, {', '.join(f"count(*) FILTER (verdict = '{k}') AS {k.lower()}" for k in ('EFFECTIVE', 'INEFFECTIVE', 'HARMFUL', 'NEUTRAL'))}, round(coalesce(avg(confidence), 0), 6) AS avg_confidence FROM verdicts GROUP BY 1""")
+@query(f"""WITH {VERDICTS} SELECT pattern_id, count(*) AS total, {', '.join(f"count(*) FILTER (verdict = '{k}') AS {k.lower()}" for k in ('EFFECTIVE', 'INEFFECTIVE', 'HARMFUL', 'NEUTRAL'))}, round(coalesce(avg(confidence), 0), 6) AS avg_confidence,
+    round(count(*) FILTER (verdict = 'EFFECTIVE')::DOUBLE / count(*), 6) AS effectiveness, round(count(*) FILTER (verdict = 'HARMFUL')::DOUBLE / count(*), 6) AS harm FROM verdicts GROUP BY 1""")
 def q34_verdict_stats(spark, d):
     return N.verdict_stats(_verdicts(spark, d))
 
@@ -377,36 +365,70 @@ def q37_sensitive(spark, d):
 
 @query(f"WITH {V.PATTERNS_CTX} SELECT id, tool_type, category, success, failure, {S.as_sql('context', S.SECRETS + S.PATHS + S.PERSONAL)} AS context FROM patterns_ctx")
 def q38_bundle_round_trip(spark, d):
-    """Patterns as another workspace reads them from an exported bundle."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="patternlake-")
-    path = f"{base}/bundle_{uuid.uuid4().hex}"
-    schema = bundles.export_bundle(V.patterns_ctx(spark, d).select("id", "tool_type", "category", "success", "failure", "context"), path)
-    return bundles.import_bundle(spark, path, schema)
+    """Patterns as another workspace reads them from an exported, encrypted bundle."""
+    path = shared_path(spark, "bundle")
+    schema = bundles.export_bundle(V.patterns_ctx(spark, d).select("id", "tool_type", "category", "success", "failure", "context"), path, passphrase="open it", now=NOW)
+    return bundles.import_bundle(spark, path, schema, "open it")
+
+
+SQL_RATE = "CASE WHEN {0}.success + {0}.failure > 0 THEN {0}.success::DOUBLE / ({0}.success + {0}.failure) ELSE 0.5 END"
 
 
-@query(HALVES + """, a AS (SELECT * FROM t WHERE half = 0), b AS (SELECT * FROM t WHERE half = 1),
-    n AS (SELECT b.* FROM b LEFT JOIN a USING (key) WHERE a.key IS NULL OR CASE WHEN b.success + b.failure > 0 THEN b.success::DOUBLE / (b.success + b.failure) ELSE 0.5 END > CASE WHEN a.success + a.failure > 0 THEN a.success::DOUBLE / (a.success + a.failure) ELSE 0.5 END)
-    SELECT key, arg_min(label, half) AS label, sum(success)::BIGINT AS success, sum(failure)::BIGINT AS failure FROM (SELECT * FROM a UNION ALL SELECT * FROM n) GROUP BY key""")
-def q39_merge_keep_best(spark, d):
-    return P.merge_best(_half(spark, d, 0), _half(spark, d, 1), "keep_best")
+@query(HALVES + f""", a AS (SELECT * FROM t WHERE half = 0), b AS (SELECT * FROM t WHERE half = 1), there AS (SELECT * FROM a WHERE label <> 'error'),
+    n AS (SELECT b.* FROM b LEFT JOIN there USING (key) WHERE there.key IS NULL OR {SQL_RATE.format('b')} > {SQL_RATE.format('there')}),
+    u AS (SELECT 'keep_best' AS strategy, * FROM a UNION ALL SELECT 'keep_best', * FROM n UNION ALL SELECT 'add', * FROM t UNION ALL SELECT 'replace', * FROM t)
+    SELECT strategy, key, arg_min(label, half) AS label, sum(success)::BIGINT AS success, sum(failure)::BIGINT AS failure FROM u GROUP BY 1, 2""")
+def q39_merge_strategies(spark, d):
+    """All of them add counters; rows labelled error stand for failures, which keep_best doesn't see."""
+    a, b = _half(spark, d, 0), _half(spark, d, 1)
+    outs = [P.merge_best(a, b, s, failures="error").select(F.lit(s).alias("strategy"), "key", "label", "success", "failure") for s in ("keep_best", "add", "replace")]
+    return outs[0].union(outs[1]).union(outs[2])
 
 
-ENTRIES = "entries AS (SELECT user_id AS key, event_id % 3 AS node, epoch_us(max(ts)) AS ts, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failure FROM events GROUP BY 1, 2)"
+ENTRIES = """entries AS (SELECT user_id AS key, 'n' || event_id % 3 AS node, min(event_type) AS tool_type, CASE WHEN event_id % 3 > 0 THEN 'c' || user_id % 5 END AS category, max(event_type) || event_id % 3 AS context,
+    epoch_us(max(ts)) // 864000000000 AS ts, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failure, count(*) AS v, user_id % 7 = 0 AND (event_id % 3 = 1 OR user_id % 2 = 0) AS deleted
+    FROM events GROUP BY user_id, event_id % 3),
+    versions AS (SELECT key, string_agg(node || '=' || v, ',' ORDER BY node) AS version FROM entries GROUP BY 1)"""
+WON = "key, e.tool_type, e.category, e.context, e.success, e.failure, e.ts, e.node, version, e.deleted"
 
 
 def _entries(spark, d):
-    e = V.table(spark, d, "events").groupBy(F.col("user_id").alias("key"), (F.col("event_id") % 3).alias("node"))
-    return e.agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("ts"), F.count_if(F.col("event_type") != "error").alias("success"), F.count_if(F.col("event_type") == "error").alias("failure"))
+    """A replica's entries of each key: times in tens of days, so that many tie."""
+    e = V.table(spark, d, "events").groupBy(F.col("user_id").alias("key"), (F.col("event_id") % 3).alias("replica"))
+    e = e.agg(F.min("event_type").alias("tool_type"), F.max("event_type").alias("last"), F.floor(F.unix_micros(F.max("ts").cast("timestamp")) / 864000000000).alias("ts"), F.count_if(F.col("event_type") != "error").alias("success"), F.count_if(F.col("event_type") == "error").alias("failure"), F.count("*").alias("v"))
+    node = F.concat(F.lit("n"), "replica")
+    return e.select(
+        "key", "tool_type", F.when(F.col("replica") > 0, F.concat(F.lit("c"), F.col("key") % 5)).alias("category"), F.concat("last", "replica").alias("context"), "success", "failure", "ts", node.alias("node"),
+        F.create_map(node, "v").alias("version"), ((F.col("key") % 7 == 0) & ((F.col("replica") == 1) | (F.col("key") % 2 == 0))).alias("deleted"), "replica",
+    )
 
 
-@query(f"WITH {ENTRIES} SELECT key, success, failure, ts FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, node DESC) AS rn FROM entries) WHERE rn = 1")
+def _told(entries):
+    version = F.array_join(F.transform(F.array_sort(F.map_entries("version")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return entries.withColumn("version", version)
+
+
+@query(f"WITH {ENTRIES} SELECT {WON} FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, node DESC) AS rn FROM entries) e JOIN versions USING (key) WHERE rn = 1")
 def q40_merge_last_write(spark, d):
-    return P.merge_replicas(_entries(spark, d))
+    return _told(replicas.merge(_entries(spark, d)))
 
 
-@query(f"WITH {ENTRIES} SELECT key, max(success) AS success, max(failure) AS failure, max(ts) AS ts FROM entries GROUP BY key")
+@query(f"""WITH {ENTRIES}, e AS (SELECT key, arg_min(tool_type, node) AS tool_type, arg_min(category, node) AS category, arg_max(context, ts * 10 - right(node, 1)::INT) AS context, max(success) AS success, max(failure) AS failure, max(ts) AS ts,
+    arg_max(node, ts * 10 - right(node, 1)::INT) AS node, bool_and(deleted) AS deleted FROM entries GROUP BY key) SELECT {WON} FROM e JOIN versions USING (key)""")
 def q40b_merge_add_only(spark, d):
-    return P.merge_replicas(_entries(spark, d), "add_only")
+    return _told(replicas.merge(_entries(spark, d), "add_only"))
+
+
+@query(f"""WITH {ENTRIES}, a AS (SELECT * FROM entries WHERE node = 'n0'), gone AS (SELECT DISTINCT key FROM a WHERE key % 4 = 1)
+    SELECT key, a.context, a.deleted OR gone.key IS NOT NULL AS deleted, CASE WHEN gone.key IS NULL THEN a.ts ELSE 99999 END AS ts, 'n0=' || CASE WHEN gone.key IS NULL THEN a.v ELSE a.v + 1 END AS version FROM a LEFT JOIN gone USING (key)""")
+def q40c_delete_entries(spark, d):
+    own = _entries(spark, d).where("replica = 0").drop("replica")
+    return _told(replicas.delete(own, own.where("key % 4 = 1").select("key"), "n0", 99999)).select("key", "context", "deleted", "ts", "version")
+
+
+@query(f"WITH {ENTRIES} SELECT node, max(v) AS version FROM entries GROUP BY 1")
+def q40d_state_vector(spark, d):
+    return replicas.state_vector(_entries(spark, d))
 
 
 @query("""WITH mine AS (SELECT DISTINCT o_custkey % 25 AS team FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 0)
@@ -428,11 +450,13 @@ def q42_version_compare(spark, d):
     return v.select("p_partkey", "v", (F.struct(n(1), n(2), n(3)) > F.struct(F.lit(1), F.lit(4), F.lit(2))).alias("newer"))
 
 
-@query(f"""WITH {V.PATTERNS_CTX}, {ASKS}, {sql_top(10)}, m AS (SELECT query_id, c.id, rank, len(list_intersect(list_filter(string_split_regex(query, {SPACES}), lambda w: strlen(w) >= 3), list_filter(string_split_regex(context, {SPACES}), lambda w: strlen(w) >= 3)))::BIGINT AS shared FROM asks JOIN c USING (tool_type))
-    SELECT query_id, id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM m WHERE shared >= 2) WHERE rn = 1""")
+@query(f"""WITH own AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, {SPACES})) AS w FROM documents), theirs AS (SELECT DISTINCT item_id, unnest(string_split_regex(text, {SPACES})) AS w FROM benchmark),
+    m AS (SELECT doc_id, item_id, count(*) AS shared FROM own JOIN theirs USING (w) WHERE strlen(w) >= 3 GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT doc_id AS query_id, arg_min(item_id, item_id) AS id, arg_min(shared, item_id) AS shared FROM m GROUP BY 1""")
 def q43_word_overlap_match(spark, d):
-    p = V.patterns_ctx(spark, d)
-    return R.first_overlap(_asks(p), p)
+    """Of the benchmark's items the first that shares two words with a document."""
+    items = V.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("context"), F.col("item_id").alias("rank"))
+    return R.first_overlap(V.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), items)
 
 
 @query("SELECT page_id, string_split(url, '/')[-1] AS file_name, string_split(url, '.')[-1] AS extension FROM pages")
@@ -455,8 +479,8 @@ def q46_json_fallback(spark, d):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def q47_stream_counts(spark, d):
     """The state of a streamed count once all of the input is taken in."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="patternlake-")
-    name = f"counts_{uuid.uuid4().hex}"
-    schema = V.table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
-    return accumulate.run_available(spark, accumulate.count_by(stream, "event_type"), name, f"{base}/{name}")
+    stream = spark.readStream.schema(V.table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    return accumulate.run_available(stream, shared_path(spark, "counts"), "event_type string, n long", accumulate.count_by("event_type"))
+
+
+from . import learning  # noqa: E402, F401: registers its queries

@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE = "type string, sessionId string, message struct<role string, content string>"
 ITEM = "array<struct<type string, text string, name string, input string, tool_use_id string, content string, is_error boolean>>"
 
 
-def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of *.jsonl in a folder and one level below: file, line (its place in the file), value."""
-    paths = [f"{folder}/*.jsonl", f"{folder}/*/*.jsonl"]
+def read_lines(spark: SparkSession, folder: str, below_only: bool = False) -> DataFrame:
+    """Lines of *.jsonl in a folder and one level below, or only there: file, line (its place in the file: block's begin, and number within the task), value."""
+    paths = [f"{folder}/*/*.jsonl"] if below_only else [f"{folder}/*.jsonl", f"{folder}/*/*.jsonl"]
     lines = spark.read.option("ignoreMissingFiles", True).text(paths)
-    return lines.select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * (1 << 31) + F.monotonically_increasing_id() % (1 << 33)).alias("line"), "value")
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("line"), "value")
+
+
+def is_assistant(value: Column) -> Column:
+    """Whether a raw line is an assistant's, without parsing it."""
+    has = lambda s: F.contains(value, F.lit(s))
+    return has('"type":"assistant"') | (has('"role":"assistant"') & has("tool_use"))
+
+
+def assistant_lines(lines: DataFrame) -> DataFrame:
+    """file, n: how many raw lines of each file are an assistant's."""
+    return lines.groupBy("file").agg(F.count_if(is_assistant(F.col("value"))).alias("n"))
+
+
+def flat_events(lines: DataFrame) -> DataFrame:
+    """An event stream's lines, flat: file, line, type, subtype, session_id, tool, model, input_tokens, output_tokens, cost, duration_ms, is_error, text. Lines that aren't JSON or lack a type are passed over."""
+    item = "type string, text string, name string, content string, is_error boolean"
+    usage = "struct<input_tokens: long, output_tokens: long, cache_read_input_tokens: long>"
+    schema = f"type string, subtype string, session_id string, total_cost_usd double, duration_ms long, is_error boolean, result string, usage {usage}, message struct<model: string, usage: {usage}, content: array<struct<{item}>>>"
+    parsed = lines.withColumn("j", F.from_json("value", schema)).where("j.type is not null").withColumn("x", F.explode_outer("j.message.content"))
+    either = lambda a, b: F.coalesce(F.col(a), F.col(b))
+    return parsed.select(
+        "file", "line", F.col("j.type").alias("type"), either("x.type", "j.subtype").alias("subtype"), F.col("j.session_id").alias("session_id"), F.col("x.name").alias("tool"), F.col("j.message.model").alias("model"),
+        either("j.message.usage.input_tokens", "j.usage.input_tokens").alias("input_tokens"), either("j.message.usage.output_tokens", "j.usage.output_tokens").alias("output_tokens"),
+        F.col("j.total_cost_usd").alias("cost"), F.col("j.duration_ms").alias("duration_ms"), either("x.is_error", "j.is_error").alias("is_error"), F.coalesce("x.text", "x.content", "j.result").alias("text"),
+    )
 
 
 def messages(lines: DataFrame) -> DataFrame:

@@ -1,16 +1,86 @@
-"""Counting and folding of streams."""
+"""Counting and folding of streams. State lies in tables, one a batch, so that a batch that is run again gives the same."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: New rows that make a cycle run, failures of a cycle after which its rows are let go, and rows or hours after which reflection is due.
+ENOUGH, RETRIES, DUE_ROWS, DUE_HOURS = 15, 3, 50, 4
+
+
+class Snapshots:
+    """Tables base/n of a state; the one of the batch before is read, the batch's own is written."""
+
+    def __init__(self, spark: SparkSession, base: str, schema: str):
+        self.spark, self.base, self.schema = spark, base, schema
+
+    def before(self, batch: int) -> DataFrame:
+        if batch == 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/{batch - 1}")
+
+    def write(self, batch: int, state: DataFrame) -> DataFrame:
+        state.write.mode("overwrite").parquet(f"{self.base}/{batch}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/{batch}")
+
+
+def run_available(stream: DataFrame, base: str, schema: str, step: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """Take in what is there, batch by batch: step(state, rows, batch) gives the next state. Returns the last state, empty if there was no batch. Run again, it goes on where it stopped."""
+    spark, last = stream.sparkSession, []
+    state = Snapshots(spark, f"{base}/state", schema)
+
+    def take(rows: DataFrame, batch: int) -> None:
+        last.append(state.write(batch, step(state.before(batch), rows, batch)))
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return last[-1] if last else state.before(0)
+
+
+def count_by(*keys: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """A step that adds a batch's counts by keys to a state (keys, n). A batch is counted before it meets the state."""
+
+    def step(state: DataFrame, rows: DataFrame, batch: int) -> DataFrame:
+        new = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+        return state.unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+    return step
+
+
+def fold_lift(state: DataFrame, rows: DataFrame, batch: int) -> DataFrame:
+    """A step that goes on with each edge's lift: state (a, b, lift, co_occurrences), rows (a, b, seq, ok)."""
+    from ..operators import graph as G
+
+    new = G.folded(rows)
+    both = state.withColumnsRenamed({"lift": "old", "co_occurrences": "had"}).join(new, ["a", "b"], "full")
+    first = F.coalesce(F.col("old") * F.col("factor") + F.col("offset"), F.col("old"), F.col("lift"))
+    return both.select("a", "b", first.alias("lift"), (F.coalesce("had", F.lit(0)) + F.coalesce("co_occurrences", F.lit(0))).alias("co_occurrences"))
+
+
+CYCLE = "pending long, cycles long, failures long, dropped long"
+
+
+def threshold_cycles(act: Callable[[DataFrame, int], None], enough: int = ENOUGH, retries: int = RETRIES) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """A step with state CYCLE, one row: once enough rows wait, act(rows, batch) runs and none wait. If it fails, they wait on; after retries failures they are let go and counted as dropped."""
+
+    def step(state: DataFrame, rows: DataFrame, batch: int) -> DataFrame:
+        had = state.first() or {"pending": 0, "cycles": 0, "failures": 0, "dropped": 0}
+        pending, cycles, failures, dropped = had["pending"] + rows.count(), had["cycles"], had["failures"], had["dropped"]
+        if pending >= enough:
+            try:
+                act(rows, batch)
+                pending, cycles, failures = 0, cycles + 1, 0
+            except Exception:  # noqa: BLE001: whatever fails is tried again
+                failures += 1
+                if failures >= retries:
+                    pending, failures, dropped = 0, 0, dropped + pending
+        return rows.sparkSession.createDataFrame([(pending, cycles, failures, dropped)], CYCLE)
 
-def count_by(stream: DataFrame, *keys: str) -> DataFrame:
-    return stream.groupBy(*keys).agg(F.count("*").alias("n"))
+    return step
 
 
-def run_available(spark: SparkSession, counted: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Take in what is there and give the state at the end, as a table in memory under name (it holds a row a key)."""
-    counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def reflection_due(rows: Column, last: Column, now: Column) -> Column:
+    """Whether enough rows, or enough time since the last cycle (null: never), ask for another."""
+    return (rows >= DUE_ROWS) | (last.isNull() & (rows > 0)) | (F.timestamp_diff("HOUR", last, now) >= DUE_HOURS)

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from patternlake.plans import catalog
+from patternlake.plans import catalog, registry
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -19,11 +19,11 @@ def sql():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, sql, name):
-    got = catalog.QUERIES[name](spark, str(DATA)).toPandas()
-    if name in catalog.SQL:
-        want = sql.execute(catalog.SQL[name]).df()
+    got = registry.QUERIES[name](spark, str(DATA)).toPandas()
+    if name in registry.SQL:
+        want = sql.execute(registry.SQL[name]).df()
         columns = sorted(want.columns)
         assert columns == sorted(got.columns)
         rows = lambda x: sorted(map(str, x[columns].astype(object).where(x[columns].notna(), None).itertuples(index=False, name=None)))
