@@ -24,7 +24,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("hash"), "row")
     first = found.join(rows.select("row", order.alias("order")), "row").groupBy("component_id").agg(F.min("order").alias("m"))
-    return rows.join(cut(first.select(F.col("m.row").alias("row"))), "row", "left_semi").select(*COLUMNS)
+    kept = cut(first.select(F.col("m.row").alias("row")))
+    # Texts meet the kept rows by a shuffle at every size: as many rows are kept as there are documents.
+    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
