@@ -35,6 +35,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Known(dict):
     """Ids of chunks, made when first asked for."""
 
@@ -86,6 +94,8 @@ class ChunkEncoder:
         if not text.replace("\n", "").isprintable():
             return self._whole(text)
         if not self.spaces:
+            if text.isascii() or latin(text):
+                text = text.lower()  # once for all words; of other letters, lower case may differ from the library's
             return b"".join(map(self.first.__getitem__, text.split()))
         if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
             return b"".join(self.inner[c[1:]] if c[0] == " " and len(c) > 1 and not c.isspace() else self.first[c] for c in SPACED.findall(text))
