@@ -582,3 +582,21 @@ def test_dedup_keeps_rows_with_repeated_and_null_ids(spark):
     kept = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA), "").collect()
     assert sorted((texts.index(r["text"]), r["doc_id"]) for r in kept if r["doc_id"] is not None) == [(0, 1), (1, 1), (4, 1), (5, 3)]
     assert sorted(texts.index(r["text"]) for r in kept if r["doc_id"] is None) == [2, 3]
+
+
+def test_quality_equals_its_sql(spark):
+    """Over the smallest tables."""
+    from pathlib import Path
+
+    import duckdb
+
+    from patternlake.llm import queries
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no test data")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    out = queries.op3_quality_rules(spark, str(data))
+    want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({queries.ORACLE_SQL['op3_quality_rules']})").fetchall()
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
