@@ -111,10 +111,10 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
     floors = graph.groupBy("node").agg(F.when(F.count("*") < k, F.lit(-2.0)).otherwise(F.min("sim")).alias("floor"))
     guests = nodes.select("node", "root", "vector").join(floors, "node")
     hosted = graph.select(F.col("node").alias("host"), F.col("other").alias("node")).union(graph.select(F.col("other").alias("host"), "node")).distinct()
-    crowds = cut(graph.groupBy(F.col("other").alias("host")).agg(F.ceil(F.count("*") / HOSTED).cast("int").alias("parts")).where("parts > 1"))
+    crowds = cut(graph.groupBy(F.col("other").alias("host")).agg(F.ceil(F.count("*") / HOSTED).cast("int").alias("parts")))
     hosted = spread_join(cut(hosted), crowds, "host", "left")
     hosted = hosted.select("host", "node", F.coalesce(F.pmod(F.xxhash64("node", "host", F.lit(seed)), "parts"), F.lit(0)).alias("part"))
-    met = hosted.join(guests, "node") if crowds.isEmpty() else spread_join(cut(hosted), cut(guests), "node", max_bytes=0)
+    met = hosted.join(guests, "node") if crowds.where("parts > 1").isEmpty() else spread_join(cut(hosted), cut(guests), "node", max_bytes=0)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(n, "host", "part").sortWithinPartitions("host", "part").select("host", "part", "node", "root", "floor", "vector")
 
