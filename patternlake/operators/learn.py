@@ -126,10 +126,20 @@ def flat_results(trajectories: DataFrame) -> DataFrame:
     return trajectories.select("session_id", "user_query", F.posexplode("tool_results").alias("seq", "x")).select("session_id", "seq", "user_query", "x.content", "x.is_error")
 
 
+def learn_calls(calls: DataFrame, results: DataFrame, table: DataFrame, now: str, dedup: str = "first") -> DataFrame:
+    """The pattern table after learning from calls and results, all of them."""
+    found = call_patterns(calls).unionByName(failure_patterns(results))
+    return upsert_patterns(table, distinct_patterns(found, dedup), now)
+
+
 def learn(trajectories: DataFrame, table: DataFrame, now: str, dedup: str = "first") -> DataFrame:
     """The pattern table after learning from trajectories, all of them."""
-    found = call_patterns(flat_calls(trajectories)).unionByName(failure_patterns(flat_results(trajectories)))
-    return upsert_patterns(table, distinct_patterns(found, dedup), now)
+    return learn_calls(flat_calls(trajectories), flat_results(trajectories), table, now, dedup)
+
+
+def relearn(calls: DataFrame, results: DataFrame, table: DataFrame, now: str) -> DataFrame:
+    """What calls and results teach from the start: no row of table stays. Edges are not touched."""
+    return learn_calls(calls, results, table.limit(0), now)
 
 
 def used_patterns(calls: DataFrame, patterns: DataFrame, per_type: int = 10, min_shared: int = 2) -> DataFrame:

@@ -388,3 +388,22 @@ def q68_threshold_cycle(spark, d):
     """Enough new rows make a cycle run."""
     stream = spark.readStream.schema(V.table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
     return accumulate.run_available(stream, shared_path(spark, "cycles"), accumulate.CYCLE, accumulate.threshold_cycles(lambda rows, batch: None))
+
+
+@query(f"WITH {SQL_FOUND} SELECT DISTINCT hash, tool_type, category, success::BIGINT AS success, failure::BIGINT AS failure, false AS used FROM found")
+def q69_relearn(spark, d):
+    """The pattern table made anew from all sessions; what it knew is forgotten."""
+    out = L.relearn(calls(spark, d), results(spark, d), half_table(spark, d), K.NOW)
+    return out.select("hash", "tool_type", "category", "success", "failure", F.col("last_used").isNotNull().alias("used"))
+
+
+@query()
+def q70_session_end(spark, d):
+    """Sessions of events end in two parts, and the pattern table learns from them as enough wait."""
+    base = shared_path(spark, "ended")
+    rows = trajectories(spark, d)
+    half = F.pmod(F.xxhash64("session_id"), F.lit(2))
+    for part in (0, 1):
+        rows.where(half == part).write.mode("append").parquet(f"{base}/rows")
+        table, _ = accumulate.session_end(spark.readStream.schema(rows.schema).parquet(f"{base}/rows"), f"{base}/run", K.NOW)
+    return table.select("hash", "tool_type", "category", "success", "failure")

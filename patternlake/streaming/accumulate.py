@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: New rows that make a cycle run, failures of a cycle after which its rows are let go, and rows or hours after which reflection is due.
 ENOUGH, RETRIES, DUE_ROWS, DUE_HOURS = 15, 3, 50, 4
@@ -14,7 +15,7 @@ ENOUGH, RETRIES, DUE_ROWS, DUE_HOURS = 15, 3, 50, 4
 class Snapshots:
     """Tables base/n of a state; the one of the batch before is read, the batch's own is written."""
 
-    def __init__(self, spark: SparkSession, base: str, schema: str):
+    def __init__(self, spark: SparkSession, base: str, schema: str | StructType):
         self.spark, self.base, self.schema = spark, base, schema
 
     def before(self, batch: int) -> DataFrame:
@@ -81,6 +82,37 @@ def threshold_cycles(act: Callable[[DataFrame, int], None], enough: int = ENOUGH
     return step
 
 
+PATTERNS = "hash string, tool_type string, category string, context string, success long, failure long, last_used timestamp"
+
+
+def session_end(trajectories: DataFrame, base: str, now: str, enough: int = ENOUGH) -> tuple[DataFrame, DataFrame]:
+    """Take in a stream of trajectories that have ended; once enough of them wait, the pattern table learns from all that wait and is consolidated, and none wait.
+
+    Returns the pattern table and the trajectories that wait. Both lie in tables below base, one a batch, so that a batch
+    that is run again gives the same. A cycle that fails ends the stream; the next call runs its batch again, and no
+    trajectory is let go.
+    """
+    from ..operators import consolidate as C
+    from ..operators import learn as L
+
+    spark, ended = trajectories.sparkSession, []
+    waits, tables = Snapshots(spark, f"{base}/waiting", trajectories.schema), Snapshots(spark, f"{base}/patterns", PATTERNS)
+    taken = Snapshots(spark, f"{base}/taken", trajectories.schema)
+
+    def take(rows: DataFrame, batch: int) -> None:
+        had, waiting = tables.before(batch), taken.write(batch, waits.before(batch).unionByName(rows))
+        if waiting.count() >= enough:
+            known = L.learn(waiting, had, now).withColumn("id", F.xxhash64("hash"))
+            had, waiting = C.consolidate(known, spark.createDataFrame([], "a long, b long"), now)[0].drop("id"), waiting.limit(0)
+        tables.write(batch, had.select(*tables.before(0).columns))
+        waits.write(batch, waiting)
+        ended.append(batch)
+
+    trajectories.writeStream.foreachBatch(take).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    after = ended[-1] + 1 if ended else 0
+    return tables.before(after), waits.before(after)
+
+
 def reflection_due(rows: Column, last: Column, now: Column) -> Column:
     """Whether enough rows, or enough time since the last cycle (null: never), ask for another."""
     return (rows >= DUE_ROWS) | (last.isNull() & (rows > 0)) | (F.timestamp_diff("HOUR", last, now) >= DUE_HOURS)
