@@ -428,6 +428,20 @@ def test_language(spark, docs, none):
     assert language.identify(none).count() == 0 and language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_targets(sizes):
+    """Targets of sources by their sizes, one capped round after another."""
+    weights = dict(zip(sorted(sizes), [3, 1, 2] * len(sizes)))
+    capped, total = set(), 1.5 * sum(sizes.values())
+    while True:
+        rest = total - sum(2 * sizes[s] for s in capped)
+        w = sum(weights[s] for s in sizes if s not in capped)
+        target = {s: 2 * n if s in capped else rest * weights[s] / w for s, n in sizes.items()}
+        over = {s for s, n in sizes.items() if target[s] > 2 * n}
+        if not over:
+            return target
+        capped |= over
+
+
 def test_mixing(spark, docs, none):
     rng = random.Random(10)
     rows = [(i, "w " * rng.randint(0, 60), None, None if i % 9 == 0 else f"s{i * i % 7}", 0) for i in range(700)]
@@ -435,16 +449,7 @@ def test_mixing(spark, docs, none):
     got["source"] = got.source.fillna("~")
     by = got.groupby("source").agg(size=("size", "sum"), given=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
     assert (by["size"] == by.given).all() and ((by.taken - by.target).abs() <= 1).all() and (got.taken <= 2 * got["size"]).all()
-    weights = dict(zip(sorted(by.index), [3, 1, 2] * 5))
-    target, capped, total = {}, set(), 1.5 * by["size"].sum()
-    while True:
-        rest = total - sum(2 * by["size"][s] for s in capped)
-        w = sum(weights[s] for s in by.index if s not in capped)
-        target = {s: 2 * by["size"][s] if s in capped else rest * weights[s] / w for s in by.index}
-        over = {s for s in by.index if target[s] > 2 * by["size"][s]}
-        if not over:
-            break
-        capped |= over
+    target = plain_targets(by["size"].to_dict())
     assert all(abs(target[s] - by.target[s]) < 1e-6 for s in by.index)
     again = mixing.mix(spark.createDataFrame(rows[::-1], SCHEMA)).toPandas()
     assert sorted(zip(again.doc_id, again.taken)) == sorted(zip(got.doc_id, got.taken))
@@ -573,6 +578,64 @@ def test_pipeline_over_odd_rows(spark, docs, none, tmp_path):
         assert (out.count() > 0) == (name == "some")
 
 
+def test_pipeline_stages_equal_brute_force(spark, tmp_path, monkeypatch):
+    """Each stage's table against plain loops over the table before it."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    words = {"en": "the cat sat on a mat and looked out at rain while people went home to eat supper by their fire".split(), "de": "der hund lief über die straße und bellte laut als es am abend dunkel wurde weil niemand da war".split()}
+    texts = [" ".join(rng.choices(words["de" if i % 3 == 0 else "en"], k=rng.randint(30, 90))) for i in range(240)]
+    texts = [t + " password = hunter2abc" if i % 11 == 0 else t for i, t in enumerate(texts)]
+    texts += [t.replace(" ", "  ") for t in texts[5:45]] + [texts[50]] * 30 + [None, "", "12 34", "... !"]
+    rows = [(i, t, "de" if i % 3 == 0 and i < 240 else "en", (None, "a", "b", "c")[i * i % 7 % 4], len(t or "")) for i, t in enumerate(texts)]
+    given = spark.createDataFrame(rows, SCHEMA)
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "shared_path", lambda _, name: f"{tmp_path}/{name}")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tables = {name: spark.read.parquet(f"{tmp_path}/{name}").collect() for name, _ in corpus_pipeline.STAGES[:-1]}
+
+    net = language.train(given)
+    labels = language.label_texts(net, [t for _, t, *_ in rows])
+    told = {r[0] for r, (lang, score) in zip(rows, labels) if lang != "und" and score >= 0.4 and any(c.isalpha() for c in r[1] or "")}
+    assert {r["doc_id"] for r in tables["language_id"]} == told == set(range(310))
+
+    fps = {r["doc_id"]: simhash.simhash(r["text"]) for r in tables["language_id"]}
+    root = {i: i for i in fps}
+    for _ in range(len(fps)):
+        new = {i: min(root[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 2) for i in fps}
+        if new == root:
+            break
+        root = new
+    assert sorted(r["doc_id"] for r in tables["simhash_dedup"]) == sorted(set(root.values()))
+
+    hidden = {r["doc_id"]: ASSIGN.sub("[REDACTED]", r["text"]) for r in tables["simhash_dedup"]}
+    assert {r["doc_id"]: r["text"] for r in tables["secret_scan"]} == hidden and sum("[REDACTED]" in t for t in hidden.values()) > 10
+
+    sizes, taken = {}, {}
+    for r in tables["secret_scan"]:
+        sizes[r["source"] or "~"] = sizes.get(r["source"] or "~", 0) + len(r["text"].split())
+    for r in tables["mix_sources"]:
+        whole = hidden[r["doc_id"]].split()
+        assert r["text"].split() == whole[: len(r["text"].split())]
+        taken[r["source"] or "~"] = taken.get(r["source"] or "~", 0) + len(r["text"].split())
+        own = [len(x["text"].split()) for x in tables["mix_sources"] if x["doc_id"] == r["doc_id"]]
+        assert sum(own) <= 2 * len(whole)
+    target = plain_targets(sizes)
+    assert all(abs(taken.get(s, 0) - target[s]) <= 1 for s in sizes)
+
+    want, have, sequences = {}, {}, {}
+    for r in tables["mix_sources"]:
+        ids = ids_of("byte_bpe_50k.json", r["text"], 1)
+        want.setdefault(r["doc_id"], []).extend(ids)
+    for p in packed:
+        have[p["doc_id"]] = have.get(p["doc_id"], 0) + p["length"]
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert have == {i: len(ids) for i, ids in want.items()}
+    for own in sequences.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
+
+
 def test_dedup_keeps_rows_with_repeated_and_null_ids(spark):
     import corpus_pipeline
 
