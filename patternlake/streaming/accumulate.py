@@ -88,7 +88,7 @@ PATTERNS = "hash string, tool_type string, category string, context string, succ
 def session_end(trajectories: DataFrame, base: str, now: str, enough: int = ENOUGH) -> tuple[DataFrame, DataFrame]:
     """Take in a stream of trajectories that have ended; once enough of them wait, the pattern table learns from all that wait and is consolidated, and none wait.
 
-    Returns the pattern table and the trajectories that wait. Both lie in tables below base, one a batch, so that a batch
+    Returns the pattern table and the trajectories that wait, both empty where a call finds nothing new. They lie in tables below base, one a batch, so that a batch
     that is run again gives the same. A cycle that fails ends the stream; the next call runs its batch again, and no
     trajectory is let go.
     """
