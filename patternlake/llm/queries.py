@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, language, licenses, mixing, neighbours, quality, secrets, simhash
+from . import htmltext, language, licenses, mixing, neighbours, phrases, quality, secrets, simhash
 from .common import shared_path, table
 from .packing import pack_documents
 from .tokenfile import read_token_file, write_token_file
@@ -51,8 +51,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of each language of `documents`. Null texts count as empty, a null lang is `und`; an empty table gives no rows."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_token_output, op3_quality_rules, op4_html_extraction, op5_simhash, op6_nn_descent, op7_language_id, op8_mixing, op9_license_scans, op10_secrets)
+    for f in (op1_packing, op2_token_output, op3_quality_rules, op4_html_extraction, op5_simhash, op6_nn_descent, op7_language_id, op8_mixing, op9_license_scans, op10_secrets, op11_phrases)
 }
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.ORACLE, "op11_phrases": phrases.ORACLE}
