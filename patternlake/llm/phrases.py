@@ -212,9 +212,9 @@ g AS (SELECT lang, 1 AS size, w0 AS phrase FROM v UNION ALL SELECT lang, 2, w0 |
 c AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3),
 t AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE size = 1 GROUP BY 1),
 cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS x FROM c WHERE size > 1 AND f >= 10),
-cuts AS (SELECT *, unnest(range(1, size)) AS k FROM cand),
-s AS (SELECT cuts.*, cl.f AS l, cr.f AS r, ((1000000::HUGEINT * a * a) // (cl.f::HUGEINT * cr.f))::BIGINT AS score FROM cuts
-    JOIN c cl ON cl.lang = cuts.lang AND cl.phrase = array_to_string(x[1 : k], ' ') JOIN c cr ON cr.lang = cuts.lang AND cr.phrase = array_to_string(x[k + 1 :], ' ')),
+cuts AS (SELECT *, lang || chr(10) || array_to_string(x[1 : k], ' ') AS pl, lang || chr(10) || array_to_string(x[k + 1 :], ' ') AS pr FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)),
+often AS MATERIALIZED (SELECT lang || chr(10) || phrase AS key, f FROM c WHERE f >= 10),
+s AS (SELECT cuts.*, cl.f AS l, cr.f AS r, ((1000000::HUGEINT * a * a) // (cl.f::HUGEINT * cr.f))::BIGINT AS score FROM cuts JOIN often cl ON cl.key = pl JOIN often cr ON cr.key = pr),
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS rn FROM s) WHERE rn = 1),
 inn AS (SELECT lang, array_to_string(x[1 : 2], ' ') AS phrase, a FROM cand WHERE size = 3 UNION ALL SELECT lang, array_to_string(x[2 : 3], ' '), a FROM cand WHERE size = 3),
 big AS (SELECT lang, phrase, max(a) AS longer FROM inn GROUP BY 1, 2),
