@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, language, licenses, mixing, neighbours, phrases, quality, secrets, simhash
+from . import codebooks, htmltext, language, licenses, mixing, neighbours, phrases, quality, secrets, simhash
 from .common import shared_path, table
 from .packing import pack_documents
 from .tokenfile import read_token_file, write_token_file
@@ -56,8 +56,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all fit vectors of `embeddings`; rows with null or non-finite components are left out. An empty table gives no rows."""
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_token_output, op3_quality_rules, op4_html_extraction, op5_simhash, op6_nn_descent, op7_language_id, op8_mixing, op9_license_scans, op10_secrets, op11_phrases)
+    for f in (op1_packing, op2_token_output, op3_quality_rules, op4_html_extraction, op5_simhash, op6_nn_descent, op7_language_id, op8_mixing, op9_license_scans, op10_secrets, op11_phrases, op12_vector_codes)
 }
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.ORACLE, "op11_phrases": phrases.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.ORACLE, "op11_phrases": phrases.ORACLE, "op12_vector_codes": codebooks.oracle()}
