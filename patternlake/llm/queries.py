@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codebooks, htmltext, language, licenses, mixing, neighbours, phrases, quality, secrets, simhash
+from . import codebooks, htmltext, language, licenses, mixing, neighbours, phrases, quality, rulefit, secrets, simhash
 from .common import shared_path, table
 from .packing import pack_documents
 from .tokenfile import read_token_file, write_token_file
@@ -61,8 +61,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all `documents`, null and empty texts too, learned from `labels`. An empty table gives no rows; without labels all score alike."""
+    docs = table(spark, sf_dir, "documents")
+    return rulefit.score(docs, rulefit.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_token_output, op3_quality_rules, op4_html_extraction, op5_simhash, op6_nn_descent, op7_language_id, op8_mixing, op9_license_scans, op10_secrets, op11_phrases, op12_vector_codes)
+    for f in (op1_packing, op2_token_output, op3_quality_rules, op4_html_extraction, op5_simhash, op6_nn_descent, op7_language_id, op8_mixing, op9_license_scans, op10_secrets, op11_phrases, op12_vector_codes, op13_quality_classifier)
 }
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.ORACLE, "op11_phrases": phrases.ORACLE, "op12_vector_codes": codebooks.oracle()}
