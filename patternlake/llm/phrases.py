@@ -4,28 +4,36 @@ Each task turns its texts into a stream of word ids, a piece's end being the id
 prefix doubling: ranks of the first word, then of the first two, four and so on, up to the longest phrase. Neighbours in
 that order share a prefix of so many words (LCP), and each interval of the array whose LCPs reach n is an n-gram with as
 many occurrences as the interval is long. These counts, a row a distinct n-gram of a part of the stream, are merged
-by language and phrase, combined before they are shuffled. Phrases are then scored against the counts of their parts.
+by language and phrase, combined before they are shuffled.
+
+Phrases are counted a length at a time, and none whose two parts of one word less can't both be frequent: these are
+known by their bits in a filter of fixed size, which goes to all tasks. A bit that another phrase has set, or a filter
+that is full, costs rows and never a count. Phrases are then scored against the counts of their parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, spread_join
 
-STREAM = 2 << 20  # word ids of a task that are sorted at a time
+STREAM = 1 << 20  # word ids of a task that are sorted at a time
+FILTER_BITS = 1 << 27  # bits of the filter of frequent phrases: 16 MB
+BLOCK_BITS = 1 << 19  # of them in a row
 SLICE = 4 << 20  # bytes of a text that are taken apart at a time
 #: Bytes that end a piece, and a byte that UTF-8 never has, which stands for them.
 PIECE_ENDS, END = b".,;:!?\x0a\x0b\x0c\x0d", b"\xff"
 FOLDED = bytes.maketrans(bytes(range(65, 91)) + PIECE_ENDS, bytes(range(97, 123)) + END * len(PIECE_ENDS))
-COUNT = "lang string, n int, phrase string, f long"
+COUNT = "lang string, phrase string, f long"
 
 
 class Words(dict):
@@ -64,31 +72,42 @@ def ranks(ids: np.ndarray, longest: int) -> np.ndarray:
     return rank
 
 
-def intervals(ids: np.ndarray, own: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For n from 1 to longest: n, where an n-gram occurs, and how often, of all n-grams without a 0 that begin before own.
+def intervals(ids: np.ndarray, wanted: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct n-gram begins, and how often it occurs, of those that begin at wanted places of a stream.
 
-    The suffix array is the order of the ranks; LCPs of its neighbours, of longest words at most, are told by comparing them word by word.
+    The suffix array is the order of the ranks. An interval ends where the LCP with the suffix before is below n.
     """
-    order = np.argsort(ranks(ids, longest), kind="stable")
-    order = order[order < own]
-    padded = np.concatenate([ids, np.zeros(longest, ids.dtype)])
-    new, good = np.zeros(len(order), bool), np.ones(len(order), bool)  # where the LCP with the one before is below n
+    order = np.flatnonzero(wanted)
+    order = order[np.argsort(ranks(ids, n)[order], kind="stable")]
+    padded, new = np.concatenate([ids, np.zeros(n, ids.dtype)]), np.zeros(len(order), bool)
     new[:1] = True
-    for n in range(1, longest + 1):
-        word = padded[order + n - 1]
+    for k in range(n):
+        word = padded[order + k]
         new[1:] |= word[1:] != word[:-1]
-        good &= word > 0
-        starts = np.flatnonzero(new)
-        counts = np.diff(np.append(starts, len(order)))
-        held = good[starts]
-        yield n, order[starts[held]], counts[held]
+    starts = np.flatnonzero(new)
+    return order[starts], np.diff(np.append(starts, len(order)))
+
+
+def hashed(lang: str, words: list[bytes]) -> np.ndarray:
+    """Hashes of a language's words."""
+    seed = xxhash.xxh64_intdigest(lang)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def bits_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """Bits of the filter of phrases by their words' hashes, in the words' order."""
+    out = np.zeros_like(hashes[0])
+    for h in hashes:
+        out = (out ^ h) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return (out % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
 class Counter:
-    """Counts of a task's n-grams, in parts of its stream."""
+    """Counts of a task's phrases of n words, in parts of its stream; with a filter, of those whose two parts of n - 1 words have their bits set."""
 
-    def __init__(self, longest: int):
-        self.longest = longest
+    def __init__(self, n: int, passing: np.ndarray | None):
+        self.n, self.passing = n, passing
         self.clear()
 
     def clear(self) -> None:
@@ -97,30 +116,47 @@ class Counter:
         self.parts: list[np.ndarray] = []
         self.held = 0
 
+    def words(self, lang: str) -> Words:
+        if lang not in self.langs:
+            self.langs[lang] = Words(self.known)
+            self.langs[lang][END] = 0
+        return self.langs[lang]
+
     def add(self, lang: str, text: str) -> Iterator[pa.RecordBatch]:
-        words = self.langs.get(lang)
         for part in slices(text.encode().translate(FOLDED)):
-            if words is None:
-                words = self.langs[lang] = Words(self.known)
-                words[END] = 0
             tokens = part.replace(END, b" \xff ").split()
-            self.parts.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
+            self.parts.append(np.fromiter(map(self.words(lang).__getitem__, tokens), np.int32, len(tokens)))
             self.held += len(tokens)
             if self.held >= STREAM:
-                rest = np.concatenate(self.parts)[-self.longest + 1 :] if self.longest > 1 else np.zeros(0, np.int32)
-                yield from self.counts(len(rest))
-                # What begins in the last words goes on in the next part; their text has the same language.
-                tail = [self.known[i] for i in rest]
+                # What begins in the last words goes on in the next part, whose text has the same language.
+                tail = np.concatenate(self.parts)[-self.n + 1 :] if self.n > 1 else np.zeros(0, np.int32)
+                yield from self.counts(len(tail))
+                rest = [self.known[i] for i in tail]
                 self.clear()
-                words = self.langs[lang] = Words(self.known)
-                words[END] = 0
-                self.parts.append(np.fromiter((words[w] for w in tail), np.int32, len(tail)))
-                self.held = len(tail)
+                self.parts.append(np.fromiter((self.words(lang)[w] for w in rest), np.int32, len(rest)))
+                self.held = len(rest)
         self.parts.append(np.zeros(1, np.int32))
         self.held += 1
 
+    def wanted(self, ids: np.ndarray, own: int) -> np.ndarray:
+        """Places before own at which a phrase of n words begins, and one that may be frequent."""
+        padded = np.concatenate([ids, np.zeros(self.n, ids.dtype)])
+        out = np.arange(len(ids)) < own
+        for k in range(self.n):
+            out &= padded[k : k + len(ids)] > 0
+        if self.passing is not None:
+            hashes = np.zeros(len(self.known), np.uint64)
+            for lang, words in self.langs.items():
+                names = list(words)[1:]
+                hashes[np.fromiter((words[w] for w in names), np.int64, len(names))] = hashed(lang, names)
+            at = hashes[padded]
+            bits = bits_of([at[k : len(ids) + 1 + k] for k in range(self.n - 1)])
+            may = (self.passing[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 > 0
+            out &= may[:-1] & may[1:]
+        return out
+
     def counts(self, rest: int = 0) -> Iterator[pa.RecordBatch]:
-        """Counts of all n-grams that begin before the stream's last rest ids, a batch for each n."""
+        """Counts of all phrases that begin before the stream's last rest ids."""
         ids = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
         if len(ids) == rest:
             return
@@ -128,25 +164,48 @@ class Counter:
         for i, words in enumerate(self.langs.values()):
             lang_of[np.fromiter(words.values(), np.int64, len(words))] = i
         known, langs = pa.array(self.known[1:], pa.binary()).cast(pa.string()), pa.array(list(self.langs), pa.string())
-        padded = np.concatenate([ids, np.zeros(self.longest, ids.dtype)])
-        for n, at, f in intervals(ids, len(ids) - rest, self.longest):
-            for lo in range(0, len(at), 1 << 18):
-                some = at[lo : lo + (1 << 18)]
-                words = [known.take(pa.array(padded[some + k] - 1)) for k in range(n)]
-                phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
-                cols = [langs.take(pa.array(lang_of[padded[some]])), pa.array(np.full(len(some), n, np.int32)), phrase, pa.array(f[lo : lo + (1 << 18)], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["lang", "n", "phrase", "f"])
+        at, f = intervals(ids, self.wanted(ids, len(ids) - rest), self.n)
+        for lo in range(0, len(at), 1 << 18):
+            some = at[lo : lo + (1 << 18)]
+            words = [known.take(pa.array(ids[some + k] - 1)) for k in range(self.n)]
+            phrase = words[0] if self.n == 1 else pc.binary_join_element_wise(*words, " ")
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang_of[ids[some]])), phrase, pa.array(f[lo : lo + (1 << 18)], pa.int64())], names=["lang", "phrase", "f"])
+
+
+def passing_bits(phrases: DataFrame) -> np.ndarray:
+    """The filter with the bits of phrases (lang, phrase) set; FILTER_BITS in rows of BLOCK_BITS come to the driver, whatever the phrases."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, dict[bytes, int]] = {}
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                known.setdefault(lang, {})[phrase.encode()] = 0
+            for lang, held in known.items():
+                rows = [p.split(b" ") for p in held]
+                yield pa.RecordBatch.from_arrays([pa.array(bits_of([hashed(lang, list(w)) for w in zip(*rows)]))], names=["bit"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        own, row = np.zeros(BLOCK_BITS, np.uint8), int(table["row"][0].as_py())
+        own[np.asarray(table["bit"]) - row * BLOCK_BITS] = 1
+        return pa.table({"row": [row], "held": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    rows = phrases.select("lang", "phrase").mapInArrow(bits, "bit long").distinct().withColumn("row", F.floor(F.col("bit") / BLOCK_BITS))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row, held in rows.groupBy("row").applyInArrow(pack, "row long, held binary").collect():
+        out[row * BLOCK_BITS // 8 : (row + 1) * BLOCK_BITS // 8] = np.frombuffer(held, np.uint8)
+    return out
 
 
-def ngram_counts(docs: DataFrame, longest: int = 3) -> DataFrame:
-    """lang, n (words), phrase, f: how often each phrase of up to longest words occurs within the pieces of each language's documents (lang, text).
+def phrase_counts(docs: DataFrame, n: int, frequent: DataFrame | None = None) -> DataFrame:
+    """lang, phrase, f: how often each phrase of n words occurs within the pieces of each language's documents (lang, text); with frequent (lang, phrase), of those whose parts of n - 1 words are all in it, and some others.
 
     A null lang is `und`, a null text empty. Overlapping occurrences count. Other columns are not read; repeated rows
     count each. An empty table gives no rows.
     """
+    passing = docs.sparkSession.sparkContext.broadcast(passing_bits(frequent)) if frequent is not None and n > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(longest)
+        counter = Counter(n, passing.value if passing else None)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -155,7 +214,7 @@ def ngram_counts(docs: DataFrame, longest: int = 3) -> DataFrame:
         yield from counter.counts()
 
     rows = docs.where("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return rows.mapInArrow(run, COUNT).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    return rows.mapInArrow(run, COUNT).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def part_of(phrase: Column, first: Column | int, size: Column | int) -> Column:
@@ -170,14 +229,17 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside_perc
     phrases, which occur l and r times, the one whose score floor(1000000 a a / (l r)) is lowest counts, of equals that
     with the shortest first phrase. A candidate goes if it lies within a longer one that occurs inside_percent of a or
     more. n counts all words of the language. best is a limit of the report: rows are ordered by score and a, both
-    descending, then by phrase in UTF-8 byte order. Nulls and empty tables are as in ngram_counts(); other columns
+    descending, then by phrase in UTF-8 byte order. Nulls and empty tables are as in phrase_counts(); other columns
     are not read.
     """
-    counts = ngram_counts(docs, longest)
-    kept = cut(counts.where((F.col("f") >= least) | (F.col("n") == 1)))
-    totals = kept.where("n = 1").groupBy("lang").agg(F.sum("f").alias("n"))
+    words = cut(phrase_counts(docs, 1))
+    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    levels = [words.where(F.col("f") >= least)]
+    for n in range(2, longest + 1):
+        levels.append(cut(phrase_counts(docs, n, levels[-1]).where(F.col("f") >= least)))
     # A part of a frequent phrase is frequent, so that these counts hold all that is looked up.
-    counts = cut(kept.where(F.col("f") >= least).select(F.struct("lang", "phrase").alias("key"), F.col("n").alias("size"), "f"))
+    made = [x.select(F.struct("lang", "phrase").alias("key"), F.lit(i + 1).alias("size"), "f") for i, x in enumerate(levels)]
+    counts = cut(reduce(DataFrame.union, made))
     found = counts.where("size > 1").select(F.col("key").alias("whole"), "size", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     part = lambda first, size: F.struct(F.col("whole.lang").alias("lang"), part_of(F.col("whole.phrase"), first, size).alias("phrase"))
     cuts = cut(found.withColumns({"key": part(0, F.col("k")), "right": part(F.col("k"), F.col("size") - F.col("k"))}))
