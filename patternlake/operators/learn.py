@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import cut
 
 #: By category of commands their names; other commands are their own category.
 FAMILIES = {
@@ -142,6 +145,63 @@ def relearn(calls: DataFrame, results: DataFrame, table: DataFrame, now: str) ->
     return learn_calls(calls, results, table.limit(0), now)
 
 
+def first_matches(best: DataFrame, per_type: int, words: str = "words") -> DataFrame:
+    """Ranked patterns (id, tool_type, context, rank) folded to a row a type: tool_type, candidates (id, words), the per_type best in order."""
+    own = best.where(F.col("rank") <= per_type).select("tool_type", F.struct("rank", "id", T.long_words(F.col("context")).alias(words)).alias("x"))
+    return own.groupBy("tool_type").agg(F.array_sort(F.collect_list("x")).alias("candidates"))  # per_type rows a type
+
+
+def matching(call: Column, candidates: Column, min_shared: int = 2) -> Column:
+    """id of the first of some candidates that shares min_shared words with a call's context; null without one."""
+    own = T.long_words(context(call["tool_name"], call["tool_input"]))
+    hit = T.let(own, lambda w: F.filter(candidates, lambda c: F.size(F.array_intersect(w, c["words"])) >= min_shared))
+    return F.get(hit, F.lit(0))["id"]
+
+
+def shared_patterns(trajectories: DataFrame, patterns: DataFrame, calls: int = 3, per_type: int = 10) -> DataFrame:
+    """Occurrences (a, b, seq, ok) of pairs of patterns (id, tool_type, context, success, failure) that a trajectory's first calls match, each its first match of its type's per_type best.
+
+    Each pair of calls counts, with the smaller id first; a pattern makes no pair with itself. ok is whether the
+    trajectory succeeded, by judged(). seq orders by session, then call and later call. Matches are looked up in a row a
+    type, so no trajectory is taken apart; a type that very many calls name is met by a broadcast where the rows of all
+    types are measured to be small.
+    """
+    from .patterns import top_per_type
+    from .reflect import judged
+    from .retrieve import hinted
+
+    best = hinted(cut(first_matches(top_per_type(patterns, per_type), per_type)))
+    told = judged(trajectories).select("session_id", "success", F.slice("tool_calls", 1, calls).alias("c"))
+    for i in range(calls):
+        call = F.get("c", F.lit(i))
+        told = told.withColumn("t", call["tool_name"]).join(best.withColumnsRenamed({"tool_type": "t", "candidates": "of"}), "t", "left").withColumn(f"m{i}", matching(call, F.col("of"))).drop("t", "of")
+    places = [(i, j) for i in range(calls) for j in range(i + 1, calls)]
+    # A call without a match doesn't stand between the others.
+    pairs = F.array(*(F.struct(F.least(f"m{i}", f"m{j}").alias("a"), F.greatest(f"m{i}", f"m{j}").alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(f"m{i}").isNotNull() & F.col(f"m{j}").isNotNull() & (F.col(f"m{i}") != F.col(f"m{j}"))).alias("is")) for i, j in places))
+    made = told.select("session_id", "success", F.explode(F.filter(pairs, lambda x: x["is"])).alias("x"))
+    return made.select("x.a", "x.b", F.struct("session_id", "x.i", "x.j").alias("seq"), F.col("success").alias("ok"))
+
+
+class Learned(NamedTuple):
+    """The tables after a cycle of learning, and its row for the log."""
+
+    patterns: DataFrame
+    edges: DataFrame
+    log: DataFrame
+
+
+def learn_cycle(trajectories: DataFrame, table: DataFrame, edges: DataFrame, now: str) -> Learned:
+    """A cycle of learning in full: patterns of all trajectories go into the table (PATTERN and last_used), edges (a, b, lift, co_occurrences; ids are xxhash64 of a pattern's hash) go on with the pairs of patterns that trajectories share, and the log's row tells how many there were."""
+    from ..streaming.accumulate import fold_lift
+
+    known = cut(learn(trajectories, table, now))
+    made = cut(shared_patterns(trajectories, known.withColumn("id", F.xxhash64("hash"))))
+    counts = trajectories.agg(F.lit("foreground_learning").alias("event_type"), F.count("*").alias("trajectories"), F.coalesce(F.sum(F.size("tool_calls")), F.lit(0)).cast("long").alias("calls"))
+    new = known.join(table.select("hash"), "hash", "left_anti").agg(F.count("*").alias("patterns"))
+    log = counts.join(F.broadcast(new)).join(F.broadcast(made.agg(F.count("*").alias("edges")))).withColumn("created_at", F.lit(now).cast("timestamp"))  # a row each
+    return Learned(known, fold_lift(edges, made, 0), log)
+
+
 def used_patterns(calls: DataFrame, patterns: DataFrame, per_type: int = 10, min_shared: int = 2) -> DataFrame:
     """For each call (session_id, seq, tool_name, tool_input) the best ranked of its type's per_type patterns (id, tool_type, context, rank) that shares min_shared words with the call's context: session_id, seq, id."""
     own = calls.withColumn("words", T.long_words(context(F.col("tool_name"), F.col("tool_input"))))

@@ -171,10 +171,10 @@ def term_scores(queries: DataFrame, texts: DataFrame, max_bytes: int = 64 << 20)
     return met.select("query_id", "id", F.round(sim, 4).alias("sim"))
 
 
-def hinted(df: DataFrame, max_bytes: int) -> DataFrame:
-    """A broadcast hint where df's rows are measured to take at most max_bytes, strings as 64."""
-    rows = max_bytes // (64 * max(1, len(df.columns)))
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def hinted(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """A broadcast hint where df's rows are measured to take at most max_bytes, about twice their length as JSON."""
+    size = df.agg(F.sum(2 * F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def first_overlap(texts: DataFrame, patterns: DataFrame, min_shared: int = 2, max_bytes: int = 64 << 20) -> DataFrame:

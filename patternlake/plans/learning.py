@@ -383,11 +383,20 @@ def q67_stream_lift(spark, d):
     return accumulate.run_available(stream, f"{base}/run", "a long, b long, lift double, co_occurrences long", accumulate.fold_lift).withColumn("lift", F.round(F.col("lift") + 1e-8, 6))
 
 
-@query("SELECT 0::BIGINT AS pending, 1::BIGINT AS cycles, 0::BIGINT AS failures, 0::BIGINT AS dropped")
+@query("""WITH RECURSIVE p AS (SELECT user_id % 7 % 5 AS i, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY 1), enough AS (SELECT count(*) // 3 AS x FROM events),
+    r AS (SELECT -1::BIGINT AS i, 0::BIGINT AS cycle, 0::BIGINT AS n, 0::BIGINT AS e, false AS ran UNION ALL
+        SELECT r.i + 1, cycle + CASE WHEN ran THEN 1 ELSE 0 END, CASE WHEN ran THEN 0 ELSE r.n END + p.n, CASE WHEN ran THEN 0 ELSE r.e END + p.e, CASE WHEN ran THEN 0 ELSE r.n END + p.n >= x FROM r JOIN p ON p.i = r.i + 1, enough)
+    SELECT cycle, n AS rows, e AS errors, ran AS done FROM r WHERE ran OR i = 4""")
 def q68_threshold_cycle(spark, d):
-    """Enough new rows make a cycle run."""
-    stream = spark.readStream.schema(V.table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
-    return accumulate.run_available(stream, shared_path(spark, "cycles"), accumulate.CYCLE, accumulate.threshold_cycles(lambda rows, batch: None))
+    """Events come in five uneven parts; once a third of them wait, a cycle is given all that wait. Its rows and errors, and those that wait at last."""
+    base, e = shared_path(spark, "cycles"), V.table(spark, d, "events")
+    told = lambda rows, n, done: rows.agg(F.lit(n).cast("long").alias("cycle"), F.count("*").alias("rows"), F.count_if(F.col("event_type") == "error").alias("errors")).withColumn("done", F.lit(done))
+    acc = accumulate.Accumulator(spark, f"{base}/run", e.schema, lambda rows, n: accumulate.append_once(told(rows, n, True), f"{base}/log", n), enough=e.count() // 3)
+    for part in range(5):
+        e.where(F.col("user_id") % 7 % 5 == part).write.mode("append").parquet(f"{base}/rows")
+        acc.run_available(spark.readStream.schema(e.schema).parquet(f"{base}/rows"))
+    waits = told(acc.waiting(), acc.held().cycles, False).where("rows > 0")
+    return spark.read.parquet(f"{base}/log").drop("batch").union(waits) if acc.held().cycles else waits
 
 
 @query(f"WITH {SQL_FOUND} SELECT DISTINCT hash, tool_type, category, success::BIGINT AS success, failure::BIGINT AS failure, false AS used FROM found")
@@ -405,5 +414,18 @@ def q70_session_end(spark, d):
     half = F.pmod(F.xxhash64("session_id"), F.lit(2))
     for part in (0, 1):
         rows.where(half == part).write.mode("append").parquet(f"{base}/rows")
-        table, _ = accumulate.session_end(spark.readStream.schema(rows.schema).parquet(f"{base}/rows"), f"{base}/run", K.NOW)
-    return table.select("hash", "tool_type", "category", "success", "failure")
+        ended = accumulate.session_end(spark.readStream.schema(rows.schema).parquet(f"{base}/rows"), f"{base}/run", K.NOW)
+    return ended.patterns.select("hash", "tool_type", "category", "success", "failure")
+
+
+SQL_SHARED = SQL_TRAJECTORIES + SQL_FOUND_2 + f""", c3 AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS pos, tool_name AS tool_type, {sql_context('tool_name', 'tool_input')} AS done FROM e WHERE is_call),
+    m AS (SELECT session_id, pos, arg_min(id, rank) AS id FROM c3 JOIN ranked USING (tool_type) WHERE pos <= 3 AND rank <= 10 AND len(list_intersect({LONG_WORDS.format('done')}, {LONG_WORDS.format('context')})) >= 2 GROUP BY 1, 2),
+    oks AS (SELECT session_id, NOT coalesce(bool_or(is_error OR {K.sql_any('lower(content)', X.FAILED)}) FILTER (NOT is_call), false) AS ok FROM e GROUP BY 1),
+    folded AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, list(ok ORDER BY session_id, x.pos, y.pos) AS h FROM m x JOIN m y USING (session_id) JOIN oks USING (session_id) WHERE x.pos < y.pos AND x.id <> y.id GROUP BY 1, 2),
+    edges AS (SELECT a, b, list_reduce(h[2:], lambda acc, x: acc * (1.0::DOUBLE - 0.3::DOUBLE) + (CASE WHEN x THEN 1.5::DOUBLE ELSE 0.3::DOUBLE END) * 0.3::DOUBLE, CASE WHEN h[1] THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END) AS lift, len(h)::BIGINT AS co_occurrences FROM folded)"""
+
+
+@query(f"WITH {SQL_SHARED} SELECT a, b, round(lift + 1e-8::DOUBLE, 6) AS lift, co_occurrences FROM edges")
+def q71_learned_edges(spark, d):
+    """Edges between the patterns that the first calls of each trajectory match, with the lift of its outcomes."""
+    return G.lift(L.shared_patterns(trajectories(spark, d), learned(spark, d))).withColumn("lift", F.round(F.col("lift") + 1e-8, 6))

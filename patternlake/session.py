@@ -33,3 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to a table in the shared folder and read again: work isn't repeated, and a lost executor costs no lineage."""
     df.write.parquet(path := shared_path(df.sparkSession, "cut"))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(spark: SparkSession, base: str) -> list[int]:
+    """Numbers n of the tables base/n that were written whole, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = [x.getPath().getParent().getName() for x in found]
+    return sorted(int(x) for x in names if x.isdigit())

@@ -391,42 +391,6 @@ def test_pieces_of_a_file_give_each_line_once(tmp_path):
         assert got == lines
 
 
-def test_threshold_cycles(spark, tmp_path):
-    ran, fail = [], [False]
-
-    def act(rows, batch):
-        if fail[0]:
-            raise RuntimeError
-        ran.append(batch)
-
-    step, state = accumulate.threshold_cycles(act), spark.createDataFrame([], accumulate.CYCLE)
-    for n, bad, want in ((10, False, (10, 0, 0, 0)), (5, False, (0, 1, 0, 0)), (15, True, (15, 1, 1, 0)), (1, True, (16, 1, 2, 0)), (1, True, (0, 1, 0, 17))):
-        fail[0] = bad
-        state = step(state, spark.range(n), 0)
-        assert tuple(state.first()) == want
-    due = lambda n, last: spark.range(1).select(accumulate.reflection_due(F.lit(n), F.lit(last).cast("timestamp"), F.lit("2024-01-01 12:00:00").cast("timestamp"))).first()[0]
-    assert due(50, "2024-01-01 11:00:00") and due(1, "2024-01-01 08:00:00") and not due(1, "2024-01-01 08:30:00") and due(1, None) and not due(0, None)
-
-
-def test_session_end_learns_from_all_that_wait(spark, tmp_path):
-    call = ("Bash", '{"command": "cargo build --release", "description": "Build the project for release"}')
-    schema = "session_id string, user_query string, tool_calls array<struct<tool_name string, tool_input string>>, tool_results array<struct<content string, is_error boolean>>"
-    rows = [(f"s{i}", f"fix bug {i}", [call], [(f"error: cannot find value number{i} in this scope", True)]) for i in range(20)]
-    now, base = "2024-01-01 00:00:00", str(tmp_path / "run")
-    for part, waiting in ((rows[:10], 10), (rows[10:], 0), (rows[:3], 3)):
-        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "rows"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "rows"))
-        table, waits = accumulate.session_end(stream, base, now)
-        assert waits.count() == waiting and (table.count() == 0) == (waiting == 10)
-    empty = spark.createDataFrame([], accumulate.PATTERNS)
-    known = learn.learn(spark.createDataFrame(rows, schema), empty, now).withColumn("id", F.xxhash64("hash"))
-    want = consolidate.consolidate(known, spark.createDataFrame([], "a long, b long"), now)[0]
-    columns = ("hash", "tool_type", "context", "success", "failure")
-    assert sorted(map(str, table.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
-    again, _ = accumulate.session_end(spark.readStream.schema(schema).parquet(str(tmp_path / "rows")), base, now)
-    assert again.count() == 0  # nothing new: no batch, no table of this call
-
-
 def test_relearn_forgets_the_table(spark):
     calls = spark.createDataFrame([("s", 1, "fix the bug", "Bash", '{"command": "cargo build --all --release"}')], "session_id string, seq long, user_query string, tool_name string, tool_input string")
     results = spark.createDataFrame([], "session_id string, seq long, user_query string, content string, is_error boolean")
