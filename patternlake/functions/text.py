@@ -88,8 +88,7 @@ def tech_stack(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case terms of 2 bytes or more that aren't stop words, stemmed if longer than 4."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    kept = F.filter(found, lambda t: (F.octet_length(t) >= 2) & ~F.array_contains(stop, t))
+    kept = F.filter(found, lambda t: (F.octet_length(t) >= 2) & ~t.isin(*STOP_WORDS))
     return F.transform(kept, lambda t: F.when(F.octet_length(t) <= 4, t).otherwise(stem(t)))
 
 
@@ -109,7 +108,7 @@ def counted(terms: Column) -> Column:
     """Distinct terms of an array with how often each occurs: (term, n), by term. Sorted runs are counted, so nothing is shuffled."""
     starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
     runs = lambda s: let(starts(s), lambda at: F.transform(at, lambda a, i: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(s)) - a).cast("long").alias("n"))))
-    return F.when(F.size(terms) > 0, let(F.array_sort(terms), runs)).otherwise(F.array().cast("array<struct<term:string,n:bigint>>"))
+    return let(F.array_sort(terms), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<struct<term:string,n:bigint>>")))
 
 
 def term_weight(term: Column) -> Column:
@@ -181,13 +180,18 @@ def lexical_score(query: Column, pattern: Column) -> Column:
     return F.when(empty, 0.0).when((query["bytes"] < 100) & (pattern["bytes"] < 400), quick).otherwise(slow)
 
 
+def trimmed(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def text_lines(text: Column) -> Column:
-    return F.transform(F.split(text, r"\r?\n"), F.trim)
+    return F.transform(F.split(text, r"\r?\n"), trimmed)
 
 
 def after(line: Column, label: str) -> Column:
     """What follows a line's label, however often that is repeated."""
-    return F.trim(F.regexp_replace(line, f"^(?:{label})+", ""))
+    return trimmed(F.regexp_replace(line, f"^(?:{label})+", ""))
 
 
 def labelled(text: Column, label: str, least: int) -> Column:

@@ -35,8 +35,12 @@ def literal_map(pairs: dict[str, str]) -> Column:
 
 
 def field(tool_input: Column, *names: str) -> Column:
-    """The first of some fields of a JSON input."""
-    return F.coalesce(*(F.get_json_object(tool_input, f"$.{n}") for n in names))
+    """Of some fields of a JSON input the first that is there, if it is a string; null for numbers, objects and null."""
+    parsed, out = F.try_parse_json(tool_input), F.lit(None).cast("string")
+    for name in reversed(names):
+        own = F.try_variant_get(parsed, f"$.{name}", "variant")
+        out = F.when(own.isNotNull(), F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get(parsed, f"$.{name}", "string"))).otherwise(out)
+    return out
 
 
 def category(tool: Column, tool_input: Column) -> Column:
@@ -75,7 +79,7 @@ def is_noise(text: Column) -> Column:
 
 def error_message(text: Column) -> Column:
     """The first line of a result that has a cue and, cleaned, is long enough and no noise, in 120 bytes; null without one."""
-    clean = lambda x: T.let(F.regexp_replace(x, "^.*?(?=Exit code)", ""), lambda y: F.when(F.contains(y, F.lit("→")), F.trim(F.regexp_replace(y, "^[^→]*→", ""))).otherwise(y))
+    clean = lambda x: T.let(F.regexp_replace(x, "^.*?(?=Exit code)", ""), lambda y: F.when(F.contains(y, F.lit("→")), T.trimmed(F.regexp_replace(y, "^[^→]*→", ""))).otherwise(y))
     told = F.filter(T.text_lines(text), lambda x: ~(F.rlike(x, F.lit("^[0-9]")) & F.contains(x, F.lit("→"))) & (F.octet_length(x) >= 15) & T.any_of(F.lower(x), CUES))
     good = F.filter(F.transform(told, clean), lambda x: (F.octet_length(x) >= 20) & ~is_noise(x))
     return F.when(~is_noise(text), T.byte_truncate(F.get(good, F.lit(0)), 120))

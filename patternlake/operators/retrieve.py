@@ -88,7 +88,7 @@ def hint(approach: Column) -> Column:
     parts = F.split(approach, " - ", 3)
     tool, command, last = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
     cut = T.byte_truncate
-    agent = F.trim(F.regexp_replace(command, "^(?:delegating to )+", ""))
+    agent = T.trimmed(F.regexp_replace(command, "^(?:delegating to )+", ""))
     three = F.when(tool == "Bash", F.concat(F.lit("Ran `"), command, F.lit("`: "), cut(last, 60))).when(tool.isin("Edit", "MultiEdit", "Write", "Read", "Glob", "Grep"), cut(last, 80))
     three = three.when(tool == "Task", F.concat(F.lit("Delegated to "), agent, F.lit(": "), cut(last, 50))).otherwise(F.concat(tool, F.lit(": "), cut(last, 70)))
     return F.when(F.size(parts) == 3, three).when(F.size(parts) == 2, cut(command, 80)).otherwise(cut(approach, 80))

@@ -26,10 +26,11 @@ INPUTS = (
     '{"file_path": "/src/main.rs", "old_string": "let value: String = 123; // this line is longer than forty bytes"}', '{"command": "cargo build --release", "description": "Build the project for release"}', '{"command": "npx jest --watch"}',
     '{"pattern": "fn main", "path": "/src/lib.rs"}', '{"subagent_type": "tester", "description": "Check all of the tests"}', '{"query": "how to write a parser"}', '{"file_path": "/app/App.tsx"}', '{"command": "make all", "file_path": "notes"}', '{}',
     '{"command": "pytest -q", "file_path": "/lib/run.py", "old_string": "return 1"}', '{"url": "https://example.org/docs"}',
+    '{"command": 5, "file_path": {"a": 1}, "path": "/src/not/asked.go", "description": 7}', '{"file_path": null, "path": "x.py", "pattern": ["a"]}', '{"command": "git status", "description": null, "subagent_type": 3, "query": {"q": 1}, "url": "u"}',
 )
 CONTENTS = (
     "Error: cannot find module 'left-pad' - check it", "ok", "123→ error: at line 4", "error[E0308]: mismatched types\n  expected String\nerror: cannot find value `x` in this scope", "Exit code 127\nbash: foo: command not found anywhere here",
-    "12→  fatal error: no such file or directory\nplain", "console.log('error: no')", "# error: in a heading of some text", "Traceback\nthread 'main' panicked at src/main.rs error: overflow", "fn main() { error: never }", "short error: x", "1234567890 error: 1234567890",
+    "12→  fatal error: no such file or directory\nplain", "console.log('error: no')", "# error: in a heading of some text", "Traceback\nthread 'main' panicked at src/main.rs error: overflow", "fn main() { error: never }", "short error: x", "1234567890 error: 1234567890", "\t\terror: cannot find the crate `serde`\t", "plain\n \tPermission denied: /etc/shadow\t\nmore",
 )
 SAID = ("All done, it works.", "Let me try another approach. Let me try again.", "I cannot do that.", "Here it is.", "trying again, then fixed", "")
 CALLED = "event_type NOT IN ('error', 'signup')"
@@ -73,7 +74,10 @@ SQL_CALLS = V.EVENTS_K + f""", calls AS (SELECT 'u' || user_id AS session_id, ev
 
 
 def sql_field(i: str, *names: str) -> str:
-    return "coalesce(" + ", ".join(f"json_extract_string({i}, '$.{n}')" for n in names) + ", NULL)"
+    out = "NULL"
+    for n in reversed(names):
+        out = f"CASE WHEN json_exists({i}, '$.{n}') THEN CASE WHEN json_type({i}, '$.{n}') = 'VARCHAR' THEN json_extract_string({i}, '$.{n}') END ELSE {out} END"
+    return out
 
 
 def sql_map(key: str, pairs: dict[str, str]) -> str:
@@ -105,8 +109,8 @@ def sql_noise(x: str) -> str:
 
 
 def sql_message(x: str) -> str:
-    lines = f"list_transform(string_split({x}, chr(10)), lambda l: trim(l))"
-    clean = "CASE WHEN contains({0}, '→') THEN trim(regexp_replace({0}, '^[^→]*→', '')) ELSE {0} END".format("CASE WHEN contains(l, 'Exit code') THEN substr(l, instr(l, 'Exit code')) ELSE l END")
+    lines = f"list_transform(string_split({x}, chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g'))"
+    clean = "CASE WHEN contains({0}, '→') THEN regexp_replace(regexp_replace({0}, '^[^→]*→', ''), '^\\s+|\\s+$', '', 'g') ELSE {0} END".format("CASE WHEN contains(l, 'Exit code') THEN substr(l, instr(l, 'Exit code')) ELSE l END")
     told = f"list_filter({lines}, lambda l: NOT (regexp_matches(l, '^[0-9]') AND contains(l, '→')) AND strlen(l) >= 15 AND {K.sql_any('lower(l)', L.CUES)})"
     return f"CASE WHEN NOT {sql_noise(x)} THEN left(list_filter(list_transform({told}, lambda l: {clean}), lambda m: strlen(m) >= 20 AND NOT {sql_noise('m')})[1], 120) END"
 
