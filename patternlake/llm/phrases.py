@@ -60,14 +60,16 @@ def slices(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def ranks(ids: np.ndarray, longest: int) -> np.ndarray:
-    """Rank of each suffix by its first `longest` words, by prefix doubling: ranks by h words and ranks by h words of what follows them make ranks by 2 h."""
+def ranks(ids: np.ndarray, n: int) -> np.ndarray:
+    """Keys in the order of the suffixes by their first n words, by prefix doubling: ranks by h words and by h words of what follows them make ranks by 2 h. The last step's keys order as ranks do, and are left as they are."""
     rank, h = ids.astype(np.int64), 1
-    while h < longest:
-        step = min(h, longest - h)
+    while h < n:
+        if h > 1:
+            rank = np.unique(rank, return_inverse=True)[1]
+        step = min(h, n - h)
         after = np.zeros_like(rank)
         after[:-step] = rank[step:] + 1
-        _, rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)
+        rank = rank * (int(rank.max()) + 2) + after
         h += step
     return rank
 
@@ -78,7 +80,7 @@ def intervals(ids: np.ndarray, wanted: np.ndarray, n: int) -> tuple[np.ndarray,
     The suffix array is the order of the ranks. An interval ends where the LCP with the suffix before is below n.
     """
     order = np.flatnonzero(wanted)
-    order = order[np.argsort(ranks(ids, n)[order], kind="stable")]
+    order = order[np.argsort(ranks(ids, n)[order])]
     padded, new = np.concatenate([ids, np.zeros(n, ids.dtype)]), np.zeros(len(order), bool)
     new[:1] = True
     for k in range(n):
@@ -257,11 +259,14 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside_perc
     kept = cand.join(within, "key", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside_percent * F.col("a")))  # both sides have a key once
     order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     rows = kept.select("key.lang", "key.phrase", "a", "l", "r", "score")
-    # A language's best are the best of its parts' best.
+    # Rows lie in ranges of their order; a rank is what is before a range, and the place within it.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
-    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= best)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= best)
+    ordered = cut(rows.repartitionByRange(parts, "lang", *order).withColumn("part", F.spark_partition_id()))
+    sizes = ordered.groupBy("lang", "part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = sizes.withColumn("before", before).where(F.col("before") < best).drop("size")  # a row a range
+    place = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    ranked = ordered.join(heads, ["lang", "part"]).withColumn("rank", F.col("before") + place).where(F.col("rank") <= best)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
