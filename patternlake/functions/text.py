@@ -125,13 +125,13 @@ def quick_words(query: Column) -> Column:
 
 
 def quick_match(words: Column, query_stack: Column, pattern: Column, pattern_stack: Column) -> Column:
-    """Share of a short query's words that occur in a pattern (lower case), raised where both are of one tech stack; 0.03 where the stacks differ."""
+    """Share of a short query's words that occur in a pattern (lower case), raised where both are of one tech stack; 0.03 where the stacks differ, 0 without words that count."""
     known = (query_stack != "unknown") & (pattern_stack != "unknown")
     factor = F.when(known & (query_stack == pattern_stack), 1.5).otherwise(1.0)
     total = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.when(F.octet_length(w) >= 4, 2.0).otherwise(1.0))
     hits = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.when(F.contains(pattern, w), F.when(w.isin(*QUICK_BONUS), 2.0).otherwise(1.0)).otherwise(0.0))
-    share = F.least(hits / F.when(total > 0, total), F.lit(1.0))
-    return F.when(pattern == "", 0.0).when(known & (query_stack != pattern_stack), 0.1 * 0.3).otherwise(F.coalesce(F.least(share * factor, F.lit(2.0)), F.lit(0.0)))
+    share = F.when(total > 0, F.least(F.least(F.try_divide(hits, total), F.lit(1.0)) * factor, F.lit(2.0))).otherwise(0.0)
+    return F.when(pattern == "", 0.0).when(known & (query_stack != pattern_stack), 0.1 * 0.3).otherwise(share)
 
 
 def quick_score(query: Column, pattern: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .nearest import nearest_vectors  # noqa: F401: part of this module's face
 from .patterns import SORTS, score, top_per_type
 
 
@@ -211,25 +212,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 1e-10), dot(a, b) / size).otherwise(0.0)
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2000) -> DataFrame:
-    """queries (query_id, q), a stated set, against all vectors (id, v); query_id, id, sim, place of the k best by cosine, then id.
-
-    Queries are asked in blocks of about block rows, which are broadcast; lengths are taken out of each vector once, and
-    every task keeps its own k best of each query before anything is shuffled.
-    """
-    asked, own = queries.select("query_id", unit(F.col("q")).alias("q")), vectors.select("id", unit(F.col("v")).alias("v"))
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        sim = F.when(F.size("q") == F.size("v"), F.round(dot(F.col("q"), F.col("v")), 6)).otherwise(0.0)
-        pairs = own.join(F.broadcast(some), F.lit(True)).select("query_id", "id", F.coalesce(sim, F.lit(0.0)).alias("sim"))  # about block rows
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "id"))
-        best = pairs.withColumn("place", place).where(F.col("place") <= k)
-        out = best if out is None else out.union(best)
-    return out
-
-
 def with_context(near: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Of each query's nearest (query_id, id, place), of which more than k were sought, the first k that rows (id) still have, with rows' columns."""
     met = near.join(rows, "id")

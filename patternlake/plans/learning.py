@@ -307,6 +307,12 @@ def q29_skills(spark, d):
     return C.skills(learned(spark, d))
 
 
+@query()
+def q29c_skill_members(spark, d):
+    """Which patterns each cluster holds, a row each."""
+    return C.clusters(learned(spark, d))
+
+
 @query()
 def q29b_skills_by_type(spark, d):
     return C.skills(learned(spark, d)).groupBy("tool_type").agg(F.count("*").alias("skills"), F.sum("pattern_count").alias("patterns"))

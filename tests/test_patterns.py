@@ -4,11 +4,12 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from patternlake.functions import sanitize, text, vectors
-from patternlake.operators import consolidate, graph, learn, patterns, reflect, replicas, retrieve, sessions
+from patternlake.operators import consolidate, graph, learn, nearest, patterns, reflect, replicas, retrieve, sessions
 from patternlake.sources import appended, bundles, logs
 from patternlake.streaming import accumulate
 
@@ -277,7 +278,7 @@ def test_merge_and_skills(spark):
     got = {r["tool_type"]: r for r in consolidate.skills(p).collect()}
     assert set(got) == {"Bash", "Edit"}
     s = got["Bash"]
-    assert (s["name"], s["pattern_count"], s["total_success"], s["total_failure"], s["pattern_ids"], s["description"]) == ("Bash (cargo) - Build project", 2, 18, 1, [1, 2], "cargo build --release")
+    assert (s["name"], s["pattern_count"], s["total_success"], s["total_failure"], s["leader"], s["description"]) == ("Bash (cargo) - Build project", 2, 18, 1, 1, "cargo build --release")
     assert got["Edit"]["name"] == "Edit - Refactor everything now" and got["Edit"]["pattern_count"] == 1
     short = p.where("id = 1").select(F.lit(6).cast("long").alias("id"), F.lit("Read").alias("tool_type"), "category", F.lit("fix bug").alias("context"), "success", "failure", "last_used")
     short = short.unionByName(short.withColumns({"id": F.lit(7).cast("long"), "category": F.lit("py"), "context": F.lit("fix bug in the parser"), "success": F.lit(2).cast("long")}))
@@ -421,8 +422,8 @@ def test_lift_in_parts_equals_one_fold(spark):
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.9, 0.1, 0.0, 0.0]), (3, [0.0, 1.0, 0.0, 0.0]), (4, [0.0] * 4), (5, [1.0])], "id long, v array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "query_id long, q array<float>")
-    for block in (1, 2000):
-        assert [r["id"] for r in retrieve.nearest_vectors(q, v, 2, block).orderBy("place").collect()] == [1, 2]
+    for size in (1, 1 << 20):
+        assert [r["id"] for r in retrieve.nearest_vectors(q, v, 2, size).orderBy("place").collect()] == [1, 2]
     assert [r["v"] for r in v.orderBy("id").select(vectors.from_bytes(vectors.to_bytes(F.col("v"))).alias("v")).collect()] == [r["v"] for r in v.orderBy("id").collect()]
     index = v.where("id < 4")
     assert vectors.index_add(index, v.where("id in (3, 4)"), 4).count() == 4 and vectors.index_remove(index, v.where("id = 1").select("id")).count() == 2 and vectors.index_bytes(3, 4) == 12 + 24 + 48
@@ -435,6 +436,35 @@ def test_vectors(spark):
     assert best["id"] == 1 and best["score"] == pytest.approx(best["sim"] * 0.75, abs=1e-4)
 
 
+def test_nearest_equals_all_products(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, (centres[i % 12] + 0.1 * rng.normal(size=8)).tolist()) for i in range(900)]
+    rows += [(900, rows[5][1]), (901, None), (902, []), (903, [0.0] * 8), (904, [1.0] * 3), (905, [float("nan")] * 8)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    q = v.where("id % 50 = 0 or id > 900").selectExpr("id as query_id", "v as q")
+    m = {i: np.array(x) / max(np.linalg.norm(x), 1e-300) if x and len(x) == 8 and 1e-10 < np.linalg.norm(x) < 1e9 else np.zeros(8) for i, x in rows}
+    m[904] = np.zeros(8)
+    got = {}
+    for r in retrieve.nearest_vectors(q, v, 7, 800).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["sim"], 6)))
+    assert len(got) == q.count()
+    for i, found in got.items():
+        sims = {j: round(float(m[i] @ m[j]), 6) for j in m} if i != 904 else {j: float(j == 904) for j in m}
+        assert found == [(j, pytest.approx(sims[j], abs=1e-6)) for j in sorted(sims, key=lambda j: (-sims[j], j))[:7]]
+    assert retrieve.nearest_vectors(q.limit(0), v, 3).count() == 0 and retrieve.nearest_vectors(q, v.limit(0), 3).count() == 0
+
+
+def test_groups_that_are_far_are_passed_over():
+    rng = np.random.default_rng(1)
+    rows = np.repeat(rng.normal(size=(20, 16)), 100, axis=0) + 0.01 * rng.normal(size=(2000, 16))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    best = nearest.Best(rows[::50], 5)
+    for lo in (0, 1000):
+        best.add(np.arange(lo, lo + 1000), rows[lo : lo + 1000])
+    assert best.compared < 40 * 2000 / 2
+
+
 def test_log_events_and_lines(spark, tmp_path):
     (tmp_path / "p").mkdir()
     lines = [
