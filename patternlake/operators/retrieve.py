@@ -269,3 +269,62 @@ def hash_embed(dimensions: int = 384):
         return texts.map(one)
 
     return embed
+
+
+#: Tools whose stored type has another name, hits by vector, candidates by type, lines shown and the score they must pass.
+RENAMED = {"edit": "Edit", "bash": "Bash", "task": "Task", "read": "Read"}
+BY_VECTOR, BY_TYPE, SHOWN, PASSED = 5, 10, 3, 0.35
+
+
+def input_query(tool: Column, raw: Column) -> Column:
+    """What a tool's raw JSON input asks for: its command's first word, else its file; nested inputs go first."""
+    from .learn import field
+
+    def told(prefix: str) -> Column:
+        command, path = field(raw, f"{prefix}command"), field(raw, f"{prefix}file_path")
+        bash = F.concat(F.lit("Bash "), F.coalesce(T.first_word(command), F.lit("")))
+        return F.when(command.isNotNull(), bash).when(path.isNotNull(), F.concat(F.lit("Editing "), T.extension(path), F.lit(" file "), T.file_name(path)))
+
+    return F.coalesce(told("input."), told(""), F.concat(F.lit("Tool: "), tool))
+
+
+def first_line(text: Column, n: int = 100) -> Column:
+    """A text's first line in n bytes, with dots where it is longer."""
+    line = F.get(F.split(text, r"\r?\n"), F.lit(0))
+    return F.when(F.octet_length(line) <= n, line).otherwise(F.concat(T.byte_truncate(line, n - 3), F.lit("...")))
+
+
+def two_stage(asks: DataFrame, patterns: DataFrame, vectors: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Retrieval in two stages for asks (query_id, tool, input), a stated set: query_id, place, id, tool_type, score, rate, line.
+
+    With vectors (id, v) of patterns and asked (query_id, q) of the asks, an ask's BY_VECTOR nearest patterns are its
+    hits, whatever their type, with their id as score. Asks without a hit get the first SHOWN of their type's BY_TYPE
+    best that score above PASSED, with their counters' difference as score. rate is in percent, 0 without uses.
+    Conflicts are not asked.
+    """
+    share = F.when(F.col("success") + F.col("failure") > 0, 100.0 * F.col("success") / (F.col("success") + F.col("failure"))).otherwise(0.0)
+    told = (F.col("tool_type"), F.bround(share, 0).cast("long").alias("rate"), first_line(F.col("context")).alias("line"))
+    hits = None
+    if vectors is not None and asked is not None:
+        near = nearest_vectors(asked.join(asks.select("query_id"), "query_id", "left_semi"), vectors, 2 * BY_VECTOR)
+        hits = with_context(near, patterns, BY_VECTOR).select("query_id", "place", "id", *told[:1], F.col("id").alias("score"), *told[1:])
+        asks = asks.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    kind = F.col("tool")
+    for name, stored in RENAMED.items():
+        kind = F.when(F.col("tool") == name, stored).otherwise(kind)
+    # Equal asks are scored once.
+    typed = asks.select("query_id", kind.alias("tool_type"), input_query(F.col("tool"), F.col("input")).alias("query"))
+    best = hinted(with_features(top_per_type(patterns, BY_TYPE)).select("tool_type", "id", "context", "success", "failure", "rank", "pf"))
+    met = typed.select("tool_type", "query").distinct().withColumn("qf", T.features(F.col("query"))).join(best, "tool_type").where(T.lexical_score(F.col("qf"), F.col("pf")) > PASSED)
+    place = F.row_number().over(Window.partitionBy("tool_type", "query").orderBy("rank", "id"))
+    shown = met.withColumn("place", place).where(F.col("place") <= SHOWN).select("query", "place", "id", *told[:1], score().alias("score"), *told[1:])
+    found = typed.join(shown, ["tool_type", "query"]).select("query_id", "place", "id", "tool_type", "score", "rate", "line")
+    return found if hits is None else hits.unionByName(found)
+
+
+def two_stage_block(found: DataFrame, asks: DataFrame, tag: str = "context") -> DataFrame:
+    """query_id, text: what is shown before each ask's input, in a tag; the input alone where nothing is found."""
+    line = F.concat(F.lit("- **"), "tool_type", F.lit("** (score: "), F.col("score").cast("string"), F.lit(", "), F.col("rate").cast("string"), F.lit("% success rate)\n  "), "line")
+    folded = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("x"))  # BY_VECTOR rows at most
+    block = F.concat(F.lit(f"<{tag}>\n**Relevant patterns from previous successful operations:**\n\n"), F.array_join(F.transform("x", lambda y: y["line"]), "\n\n"), F.lit(f"\n</{tag}>\n\n"))
+    return asks.join(folded, "query_id", "left").select("query_id", F.concat(F.coalesce(block, F.lit("")), "input").alias("text"))
