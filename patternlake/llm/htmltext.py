@@ -2,7 +2,8 @@
 
 A page is a row of tokens, words and tags. Words score by how likely their surroundings hold content: the landmarks they
 are within, the words in these elements' class, id and role, the nearest weighing most, and what their block is like (its
-element, its length, how much of it is links). Tags score negatively, less so within one element that is marked as
+element, its length, how much of it is links); a heading scores as what it heads, an item of a list as the text it goes
+on with. Tags score negatively, less so within one element that is marked as
 content. The weights of both are learned from labelled pages. One linear scan finds the contiguous region with the greatest sum. Within it, blocks whose words don't score,
 such as an advert in the middle of an article, are left out.
 """
@@ -27,6 +28,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input", "button"}
 #: Elements that tell of themselves what they hold; others tell by class, id and role alone. Those of an article are told from the page's.
 LANDMARKS = {"article", "aside", "dialog", "footer", "form", "header", "main", "menu", "nav"}
+#: Headings, and items of lists.
+HEADINGS, ITEMS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"li", "dd", "dt"}
 #: An element that its opening closes, where it is the innermost block.
 CLOSES = {
     "p": {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"},
@@ -182,6 +185,22 @@ def mostly_form(page: list[Block]) -> set[Level]:
     return {x for x, n in held.items() if 2 * n > sum(b.words for b in page)}
 
 
+def goes_on(page: list[Block], i: int) -> bool:
+    """Whether a block is an item of a list, and no link, that goes on with the block before."""
+    b, before = page[i], page[i - 1]
+    return bool(i and b.traits and before.traits) and b.traits[0] in ITEMS and b.levels == before.levels and not {"links"} & {*b.traits, *before.traits}
+
+
+def heads(page: list[Block], i: int) -> bool:
+    """Whether a block is the heading of the next: in the same elements, or right before the element that the next is in, if that has no heading of its own."""
+    if i + 1 >= len(page):
+        return False
+    b, after = page[i], page[i + 1]
+    if not b.traits or not after.traits or b.traits[0] not in HEADINGS or "links" in b.traits:
+        return False
+    return b.levels == after.levels or after.traits[0] not in HEADINGS and b.levels == after.levels[len(after.levels) - len(b.levels) :]
+
+
 class Scorer:
     """Weights learned from labelled pages: of marks (the features of levels), of traits, and the costs of tags."""
 
@@ -223,14 +242,22 @@ class Scorer:
         return [(*b.traits, "beside") if rest and m <= 1 else b.traits for b, m in zip(page, marked)]
 
     def words(self, page: list[Block]) -> list[float]:
-        """Score of a word in each block, from 0, where content is less likely than not, to 1."""
-        totals = [m + sum(max(-1.5, min(1.5, self.traits.get(t, 0.0))) / (1 if t == "beside" else 2) for t in own) for m, own in zip(self.levels(page), self.described(page))]
-        return [max(0.0, math.tanh(x / 2)) if b.traits else 0.0 for b, x in zip(page, totals)]
+        """Score of a word in each block, from 0, where content is less likely than not, to 1. A heading scores no less than what it heads, an item of a list no less than the text that the list follows."""
+        limit = lambda t, x: x if t == "beside" else max(-1.5, min(1.5, x)) / 2
+        totals = [m + sum(limit(t, self.traits.get(t, 0.0)) for t in own) for m, own in zip(self.levels(page), self.described(page))]
+        out = [max(0.0, math.tanh(x / 2)) if b.traits else 0.0 for b, x in zip(page, totals)]
+        for i in range(1, len(page)):  # in page order: an item hands its score on
+            if goes_on(page, i):
+                out[i] = max(out[i], out[i - 1])
+        for i in range(len(page) - 2, -1, -1):
+            if heads(page, i):
+                out[i] = max(out[i], out[i + 1])
+        return out
 
     def tags(self, page: list[Block]) -> list[float]:
-        """Score of a tag before each block: less negative where it lies, as the block before does, within the same element that is marked as content."""
+        """Score of a tag before each block: less negative where it lies, as the block before does, within the same element that is marked as content, and between a heading and what it heads or the items of a list."""
         holders = [{x for x in b.levels if self.marked((x.features,)) > 1} for b in page]
-        return [self.inner_tag if i and own & holders[i - 1] else self.tag for i, own in enumerate(holders)]
+        return [self.inner_tag if i and (own & holders[i - 1] or goes_on(page, i) or heads(page, i - 1)) else self.tag for i, own in enumerate(holders)]
 
     def tokens(self, page: list[Block]) -> list[float]:
         """Scores of a page's tokens, two sums a block: of the tags before it, and of its words."""

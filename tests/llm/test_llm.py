@@ -224,6 +224,10 @@ def test_main_text_equals_brute_force_on_unseen_layouts():
     assert wrong <= 0.03 * total and loose > 1.5 * wrong  # without the region, much more is taken in
 
 
+TEXT = "This is a first paragraph of the article with quite some words in it, as articles have them.\nA second one follows and it says more about the same thing, at some length too, so that it counts.\nIt ends."
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in TEXT.split("\n"))
+
+
 @pytest.mark.parametrize(
     "html, want",
     [
@@ -233,6 +237,11 @@ def test_main_text_equals_brute_force_on_unseen_layouts():
         ('<body class="no-sidebar has-comments"><form action=x><article class="post tag-search category-legal"><p>Some words here.</p></article></form>', "Some words here."),
         ('<div class="content has-comments"><p>Some words here.</p><div class="ad">Buy this now</div><p>So.</p></div>', "Some words here.\nSo."),
         ('<article><p>Some words here.</p><p>So.</p></article><section class="comments"><article class="comment"><p>Nice words there.</p></article></section>', "Some words here.\nSo."),
+        (f"<body><h1>Title of page</h1>{PARAGRAPHS}</body>", f"Title of page\n{TEXT}"),
+        (f"<nav><a href=/>Home</a> <a href=/b>News</a></nav><h1>Title</h1>{PARAGRAPHS}", f"Title\n{TEXT}"),
+        (f'<div class="mw-parser-output"><h1>Title</h1>{PARAGRAPHS}<ul><li>One item</li><li>Two</li></ul></div><div id=footer>Copyright</div>', f"Title\n{TEXT}\nOne item\nTwo"),
+        (f'<article><h1>Title</h1>{PARAGRAPHS}</article><div class="discussion"><p>A reader said this is a great article and they like it a lot.</p></div>', f"Title\n{TEXT}"),
+        (f"<h1>Title</h1><article>{PARAGRAPHS}</article>", f"Title\n{TEXT}"),
         ('<main><nav>Menu here</nav><p>Some words here.</p><div hidden>secret words</div><footer>By me</footer></main>', "Some words here."),
     ],
 )
