@@ -10,7 +10,7 @@ lists hold are siblings, so the descent goes on among the components' pivots, wh
 components only; members of near pivots are compared, and components that a link joins are one from then on.
 
 A sample of rows is compared with all others to audit the recall of links; while it is too low, lists are made twice as
-long. The links are the edges at the threshold or above.
+long, and at last all rows are compared. The links are the edges at the threshold or above.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ HOSTED = 64  # guests that a host compares at a time
 BLOCK = 2048  # rows of a component, or of a ball, that are compared with as many at a time
 AUDITED = 2048  # vectors that the audit asks at a time
 SHARE = 50  # vectors whose id it divides are in the audit's sample
-PROVING = 100  # vectors with a link that end the audit
+FEWEST = 512  # vectors in the audit's sample at least
+PASS_BYTES = 64 << 20  # of the sample that are broadcast at a time
 SETTLED = 0.02  # share of near entries that may be new when a descent ends
 ROUNDS = 8  # rounds of a descent
 EDGE = "node long, other long, sim double"
@@ -238,34 +239,36 @@ def bridges(members: DataFrame, roots: DataFrame, vectors: DataFrame, threshold:
 
 
 def true_links(vectors: DataFrame, threshold: float) -> DataFrame:
-    """True links (a, b) of sample vectors a, each compared with all others: those whose id SHARE divides, or where that is fewer than AUDITED, the first of a hash.
+    """node, t: how many links each sample vector has, by comparing it with all others. The sample is all vectors whose id SHARE divides, or where these are fewer than FEWEST, as many, the first by a hash.
 
-    They are asked in blocks of about AUDITED, until PROVING of those asked have a link.
+    The sample is broadcast in as many passes as its bytes ask for; a task compares AUDITED of it at a time.
     """
-    hashed = vectors.select("node", "vector", "first", F.xxhash64("node", F.lit(11)).alias("h"))
+    spark, hashed = vectors.sparkSession, vectors.select("node", "vector", "first", F.xxhash64("node", F.lit(11)).alias("h"))
     asked = cut(hashed.where(F.col("first") % SHARE == 0))
-    if (n := asked.count()) < AUDITED // 4:
-        asked, n = cut(hashed.orderBy("h").limit(AUDITED // 4)), AUDITED // 4
-    parts, seen, truth = -(-n // AUDITED), 0, vectors.sparkSession.createDataFrame([], "a long, b long")
+    if asked.count() < FEWEST:
+        asked = cut(hashed.orderBy("h").limit(FEWEST))
+    row = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("size")).first()
+    passes, truth = max(1, -(-row["n"] * 8 * (row["size"] or 1) // PASS_BYTES)), None
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows = shared.value
+        counts = np.zeros(len(ids), np.int64)
         for batch in batches:
-            node, sims = np.asarray(batch.column(0)), matrix(batch.column(1)) @ rows.T
-            i, j = np.nonzero((sims >= threshold) & (node[:, None] != ids[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[j], pa.int64()), pa.array(node[i], pa.int64())], names=["a", "b"])
-
-    for part in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("node", F.lit(12)), F.lit(parts)) == part).select("node", "vector").toPandas()
-        if block.empty:
+            node, own = np.asarray(batch.column(0)), matrix(batch.column(1))
+            for lo in range(0, len(ids), AUDITED):
+                some = slice(lo, lo + AUDITED)
+                counts[some] += ((own @ rows[some].T >= threshold) & (node[:, None] != ids[None, some])).sum(axis=0)
+        held = counts > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held], pa.int64()), pa.array(counts[held], pa.int64())], names=["node", "t"])
+
+    for part in range(passes):
+        block = asked.where(F.pmod(F.xxhash64("node", F.lit(12)), F.lit(passes)) == part).select("node", "vector").toArrow()
+        if not block.num_rows:
             continue
-        rows = np.array(block["vector"].tolist(), dtype=np.float64)
-        shared = vectors.sparkSession.sparkContext.broadcast((block["node"].to_numpy(), rows / np.linalg.norm(rows, axis=1, keepdims=True)))
-        found = cut(vectors.select("node", "vector").mapInArrow(ask, "a long, b long"))
-        truth, seen = truth.union(found), seen + found.select("a").distinct().count()
-        if seen >= PROVING:
-            break
-    return cut(truth.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("t")))
+        shared = spark.sparkContext.broadcast((np.asarray(block["node"]), matrix(block["vector"].combine_chunks())))
+        found = cut(vectors.select("node", "vector").mapInArrow(ask, "node long, t long").groupBy("node").agg(F.sum("t").alias("t")))
+        truth = found if truth is None else truth.union(found)
+    return truth if truth is not None else spark.createDataFrame([], "node long, t long")
 
 
 def audit(found: DataFrame, truth: DataFrame) -> float | None:
@@ -300,6 +303,23 @@ def link(graph: DataFrame, vectors: DataFrame, threshold: float, k: int, trees:
     return Linked(roots, cut(plain.select("a", "b")), members)
 
 
+def all_links(vectors: DataFrame, threshold: float) -> Linked:
+    """All links of vectors (node, weight, vector), by comparing all blocks of rows with one another: the exact way, whose work grows with the square of the rows."""
+    members = cut(vectors.select("node", F.lit(0).cast("long").alias("root"), "weight", "vector"))
+    met = blocked(members, "root").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "vector")
+
+    def join(table: pa.Table) -> pa.Table:
+        node, rows, left = np.asarray(table["node"]), matrix(table["vector"].combine_chunks()), np.asarray(table["block"]) == table["i"][0].as_py()
+        right = ~left if table["i"][0] != table["j"][0] else left
+        i, j = forest(rows[left] @ rows[right].T >= threshold)
+        return pa.table({"a": node[left][i], "b": node[right][j]})
+
+    found = met.groupBy("i", "j").applyInArrow(join, "a long, b long").where("a <> b")
+    roots = components(cut(found))
+    return Linked(roots, found.limit(0), members)
+
+
 def near_vectors(embeddings: DataFrame, threshold: float = 0.95, k: int = 12, trees: int = 4, min_recall: float = 0.98, max_doublings: int = 4) -> DataFrame:
     """Link the rows of embeddings (vec_id, embedding) by cosine.
 
@@ -309,7 +329,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, k: int = 12, tr
     and counted each; repeated ids stay repeated, and all of them that equal the component's smallest are kept. A null
     vec_id is never kept; component_id is null where all ids are. Other columns are not read. An empty table gives no rows.
     min_recall is asked of the audit, whose links are not added to the result; the recall is logged. Below it, lists of
-    k are made twice as long, max_doublings times at most; if it is then still too low, that is an error.
+    k are made twice as long, max_doublings times at most; if it is then still too low, all rows are compared with one
+    another, in blocks.
     """
     value = F.col("embedding") if dict(embeddings.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     fine = value.isNotNull() & (F.size(value) > 0) & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
@@ -340,7 +361,9 @@ def near_of_one_length(rows: DataFrame, threshold: float, k: int, trees: int, mi
             break
         k *= 2
     else:
-        raise ValueError(f"recall of links is {recall} with lists of {k // 2}, below {min_recall}")
+        log.warning("recall of links is %s with lists of %s, below %s: all rows are compared", recall, k // 2, min_recall)
+        linked = all_links(vectors, threshold)
+        counts = cut(block_links(linked.members, threshold))
     placed = vectors.select("node", "weight", "first").join(linked.roots, "node", "left").join(counts.select("node", "w"), "node", "left")
     placed = cut(placed.select("node", "weight", "first", F.coalesce("root", "node").alias("root"), F.coalesce("w", F.lit(0)).alias("w")))
     named = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")))

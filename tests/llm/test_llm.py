@@ -346,6 +346,36 @@ def test_near_vectors_of_two_lengths_and_audit(spark):
     assert neighbours.audit(found, spark.createDataFrame([(0, 2)], "node long, t long")) == 0.5
 
 
+def test_what_the_audit_never_accepts_is_compared_exactly(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 12))
+    rows = [(i, (centres[i % 30] + 0.12 * rng.normal(size=12)).tolist()) for i in range(400)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (x @ x.T >= 0.95) & ~np.eye(400, dtype=bool)
+    out = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), min_recall=1.5, max_doublings=0).collect()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out}
+    assert linked.any() and {i: n for i, (n, _) in got.items()} == dict(enumerate(linked.sum(axis=1).tolist()))
+    root = np.arange(400)
+    while True:
+        new = np.where(linked, root[None, :], 400).min(axis=1, initial=400)
+        new = np.minimum(root, new)
+        if (new == root).all():
+            break
+        root = new
+    assert {i: c for i, (_, c) in got.items()} == dict(enumerate(root.tolist()))
+
+
+def test_the_audit_asks_all_of_its_sample(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PASS_BYTES", 4000)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(700, 6)), 2, axis=0) + 1e-3 * rng.normal(size=(1400, 6))
+    v = spark.createDataFrame([(i, a.tolist(), 50 * i) for i, a in enumerate(x)], "node long, vector array<double>, first long")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T >= 0.95) & ~np.eye(1400, dtype=bool)).sum(axis=1)
+    assert {r["node"]: r["t"] for r in neighbours.true_links(v, 0.95).collect()} == {i: n for i, n in enumerate(want.tolist()) if n}
+
+
 def test_near_vectors_with_null_and_repeated_ids(spark):
     v = [[1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
     rows = [(None, v[0]), (5, v[1]), (5, v[1]), (None, v[2]), (7, v[3]), (None, None)]
