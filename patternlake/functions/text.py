@@ -202,3 +202,9 @@ def labelled(text: Column, label: str, least: int) -> Column:
 def long_words(text: Column) -> Column:
     """Distinct words of 3 bytes or more."""
     return F.array_distinct(F.filter(space_words(text), lambda w: F.octet_length(w) >= 3))
+
+
+def version(text: Column) -> Column:
+    """The first three numbers of a version as a struct that orders as versions do; parts that are no numbers are passed over, missing ones are 0."""
+    digits = F.filter(F.split(text, r"\."), lambda p: F.rlike(p, F.lit(r"^[0-9]{1,10}$")))
+    return F.struct(*(F.coalesce(F.get(digits, F.lit(i)).cast("long"), F.lit(0)).alias(f"v{i}") for i in range(3)))

@@ -52,11 +52,11 @@ def category(tool: Column, tool_input: Column) -> Column:
     return F.when(found != "", found)
 
 
-def context(tool: Column, tool_input: Column) -> Column:
-    """What a call does, in words."""
+def context(tool: Column, tool_input: Column, path_too: bool = False) -> Column:
+    """What a call does, in words. An edit's file is told by file_path, and with path_too by path where that is missing, as reflection reads it."""
     get = lambda default, *names: F.coalesce(field(tool_input, *names), F.lit(default))
     cut, join = T.byte_truncate, lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    path = get("unknown", "file_path")
+    path = get("unknown", "file_path", *(("path",) if path_too else ()))
     ext, old, told = T.extension(path), cut(get("", "old_string"), 40), get("", "description")
     signs = join(ext, " ", F.coalesce(F.try_element_at(literal_map(STACK_WORDS), ext), F.lit("")))
     edit = F.when(old != "", join(signs, " editing ", T.file_name(path), " (replacing '", old, "')")).otherwise(join(signs, " writing to ", T.file_name(path)))

@@ -43,6 +43,27 @@ def upsert(table: DataFrame, news: DataFrame, key: str = "key") -> DataFrame:
     return both.groupBy(key).agg(F.min(F.struct("age", "label"))["label"].alias("label"), F.sum("success").alias("success"), F.sum("failure").alias("failure"))
 
 
+def count_outcomes(table: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """table with outcomes (id, success boolean) of uses added to its counters; those of unknown ids change nothing. Outcomes are counted before they meet the table."""
+    sums = outcomes.groupBy("id").agg(F.count_if("success").alias("up"), F.count_if(~F.col("success")).alias("down"))
+    more = {c: F.col(c) + F.coalesce(d, F.lit(0)) for c, d in (("success", "up"), ("failure", "down"))}
+    return table.join(sums, "id", "left").withColumns(more).drop("up", "down")
+
+
+def save_bucketed(table: DataFrame, name: str, path: str, key: str = "key", buckets: int = 64) -> DataFrame:
+    """table in files by hash of its key, as a catalogue's table; upsert() into what this returns leaves its rows where they lie."""
+    table.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return table.sparkSession.table(name)
+
+
+def upsert_bucketed(table: DataFrame, news: DataFrame, key: str = "key") -> DataFrame:
+    """upsert() for a table that save_bucketed() saved and that has each key once: only the news are counted and shuffled, into the table's buckets."""
+    new = news.groupBy(key).agg(F.min("label").alias("label"), F.sum("success").alias("success"), F.sum("failure").alias("failure"))
+    both = table.select(key, "label", "success", "failure").alias("t").join(new.hint("merge").alias("n"), F.col(f"t.{key}") == F.col(f"n.{key}"), "full")
+    total = lambda c: (F.coalesce(f"t.{c}", F.lit(0)) + F.coalesce(f"n.{c}", F.lit(0))).alias(c)
+    return both.select(F.coalesce(f"t.{key}", f"n.{key}").alias(key), F.when(F.col(f"t.{key}").isNotNull(), F.col("t.label")).otherwise(F.col("n.label")).alias("label"), total("success"), total("failure"))
+
+
 def stale(now: str, days: int) -> Column:
     return F.col("last_used").isNull() | (F.col("last_used") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from . import learn as L
 from . import sessions as N
-from .retrieve import scored
+from .retrieve import hinted, scored
 
 #: What an error's output contains, and what tells that it is code; "::" counts together with "{".
 FORMATS = ("error:", "error[", "failed:", "fatal:", "panic:", "exception:")
@@ -61,26 +62,35 @@ def trajectory_hash() -> Column:
     return F.md5(F.concat_ws("\0", "session_id", "user_query", F.to_json("tool_calls")).cast("binary"))
 
 
-def matched(trajectories: DataFrame, patterns: DataFrame, per_type: int = 20, least: float = 0.05) -> DataFrame:
-    """session_id, pattern_id: of the per_type best patterns of a trajectory's first tool the one that scores highest against the call's context, the best ranked of equals, if above least."""
+def first_call(trajectories: DataFrame) -> DataFrame:
+    """Adds tool_type and query of each trajectory's first call, null without calls."""
     first = F.get("tool_calls", F.lit(0))
-    asked = trajectories.where(F.size("tool_calls") > 0).select(F.col("session_id").alias("query_id"), first["tool_name"].alias("tool_type"), L.context(first["tool_name"], first["tool_input"]).alias("query"))
-    met = scored(asked, patterns, per_type).where(F.col("sim") > least)
-    return met.groupBy(F.col("query_id").alias("session_id")).agg(F.min_by("id", F.struct((-F.col("sim")).alias("s"), "rank", "id")).alias("pattern_id"))
+    return trajectories.withColumns({"tool_type": first["tool_name"], "query": L.context(first["tool_name"], first["tool_input"], path_too=True)})
+
+
+def matched(asked: DataFrame, patterns: DataFrame, per_type: int = 20, least: float = 0.05) -> DataFrame:
+    """tool_type, query, pattern_id: of a type's per_type best patterns the one that scores highest against a query (asked: tool_type, query, each once), the best ranked of equals, if above least."""
+    met = scored(asked.where("tool_type is not null"), patterns, per_type).where(F.col("sim") > least)
+    return met.groupBy("tool_type", "query").agg(F.min_by("id", F.struct((-F.col("sim")).alias("s"), "rank", "id")).alias("pattern_id"))
 
 
 def verdicts(trajectories: DataFrame, patterns: DataFrame) -> DataFrame:
-    """A verdict on each trajectory: trajectory_hash, session_id, pattern_id (null if none matches), verdict, confidence, impact, root_cause."""
-    o = outcomes(trajectories)
+    """A verdict on each trajectory: trajectory_hash, session_id, pattern_id (null if none matches), verdict, confidence, impact, root_cause.
+
+    Trajectories are read once; what their first calls ask is scored once where it repeats.
+    """
+    o = first_call(outcomes(trajectories))
     conf, tried, severe = F.col("confidence"), F.col("retries") > 0, F.exists("error_types", lambda t: N.severity(t) >= SEVERE)
     reduced = conf * F.greatest(F.lit(1.0) - F.col("retries") * 0.1, F.lit(0.3))
     failed, bad = ~F.col("success"), F.size("error_types") > 0
     kind = F.when(F.col("success"), "EFFECTIVE").when(F.col("abandoned"), "INEFFECTIVE").when(bad & severe, "HARMFUL").when(bad, "INEFFECTIVE").otherwise("NEUTRAL")
     own = F.when(F.col("success") & tried, reduced).when(F.col("success") | F.col("abandoned") | (bad & severe), conf).when(bad, conf * 0.8).otherwise(1.0)
     boost = F.when(tried, BOOST // 2).otherwise(BOOST)
-    rows = o.select("session_id", trajectory_hash().alias("trajectory_hash"), kind.alias("verdict"), own.alias("confidence"), boost.alias("boost"), F.when(failed & ~F.col("abandoned") & bad & severe, root_cause(F.col("error_types"))).alias("root_cause"))
+    cause = F.when(failed & ~F.col("abandoned") & bad & severe, root_cause(F.col("error_types")))
+    rows = cut(o.select("session_id", trajectory_hash().alias("trajectory_hash"), kind.alias("verdict"), own.alias("confidence"), boost.alias("boost"), cause.alias("root_cause"), "tool_type", "query"))
     rows = rows.withColumn("impact", N.score_impact(F.col("verdict"), F.col("confidence"), F.col("boost"), PENALTY))
-    return rows.join(matched(trajectories, patterns), "session_id", "left").select("trajectory_hash", "session_id", "pattern_id", "verdict", "confidence", "impact", "root_cause")
+    found = hinted(cut(matched(rows.select("tool_type", "query").distinct(), patterns)))
+    return rows.join(found, ["tool_type", "query"], "left").select("trajectory_hash", "session_id", "pattern_id", "verdict", "confidence", "impact", "root_cause")
 
 
 def reflect(trajectories: DataFrame, patterns: DataFrame, stored: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:

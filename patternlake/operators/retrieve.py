@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import cut
 from .nearest import nearest_vectors  # noqa: F401: part of this module's face
 from .patterns import SORTS, score, top_per_type
 
@@ -54,6 +55,15 @@ def retrieve(queries: DataFrame, patterns: DataFrame, per_type: int = 8, k: int
 
 
 def inject(queries: DataFrame, patterns: DataFrame, conflicts: DataFrame, per_type: int = 8, k: int = 3, threshold: float = 0.35) -> DataFrame:
+    """inject_texts() for queries (query_id, tool, query) whose texts may repeat: each text is asked once."""
+    texts = cut(queries.select("tool", "query").distinct().withColumn("text_id", F.monotonically_increasing_id()))
+    found = inject_texts(texts.withColumnRenamed("text_id", "query_id"), patterns, conflicts, per_type, k, threshold)
+    same = F.col("q.tool").eqNullSafe(F.col("t.tool")) & F.col("q.query").eqNullSafe(F.col("t.query"))
+    asked = queries.alias("q").join(hinted(texts).alias("t"), same).select("q.query_id", "t.text_id")
+    return asked.join(hinted(cut(found.withColumnRenamed("query_id", "text_id"))), "text_id").select("query_id", "place", "id", "generic")
+
+
+def inject_texts(queries: DataFrame, patterns: DataFrame, conflicts: DataFrame, per_type: int = 8, k: int = 3, threshold: float = 0.35) -> DataFrame:
     """Retrieval in full for queries (query_id, tool, query): query_id, place, id, generic.
 
     A tool's types give per_type best patterns each, in the order of the types, and twice per_type in all. Those that
@@ -162,14 +172,17 @@ def term_scores(queries: DataFrame, texts: DataFrame, max_bytes: int = 64 << 20)
     parts = lambda df, key, text, name: df.select(key, F.explode(T.counted(T.tokens(F.col(text)))).alias("x")).select(key, F.col("x.term").alias("term"), weight.alias(name))
     asked = parts(queries, "query_id", "query", "q")
     norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.pow("q", F.lit(2)))).alias("norm"))
-    stacks = queries.select("query_id", T.tech_stack(F.col("query")).alias("a"), F.lower("query").alias("low_q"))
+    first = F.filter(F.slice(T.space_words(F.lower("query")), 1, 5), lambda w: F.octet_length(w) >= 4)
+    asks = norms.join(queries.select("query_id", T.tech_stack(F.col("query")).alias("a"), first.alias("first")), "query_id")
     dots = parts(texts, "id", "text", "t").join(hinted(asked, max_bytes), "term").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("t")).alias("dot"))
-    met = dots.join(norms.join(stacks, "query_id"), "query_id").join(texts.select("id", T.tech_stack(F.col("text")).alias("b"), F.lower("text").alias("low_t")), "id")
+    met = dots.join(asks, "query_id").join(texts.select("id", T.tech_stack(F.col("text")).alias("b")), "id")
     known = (F.col("a") != "unknown") & (F.col("b") != "unknown")
     factor = F.when(known & (F.col("a") == F.col("b")), 1.5).when(known, 0.3).otherwise(1.0)
-    common = F.exists(F.slice(T.space_words(F.col("low_q")), 1, 5), lambda w: (F.octet_length(w) >= 4) & F.contains(F.col("low_t"), w))
-    sim = F.when(known & (F.col("a") != F.col("b")) & ~common, 0.015).otherwise(F.col("dot") / F.col("norm") * factor)
-    return met.select("query_id", "id", F.round(sim, 4).alias("sim"))
+    scored_ = cut(met.select("query_id", "id", (F.col("dot") / F.col("norm") * factor).alias("sim"), F.when(known & (F.col("a") != F.col("b")), F.col("first")).alias("first")))
+    # Only where stacks differ does a text count beside its terms.
+    common = F.exists("first", lambda w: F.contains(F.lower("text"), w))
+    differ = scored_.where("first is not null").join(texts.select("id", "text"), "id").select("query_id", "id", F.when(common, F.col("sim")).otherwise(0.015).alias("sim"))
+    return scored_.where("first is null").select("query_id", "id", "sim").union(differ).select("query_id", "id", F.round("sim", 4).alias("sim"))
 
 
 def hinted(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:

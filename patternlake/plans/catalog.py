@@ -446,8 +446,7 @@ def q41_visibility(spark, d):
 def q42_version_compare(spark, d):
     third = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit("."), F.col("p_size") % 11))
     v = V.table(spark, d, "part").select("p_partkey", F.concat(F.col("p_size") % 4, F.lit("."), F.col("p_size") % 7, third).alias("v"))
-    n = lambda i: F.coalesce(F.try_element_at(F.split("v", "\\."), F.lit(i)).cast("int"), F.lit(0))
-    return v.select("p_partkey", "v", (F.struct(n(1), n(2), n(3)) > F.struct(F.lit(1), F.lit(4), F.lit(2))).alias("newer"))
+    return v.select("p_partkey", "v", (T.version(F.col("v")) > T.version(F.lit("1.4.2"))).alias("newer"))
 
 
 @query(f"""WITH own AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, {SPACES})) AS w FROM documents), theirs AS (SELECT DISTINCT item_id, unnest(string_split_regex(text, {SPACES})) AS w FROM benchmark),

@@ -92,9 +92,9 @@ def sql_category(t: str, i: str) -> str:
         WHEN {t} IN ('Read', 'Glob') THEN {ext('file_path', 'path')} WHEN {t} = 'Task' THEN {sql_field(i, 'subagent_type')} END, '')"""
 
 
-def sql_context(t: str, i: str) -> str:
+def sql_context(t: str, i: str, path_too: bool = False) -> str:
     get = lambda default, *names: f"coalesce({sql_field(i, *names)}, '{default}')"
-    path, old, told, command, sought = get("unknown", "file_path"), f"left({get('', 'old_string')}, 40)", get("", "description"), get("unknown command", "command"), get("", "pattern")
+    path, old, told, command, sought = get("unknown", "file_path", *(("path",) if path_too else ())), f"left({get('', 'old_string')}, 40)", get("", "description"), get("unknown command", "command"), get("", "pattern")
     ext, where = f"string_split({path}, '.')[-1]", f"string_split({get('', 'file_path', 'path')}, '/')[-1]"
     signs = f"{ext} || ' ' || coalesce({sql_map(ext, L.STACK_WORDS)}, '')"
     return f"""CASE WHEN {t} IN ('Edit', 'Write', 'MultiEdit') THEN CASE WHEN {old} <> '' THEN {signs} || ' editing ' || string_split({path}, '/')[-1] || ' (replacing ''' || {old} || ''')' ELSE {signs} || ' writing to ' || string_split({path}, '/')[-1] END
@@ -263,7 +263,7 @@ def q58_outcomes(spark, d):
 
 SQL_FOUND_2 = SQL_LEARNED.split(V.EVENTS_K)[1]
 SQL_VERDICTS = SQL_TRAJECTORIES + SQL_FOUND_2 + f""", firsts AS (SELECT session_id, arg_min(tool_name, event_id) AS tool_type, arg_min(tool_input, event_id) AS tool_input FROM e WHERE is_call GROUP BY 1),
-    q AS (SELECT session_id, tool_type, {sql_context('tool_type', 'tool_input')} AS query FROM firsts),
+    q AS (SELECT session_id, tool_type, {sql_context('tool_type', 'tool_input', True)} AS query FROM firsts),
     sims AS (SELECT session_id, id, rank, {K.sql_quick('query', 'context')} AS sim FROM q JOIN ranked USING (tool_type) WHERE rank <= 20),
     matched AS (SELECT session_id, arg_min(id, (-sim, rank)) AS pattern_id FROM sims WHERE sim > 0.05::DOUBLE GROUP BY 1),
     v AS (SELECT session_id, CASE WHEN success THEN 'EFFECTIVE' WHEN abandoned THEN 'INEFFECTIVE' WHEN errors > 0 AND flagged = 0 THEN 'HARMFUL' WHEN errors > 0 THEN 'INEFFECTIVE' ELSE 'NEUTRAL' END AS verdict,

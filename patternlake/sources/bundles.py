@@ -66,3 +66,10 @@ def import_bundle(spark: SparkSession, path: str, schema: StructType, passphrase
             raise ValueError("the bundle is encrypted")
         lines = lines.select(opened(F.col("value"), derived_key(passphrase, bytes.fromhex(told["salt"]))).alias("value"))
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+
+
+def merge_bundle(spark: SparkSession, path: str, schema: StructType, table: DataFrame, strategy: str = "add", passphrase: str | None = None, failures: str = "failure") -> DataFrame:
+    """A counter table (key, label, success, failure) with a bundle's rows merged in by a strategy of merge_best()."""
+    from ..operators.patterns import merge_best
+
+    return merge_best(table, import_bundle(spark, path, schema, passphrase), strategy, failures=failures)

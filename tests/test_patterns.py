@@ -30,6 +30,30 @@ def test_keep_best_takes_only_better_rates(spark):
     assert {r["key"]: r["success"] for r in patterns.merge_best(old, new, "keep_best").collect()} == {1: 4, 2: 9, 3: 0, 4: 9}
 
 
+def test_upsert_into_buckets_shuffles_the_news_alone(spark, tmp_path):
+    rows = [(i, f"l{i}", i, 1) for i in range(40)]
+    old, news = spark.createDataFrame(rows, "key long, label string, success long, failure long"), spark.createDataFrame([(5, "b", 1, 0), (5, "a", 2, 0), (99, "z", 1, 1)], "key long, label string, success long, failure long")
+    spark.sql("DROP TABLE IF EXISTS counters_of_tests")
+    table = patterns.save_bucketed(old, "counters_of_tests", str(tmp_path / "t"), buckets=4)
+    got = patterns.upsert_bucketed(table, news)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, patterns.upsert(old, news).collect()))
+    plan = patterns.upsert_bucketed(table, news)._jdf.queryExecution().executedPlan().toString()
+    scan = plan[: plan.index("FileScan")]
+    assert plan.count("FileScan") == 1 and "Exchange" not in scan.rsplit("SortMergeJoin", 1)[-1]  # between the table's scan and the join
+    spark.sql("DROP TABLE counters_of_tests")
+
+
+def test_outcomes_are_counted(spark):
+    p = spark.createDataFrame([(1, 5, 1), (2, 0, 0)], "id long, success long, failure long")
+    uses = spark.createDataFrame([(1, True), (1, True), (1, False), (9, True)], "id long, success boolean")
+    assert sorted(map(tuple, patterns.count_outcomes(p, uses).collect())) == [(1, 7, 2), (2, 0, 0)]
+
+
+def test_versions(spark):
+    newer = lambda a, b: spark.range(1).select(text.version(F.lit(a)) > text.version(F.lit(b))).first()[0]
+    assert newer("0.1.1", "0.1.0") and newer("0.2", "0.1.0") and not newer("1.0", "1.0.0") and newer("v1.2.beta.3", "2.2") and not newer("", "0.0.1") and newer("1.10", "1.9")
+
+
 def test_decay_and_prune(spark):
     rows = [(1, 5, 0, None), (2, 5, 0, "2024-01-14 00:00:00"), (3, 0, 0, "2024-01-01 00:00:00"), (4, 0, 4, None)]
     p = spark.createDataFrame(rows, "id long, success long, failure long, u string").withColumn("last_used", F.to_timestamp("u"))
@@ -369,6 +393,14 @@ def test_bundle_round_trip(spark, tmp_path):
     assert bundles.exportable(p.where("1 = 0")).isEmpty() and bundles.exportable(p.withColumn("hash", F.lit("h")), key="hash").where("id = 1").first()["hash"] != "h"
 
 
+def test_a_bundle_is_merged_by_a_strategy(spark, tmp_path):
+    table = spark.createDataFrame([(1, "Bash", 4, 4), (2, "Bash", 1, 0)], "key long, label string, success long, failure long")
+    news = spark.createDataFrame([(1, "Bash", 3, 1), (2, "Bash", 1, 1), (3, "Edit", 1, 0)], table.schema)
+    schema = bundles.export_bundle(news, str(tmp_path / "b"), text="label", passphrase="p")
+    merged = lambda strategy: sorted(map(tuple, bundles.merge_bundle(spark, str(tmp_path / "b"), schema, table, strategy, "p").collect()))
+    assert merged("add") == [(1, "Bash", 7, 5), (2, "Bash", 2, 1), (3, "Edit", 1, 0)] and merged("keep_best") == [(1, "Bash", 7, 5), (2, "Bash", 1, 0), (3, "Edit", 1, 0)]
+
+
 def test_appended_lines_go_on_where_they_stopped(spark, tmp_path, monkeypatch):
     logs_, state = tmp_path / "logs", str(tmp_path / "state")
     (logs_ / "p" / "deep").mkdir(parents=True)
