@@ -11,43 +11,53 @@ from .tokenfile import read_token_file, write_token_file
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all `documents` in sequences. A null text is empty and has its end id alone, repeated rows are packed each, equal ones in any order; other columns are not read, and an empty table gives no rows."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all `documents` as a file's blocks give them back. A null or empty text has its end id alone; a null doc_id goes first, equal ids by their texts' hash; an empty table gives no rows."""
     write_token_file(table(spark, sf_dir, "documents"), path := shared_path(spark, "tokens"))
     return read_token_file(spark, path)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all `documents`. A null or empty text has no words and is not kept; repeated rows give a row each, and an empty table none."""
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("lost_words", "clean_text")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all `pages`. Null or empty html, and pages without content, give an empty text; repeated rows give a row each, and an empty table none."""
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all `documents`. A null text is empty; texts without words have the fingerprint zero and are linked like any other; an empty table gives no rows."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all `embeddings`. Vectors that are null, zero or not finite link with nothing; equal vectors count each; an empty table gives no rows."""
     return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all `documents`. Null texts and those without a letter are `und`; rows without lang, or with a null id, teach nothing; an empty table gives no rows."""
     return language.identify(table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all `documents`. A null text has size 0; a null source is one of its own, the last; of rows that tie by id and size each has its own share by the row's hash; an empty table gives no rows."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all `documents`. A null text is empty and has none; repeated rows give a row each; a null source or lang is a folder of its own; an empty table gives no rows."""
     return licenses.license_of_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all `documents`. A null or empty text has none, and the hash of an empty list; repeated rows give a row each, and an empty table none."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
