@@ -75,18 +75,23 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 4 << 20) -> DataFrame:
     return F.broadcast(df) if size <= max_bytes else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", max_bytes: int = 4 << 20, share: int = 50_000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", max_bytes: int = 4 << 20, share: int = 50_000, always: bool = False) -> DataFrame:
     """left join right on key, where right has every key once at most and left may have few of them very often.
 
     right is broadcast if it is measured to be small. Otherwise, keys that hold more than 1 / share of left's rows are
     dealt over several tasks each, with their row of right repeated; fewer than share keys can, so their list is
-    bounded. Give it cut() tables. how is inner, left or left_semi.
+    bounded. Give it cut() tables. how is inner, left or left_semi. With always, the most frequent key is in that list
+    even where it isn't that frequent, so that the plan is the same with and without hot keys.
     """
     small = broadcast_if_small(right, max_bytes)
     if small is not right:
         return left.join(small, key, how)
     limit = max(256, -(-left.count() // share))
-    hot = left.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("int").alias("parts_"))
+    counts = left.groupBy(key).count()
+    hot = counts.where(F.col("count") > limit)
+    if always:
+        hot = hot.union(counts.orderBy(F.col("count").desc(), key).limit(1)).distinct()
+    hot = hot.select(key, F.ceil(F.col("count") / limit).cast("int").alias("parts_"))
     hot = F.broadcast(cut(hot))
     part = F.coalesce(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in left.columns)), F.col("parts_").cast("long")), F.lit(0).cast("long"))
     dealt = left.join(hot, key, "left").withColumn("part_", part).drop("parts_")

@@ -115,7 +115,7 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
     crowds = cut(graph.groupBy(F.col("other").alias("host")).agg(F.ceil(F.count("*") / HOSTED).cast("int").alias("parts")))
     hosted = spread_join(cut(hosted), crowds, "host", "left")
     hosted = hosted.select("host", "node", F.coalesce(F.pmod(F.xxhash64("node", "host", F.lit(seed)), "parts"), F.lit(0)).alias("part"))
-    met = spread_join(cut(hosted), cut(guests), "node", max_bytes=0)  # a node that very many hold is dealt at every size
+    met = spread_join(cut(hosted), cut(guests), "node", max_bytes=0, always=True)  # a node that very many hold is dealt at every size
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(n, "host", "part").sortWithinPartitions("host", "part").select("host", "part", "node", "root", "floor", "vector")
 
