@@ -104,12 +104,12 @@ def test_session_end(spark, tmp_path):
         assert ended.waiting.count() == waiting and (ended.patterns.count() == 0) == (waiting == 10)
     t = spark.createDataFrame(rows, SCHEMA)
     new = learn.learn_cycle(t, spark.createDataFrame([], accumulate.PATTERNS), spark.createDataFrame([], accumulate.EDGES), NOW)
-    known, edges, skills = consolidate.consolidate(new.patterns.withColumn("id", F.xxhash64("hash")), new.edges, NOW)
-    assert edges.count() > 0 and skills.count() > 0
+    known, kept, skills = consolidate.consolidate(new.patterns.withColumn("id", F.xxhash64("hash")), new.edges, NOW)
+    assert kept.count() > 0 and skills.count() > 0
     again = accumulate.session_end(stream(), base, NOW)  # nothing new: what is stored
     for got in (ended, again):
         assert rows_of(got.patterns, "hash", "tool_type", "context", "success", "failure") == rows_of(known, "hash", "tool_type", "context", "success", "failure")
-        assert rows_of(got.edges, "a", "b", "lift", "co_occurrences") == rows_of(edges, "a", "b", "lift", "co_occurrences")
+        assert rows_of(got.edges, "a", "b", "lift", "co_occurrences") == rows_of(kept, "a", "b", "lift", "co_occurrences")
         assert rows_of(got.skills, "name", "pattern_count") == rows_of(skills, "name", "pattern_count") and got.waiting.count() == 3
         assert [(r["event_type"], r["trajectories"], r["calls"]) for r in got.log.collect()] == [("foreground_learning", 20, 60)]
 
