@@ -482,4 +482,4 @@ def q47_stream_counts(spark, d):
     return accumulate.run_available(stream, shared_path(spark, "counts"), "event_type string, n long", accumulate.count_by("event_type"))
 
 
-from . import learning, reports  # noqa: E402, F401: they register their queries
+from . import learning, reports, talk  # noqa: E402, F401: they register their queries

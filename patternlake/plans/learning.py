@@ -14,6 +14,7 @@ from ..operators import patterns as P
 from ..operators import reflect as X
 from ..operators import retrieve as R
 from ..operators import sessions as N
+from ..operators import similar
 from ..session import cut, shared_path
 from ..sources import appended
 from ..streaming import accumulate
@@ -294,7 +295,7 @@ def q61_demotions(spark, d):
     WHERE (a.failure - a.success, -a.success, a.id) < (b.failure - b.success, -b.success, b.id)) SELECT a, b, round(sim, 6) AS sim FROM s WHERE sim >= 0.5::DOUBLE""")
 def q27_similar_pairs(spark, d):
     """Pairs of a tool type and category that cluster; all of these texts are short enough for the quick score, the other one has tests."""
-    return C.similar_pairs(V.patterns_ctx(spark, d), ("tool_type", "category"), C.CLUSTER, False).select("a", "b", F.round("sim", 6).alias("sim"))
+    return similar.similar_pairs(V.patterns_ctx(spark, d), ("tool_type", "category"), C.CLUSTER, False).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query()
