@@ -151,31 +151,40 @@ def task_category(query: Column) -> Column:
     return out.when(F.octet_length(short) > 40, F.concat(byte_truncate(short, 40), F.lit("..."))).otherwise(short)
 
 
-def term_match(query: Column, query_stack: Column, query_terms: Column, pattern: Column, pattern_stack: Column, pattern_terms: Column) -> Column:
-    """Weighted term frequencies of a long query against a pattern's, over the query's length alone; texts in lower case, the terms counted() of either.
+def term_match(query: Column, pattern: Column) -> Column:
+    """Weighted term frequencies of a long query against a pattern's, over the query's length alone; both features().
 
     Raised where both are of one tech stack and lowered where the stacks differ; then 0.015 if none of the query's
     first five words, of 4 bytes or more, occurs in the pattern.
     """
-    known = (query_stack != "unknown") & (pattern_stack != "unknown")
-    factor = F.when(known & (query_stack == pattern_stack), 1.5).when(known, 0.3).otherwise(1.0)
-    common = F.exists(F.slice(space_words(query), 1, 5), lambda w: (F.octet_length(w) >= 4) & F.contains(pattern, w))
-    weight = lambda x: x["n"] * term_weight(x["term"])
-    ours = F.map_from_arrays(F.transform(pattern_terms, lambda x: x["term"]), F.transform(pattern_terms, weight))
-    dot = let(ours, lambda m: F.aggregate(query_terms, F.lit(0.0), lambda a, x: a + weight(x) * F.coalesce(F.try_element_at(m, x["term"]), F.lit(0.0))))
-    norm = F.sqrt(F.aggregate(query_terms, F.lit(0.0), lambda a, x: a + F.pow(weight(x), F.lit(2))))
-    return F.when(known & (query_stack != pattern_stack) & ~common, 0.05 * 0.3).otherwise(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)) * factor)
+    known = (query["stack"] != "unknown") & (pattern["stack"] != "unknown")
+    other = known & (query["stack"] != pattern["stack"])
+    factor = F.when(other, 0.3).when(known, 1.5).otherwise(1.0)
+    common = F.exists(query["firsts"], lambda w: F.contains(pattern["low"], w))
+    # Zipped maps meet by hash; a look-up in a map would walk it for each term.
+    products = F.map_values(F.map_zip_with(query["weights"], pattern["weights"], lambda _, x, y: x * y))
+    dot = F.aggregate(products, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return F.when(other & ~common, 0.05 * 0.3).otherwise(F.coalesce(F.try_divide(dot, query["norm"]), F.lit(0.0)) * factor)
+
+
+def term_weights(terms: Column) -> Column:
+    """counted() terms as a map of their numbers times their weights."""
+    return F.map_from_entries(F.transform(terms, lambda x: F.struct(x["term"], (x["n"] * term_weight(x["term"])).alias("w"))))
 
 
 def features(text: Column) -> Column:
-    """What scoring needs of a text, once for each and not for each pair: low, stack, words, terms, bytes."""
-    return F.struct(F.lower(text).alias("low"), tech_stack(text).alias("stack"), quick_words(text).alias("words"), counted(tokens(text)).alias("terms"), F.octet_length(text).alias("bytes"))
+    """What scoring needs of a text, once for each and not for each pair: low, stack, words, firsts (of the first five words those of 4 bytes or more), weights by term, norm, bytes."""
+    low = F.lower(text)
+    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, w: a + w * w))
+    weighed = let(term_weights(counted(tokens(text))), lambda m: F.struct(m.alias("weights"), norm(m).alias("norm")))
+    firsts = F.filter(F.slice(space_words(low), 1, 5), lambda w: F.octet_length(w) >= 4)
+    return let(weighed, lambda x: F.struct(low.alias("low"), tech_stack(text).alias("stack"), quick_words(text).alias("words"), firsts.alias("firsts"), x["weights"].alias("weights"), x["norm"].alias("norm"), F.octet_length(text).alias("bytes")))
 
 
 def lexical_score(query: Column, pattern: Column) -> Column:
     """Score of a query against a pattern, both features(): the quick one where the query has fewer than 100 bytes and the pattern fewer than 400, else by weighted terms; 0 without text."""
     quick = quick_match(query["words"], query["stack"], pattern["low"], pattern["stack"])
-    slow = term_match(query["low"], query["stack"], query["terms"], pattern["low"], pattern["stack"], pattern["terms"])
+    slow = term_match(query, pattern)
     empty = (F.coalesce(query["bytes"], F.lit(0)) == 0) | (F.coalesce(pattern["bytes"], F.lit(0)) == 0)
     return F.when(empty, 0.0).when((query["bytes"] < 100) & (pattern["bytes"] < 400), quick).otherwise(slow)
 
