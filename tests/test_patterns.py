@@ -516,3 +516,26 @@ def test_reports(spark):
     p = spark.createDataFrame([(1, "t", "c", 5, 1, None), (2, "t", None, 0, 3, "2024-01-01"), (3, "u", "c", 0, 0, None)], "id long, tool_type string, category string, success long, failure long, u string").withColumn("last_used", F.to_timestamp("u"))
     assert [r["id"] for r in patterns.in_category(p, "t", "c", 5).collect()] == [1] and [r["id"] for r in patterns.in_category(p, "t", None, 5).collect()] == [1, 2] and [r["id"] for r in patterns.prunable(p).collect()] == [2]
     assert tuple(patterns.status(p).first()) == (3, 5, 4, round(500 / 9, 6), round((500 / 6 + 0) / 2, 6), 2)
+
+
+def test_counting_sorts_without_a_comparator(spark):
+    """Terms sort by their own order, not by a function called for each pair of them."""
+    from patternlake.functions import text as T
+
+    df = spark.createDataFrame([(1, "b a b é zz a b"), (2, ""), (3, None)], "id long, text string").select("id", T.counted(F.split("text", " ")).alias("x"))
+    assert {r["id"]: [tuple(y) for y in r["x"] or []] for r in df.collect()} == {1: [("a", 2), ("b", 3), ("zz", 1), ("é", 1)], 2: [("", 1)], 3: []}
+    assert "sort_array" in (plan := df._jdf.queryExecution().toString()) and "array_sort" not in plan
+
+
+def test_hash_embeddings_are_arrays_of_floats(spark):
+    """A task holds a batch's vectors as 4 bytes a component, not as a Python object each."""
+    import pandas as pd
+
+    from patternlake.functions import vectors as E
+    from patternlake.operators import retrieve as R
+
+    got = R.hash_embed(8).func(pd.Series(["some words", "", None]))
+    assert [(v.dtype.name, v.shape) for v in got] == [("float32", (8,))] * 3
+    df = spark.createDataFrame([(1, "some words"), (2, ""), (3, None)], "id long, text string").select("id", R.hash_embed(8)("text").alias("v"))
+    back = df.select("id", "v", E.from_bytes(E.to_bytes(F.col("v"))).alias("w")).collect()
+    assert all(r["v"] == r["w"] and len(r["v"]) == 8 for r in back)
