@@ -23,7 +23,7 @@ def to_bytes(vector: Column) -> Column:
 def from_bytes(raw: Column) -> Column:
     @F.pandas_udf("array<float>")
     def unpack(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.frombuffer(x, "<f4").tolist())
+        return v.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
 
     return unpack(raw)
 
