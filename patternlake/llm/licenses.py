@@ -113,13 +113,11 @@ class Templates:
         return out
 
 
-def passages(text: str) -> Iterator[list[str]]:
-    """Terms of every line, of every paragraph of several lines, and of a short text as a whole."""
+def paragraphs(text: str) -> Iterator[list[list[str]]]:
+    """Passages of every paragraph: terms of its lines, and of several lines together."""
     for paragraph in re.split(r"\n[\x20\x09-\x0D]*\n", text):
         lines = [terms(line) for line in paragraph.split("\n")]
-        yield from lines
-        if len(lines) > 1:
-            yield [t for line in lines for t in line]
+        yield lines + [[t for line in lines for t in line]] if len(lines) > 1 else lines
 
 
 def scan_files(files: DataFrame, min_cosine: float = 0.6) -> DataFrame:
@@ -127,28 +125,33 @@ def scan_files(files: DataFrame, min_cosine: float = 0.6) -> DataFrame:
 
     Returns file_id, path, license (that of the greatest cosine; null if none), score (the cosine), licenses (all that
     a passage comes within min_cosine of as its best, by name), n_passages (how many do), license_file (it has a
-    licence and is named like a licence's file). Of equal cosines the first licence by name wins. Null text or path
+    licence and is named like a licence's file), share (of its terms, those in passages that have a licence). Of equal cosines the first licence by name wins. Null text or path
     counts as empty. Every row gives one row; other columns are not read. An empty table gives no rows.
     """
     templates = Templates(*frequencies(files))
 
     def one(path: str, text: str) -> tuple:
-        best = []
-        for words in passages(text):
-            if words and (near := templates.near(words, min_cosine)):
-                best.append(max((x, -i, name) for i, (name, x) in enumerate(near.items())))
+        best, said, size = [], 0, 0
+        for own in paragraphs(text):
+            n = len(own[-1])  # the last holds all of its terms
+            size, held = size + n, 0
+            for words in own:
+                if words and (near := templates.near(words, min_cosine)):
+                    best.append(max((x, -i, name) for i, (name, x) in enumerate(near.items())))
+                    held += len(words)
+            said += min(n, held)
         top = max(best, default=(None, None, None))
-        return top[2], top[0], sorted({x[2] for x in best}), len(best), bool(best) and bool(LICENCE_FILE.match(path.rsplit("/", 1)[-1]))
+        return top[2], top[0], sorted({x[2] for x in best}), len(best), bool(best) and bool(LICENCE_FILE.match(path.rsplit("/", 1)[-1])), said / size if size else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows = [one(p or "", t or "") for p, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.float64(), pa.list_(pa.string()), pa.int64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["file_id", "path", "license", "score", "licenses", "n_passages", "license_file"])
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.float64(), pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["file_id", "path", "license", "score", "licenses", "n_passages", "license_file", "share"])
 
-    return files.select(F.col("file_id").cast("long").alias("file_id"), "path", "text").mapInArrow(run, "file_id long, path string, license string, score double, licenses array<string>, n_passages long, license_file boolean")
+    return files.select(F.col("file_id").cast("long").alias("file_id"), "path", "text").mapInArrow(run, "file_id long, path string, license string, score double, licenses array<string>, n_passages long, license_file boolean, share double")
 
 
 def inherit(scanned: DataFrame) -> DataFrame:
@@ -171,7 +174,16 @@ def inherit(scanned: DataFrame) -> DataFrame:
     return out.select("file_id", "path", "license", "score", "licenses", "n_passages", "license_file", F.coalesce("license", "near.license").alias("effective_license"), F.when(~own, F.col("near.up")).alias("inherited_from"))
 
 
+#: Share of a document's terms that say its licence from which on it is a notice.
+NOTICE = 0.5
+
+
 def license_of_documents(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text, lang, source) as files source/lang/doc_id.txt. None of them is named like a licence's file, so none inherits."""
+    """Documents (doc_id, text, lang, source) as files source/lang/doc_id.txt.
+
+    None of them is named like a licence's file. One that says little but a licence (NOTICE of its terms) is a notice
+    and stands for one: those of its source and language that have no licence of their own inherit from it.
+    """
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
-    return inherit(scan_files(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))).withColumnRenamed("file_id", "doc_id")
+    scanned = scan_files(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    return inherit(scanned.withColumn("license_file", F.col("license").isNotNull() & (F.col("share") >= NOTICE))).withColumnRenamed("file_id", "doc_id")

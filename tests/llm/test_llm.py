@@ -702,3 +702,12 @@ def test_quality_equals_its_sql(spark):
     out = queries.op3_quality_rules(spark, str(data))
     want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({queries.ORACLE_SQL['op3_quality_rules']})").fetchall()
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
+def test_documents_inherit_from_notices(spark):
+    """A document that says little but a licence stands for its folder's licence file."""
+    long = "\n".join(f"line {i} of some other text" for i in range(20))
+    rows = [(1, "Hello there.\nThis work is licensed under the GNU General Public License, version 3.", "en", "s"), (2, long, "en", "s"), (3, long, "fr", "s"), (4, f"{long}\nReleased under the MIT License.", "en", "s"), (5, f"{long}\nReleased under the MIT License.", "de", "s"), (6, long, "de", "s"), (7, None, "en", "s")]
+    got = {r["doc_id"]: r for r in licenses.license_of_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i: r["effective_license"] for i, r in got.items()} == {1: "GPL-3.0", 2: "GPL-3.0", 3: None, 4: "MIT", 5: "MIT", 6: None, 7: "GPL-3.0"}
+    assert got[2]["inherited_from"] == "s/en" and got[4]["inherited_from"] is None and got[1]["license_file"] and not got[4]["license_file"]
