@@ -539,3 +539,13 @@ def test_hash_embeddings_are_arrays_of_floats(spark):
     df = spark.createDataFrame([(1, "some words"), (2, ""), (3, None)], "id long, text string").select("id", R.hash_embed(8)("text").alias("v"))
     back = df.select("id", "v", E.from_bytes(E.to_bytes(F.col("v"))).alias("w")).collect()
     assert all(r["v"] == r["w"] and len(r["v"]) == 8 for r in back)
+
+
+def test_texts_are_dealt_by_their_bytes(spark):
+    """More text makes more tasks, and what they count by text isn't dealt again."""
+    df = spark.createDataFrame([(i, f"alpha beta gamma{i}") for i in range(40)], "query_id long, query string")
+    assert retrieve.dealt(df, "query_id", "query", 20).rdd.getNumPartitions() > 30 > retrieve.dealt(df, "query_id", "query").rdd.getNumPartitions()
+    items = spark.createDataFrame([(1, "beta", 0), (2, "alpha beta gamma3", 1), (3, "gamma3 alpha", 2)], "id long, context string, rank long")
+    found = retrieve.first_overlap(df, items)
+    assert {(r["query_id"], r["id"], r["shared"]) for r in found.collect()} == {(i, 2, 3 if i == 3 else 2) for i in range(40)}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
