@@ -142,3 +142,30 @@ def test_logs_are_appended_once(spark, tmp_path):
     for batch, n in ((0, 2), (1, 3), (1, 3), (0, 2)):
         accumulate.append_once(spark.range(n), str(tmp_path / "log"), batch)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 5
+
+
+def test_equal_calls_are_taken_apart_once(spark, monkeypatch):
+    """As patterns of each call, but an input is parsed once, and equal calls of equal queries are one row."""
+    told = [*(CALL, EDIT, READ, CALL) * 5, ("Read", None), ("Read", '{"path": "/a.b/c"}'), ("Read", '{"path": "/c"}'), ("Bash", "no json"), ("Other", "{}")]
+    calls = [(f"s{i % 3}", i, "fix it" if i % 2 else "run the tests", *c) for i, c in enumerate(told)]
+    calls = spark.createDataFrame(calls, "session_id string, seq long, user_query string, tool_name string, tool_input string")
+    results = spark.createDataFrame([("s1", i, "fix it", "Error: cannot find the file at hand", True) for i in range(5)], "session_id string, seq long, user_query string, content string, is_error boolean")
+    plan = calls.select(learn.context(F.col("tool_name"), F.col("tool_input")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") == 1
+    kept, cut = [], learn.cut
+    monkeypatch.setattr(learn, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    for dedup in ("first", "sum"):
+        want = learn.distinct_patterns(learn.call_patterns(calls).unionByName(learn.failure_patterns(results)), dedup)
+        got = learn.found_patterns(calls, results, dedup)
+        assert rows_of(got, *learn.PATTERN) == rows_of(want, *learn.PATTERN)
+        assert kept[-1].count() == calls.where("tool_name <> 'Other'").select("user_query", "tool_name", "tool_input").distinct().count()
+
+
+def test_equal_calls_are_matched_once(spark, monkeypatch):
+    p = spark.createDataFrame([(1, "Bash", "build the project", 5, 0), (2, "Read", "exploring the codebase", 3, 0)], "id long, tool_type string, context string, success long, failure long")
+    t = spark.createDataFrame([(f"s{i}", "q", "done", [CALL, ("Read", None), ("Other", "{}")], []) for i in range(20)], SCHEMA)
+    kept, cut = [], learn.cut
+    monkeypatch.setattr(learn, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = learn.shared_patterns(t, p).collect()
+    assert sorted((r["a"], r["b"], r["seq"]["session_id"]) for r in got) == sorted((1, 2, f"s{i}") for i in range(20))
+    assert max(x.count() for x in kept) <= 3
