@@ -263,6 +263,12 @@ def test_inject(spark):
     shown = {r["query_id"]: r for r in retrieve.injection_blocks(found, p).collect()}
     assert shown[1]["ids"] == [1, 3, 4] and shown[1]["block"].startswith("**Relevant patterns from previous successful operations:**\n\n- **Edit** (score: 19, 100% success rate)\n  rs rust cargo editing m1.rs\n\n- **Edit**")
     assert shown[5]["block"] == "**General patterns (no tech-specific matches found):**\n\n- **Write** (score: 6, 75% success rate)\n  py python pip writing to a.py\n"
+    again = asks.union(asks.withColumn("query_id", F.col("query_id") + 10)).union(spark.createDataFrame([(20, "edit", None), (21, None, None)], asks.schema))
+    want = retrieve.injection_blocks(retrieve.inject(again, p, bad), p)
+    of = lambda df: sorted(map(str, df.select("query_id", "block", "ids").collect()))
+    blocks = retrieve.inject_blocks(again, p, bad)
+    assert of(blocks) == of(want) and len(of(want)) == 9
+    assert "hashpartitioning(query_id" not in blocks._jdf.queryExecution().executedPlan().toString()  # no query is dealt
     assert retrieve.warnings(p).first()["line"] == "- \u26a0\ufe0f \u26a0\ufe0f something failed badly here"
 
 
