@@ -182,6 +182,22 @@ def test_term_score_is_not_normalised_by_the_pattern(spark):
     assert set(got) == {(1, 1), (1, 3), (3, 1), (3, 3)} and got[3, 3] < got[3, 1]  # stacks differ, but a word is shared
 
 
+def test_term_scores_neither_deal_nor_keep_pairs(spark, monkeypatch):
+    words = ["parser", "lexer", "grammar", "cargo", "pytest", "main.rs", "run.py", "words", "of", ""]
+    rows = lambda n, seed: [(i, " ".join(random.Random(seed + i).choices(words, k=i % 7))) for i in range(n)]
+    q, p = spark.createDataFrame(rows(12, 0), "query_id long, query string"), spark.createDataFrame([*rows(60, 99), (60, None)], "id long, text string")
+    kept, cut = [], retrieve.cut
+    monkeypatch.setattr(retrieve, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = retrieve.term_scores(q, p)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and all("id" not in x.columns for x in kept)
+    f = q.withColumn("qf", text.features(F.col("query"))).crossJoin(p.withColumn("pf", text.features(F.col("text"))))
+    shared = F.size(F.array_intersect(F.map_keys("qf.weights"), F.map_keys("pf.weights"))) > 0
+    want = f.where(shared).select("query_id", "id", F.round(text.term_match(F.col("qf"), F.col("pf")), 4).alias("sim"))
+    of = lambda df: {(r["query_id"], r["id"]): r["sim"] for r in df.collect()}
+    assert of(got) == pytest.approx(of(want), abs=1.01e-4) and got.count() == want.count() > 200
+
+
 @pytest.mark.parametrize("query, pattern, quick", [("x" * 93 + " parser", "parser " * 57, False), ("x" * 92 + " parser", "parser " * 57, True), ("parser words", "parser " * 58, False)])
 def test_the_score_depends_on_both_lengths(spark, query, pattern, quick):
     row = spark.createDataFrame([(query, pattern)], "q string, p string").select(text.lexical_score(text.features(F.col("q")), text.features(F.col("p"))).alias("s"), text.quick_score(F.col("q"), F.col("p")).alias("quick")).first()
